@@ -105,7 +105,7 @@ class Words:
     BASE = 0x9E3779B97F4A7C15
     INVERSE = pow(BASE, -1, 1 << 64)
 
-    def __init__(self, texts: pa.Array, lower: bool = False, separators: bytes = b" \t\n\x0b\x0c\r"):
+    def __init__(self, texts: pa.Array, lower: bool = False, separators: bytes = b" \t\n\x0b\x0c\r", hashed: bool = True):
         self.data, self.offsets = text_bytes(texts)
         table = np.ones(256, bool)
         table[list(separators)] = False
@@ -121,7 +121,7 @@ class Words:
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, self.offsets)
-        self.hashes = self._hash(lower)
+        self.hashes = self._hash(lower) if hashed else np.zeros(0, _U)
 
     @classmethod
     def _power_tables(cls, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import packing, token_store
+from plumbline.llm import packing, quality_rules, secret_scan, token_store
 from plumbline.llm.core import scratch
 
 
@@ -32,8 +32,18 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 1024, 2, with_ids=False)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
+
+
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op4_secret_scan": op4_secret_scan,
+    "op9_quality_rules": op9_quality_rules,
     "op7_best_two_fit": op7_best_two_fit,
     "pipeline": corpus_pipeline.run,
 }
