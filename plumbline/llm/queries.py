@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import packing, quality_rules, secret_scan, token_store
+from plumbline.llm import packing, quality_model, quality_rules, secret_scan, token_store
 from plumbline.llm.core import scratch
 
 
@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows that no label may be learnt from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+
+
+def op1_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.train(docs, labels, may_learn=~held_out())
+    scored = quality_model.score_ids(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = scratch(spark, "tokens")
@@ -41,6 +53,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pairwise_quality": op1_pairwise_quality,
     "op2_token_store": op2_token_store,
     "op4_secret_scan": op4_secret_scan,
     "op9_quality_rules": op9_quality_rules,
