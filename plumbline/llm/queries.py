@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import line_dedup, packing, quality_model, quality_rules, secret_scan, token_store
+from plumbline.llm import decontaminate, line_dedup, packing, quality_model, quality_rules, secret_scan, token_store
 from plumbline.llm.core import scratch
 
 
@@ -57,12 +57,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "emptied", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pairwise_quality": op1_pairwise_quality,
     "op2_token_store": op2_token_store,
     "op4_secret_scan": op4_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_best_two_fit": op7_best_two_fit,
     "pipeline": corpus_pipeline.run,
 }
