@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, line_dedup, packing, quality_model, quality_rules, secret_scan, token_store
+from plumbline.llm import decontaminate, jaccard_join, line_dedup, packing, quality_model, quality_rules, secret_scan, token_store
 from plumbline.llm.core import scratch
 
 
@@ -52,6 +52,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
 
 
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "emptied", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -68,6 +72,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op3_parity_join": op3_parity_join,
     "op7_best_two_fit": op7_best_two_fit,
     "pipeline": corpus_pipeline.run,
 }
