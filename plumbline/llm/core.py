@@ -98,13 +98,39 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.concatenate([np.ones(1, _U), np.cumprod(np.full(max(n - 1, 0), base, _U), dtype=_U)])
 
 
+#: An odd multiplier and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    kept = worker_cache()
+    if len(kept.get("up", ())) < n:
+        kept["up"], kept["down"] = _powers(BASE, n), _powers(INVERSE, n)
+    return kept["up"], kept["down"]
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span (in order, apart): the sum of table[byte] * BASE**(place in the span), from running sums over pieces that end between spans."""
+    out = np.empty(len(starts), _U)
+    i, n = 0, len(starts)
+    with np.errstate(over="ignore"):
+        while i < n:
+            base = starts[i]
+            j = max(i + 1, int(np.searchsorted(ends, base + PIECE, "right")))
+            stop = ends[j - 1]
+            up, down = _power_tables(max(PIECE, int(stop - base)) + 1)
+            run = np.zeros(stop - base + 1, _U)
+            np.cumsum(table[data[base:stop]] * up[: stop - base], out=run[1:])
+            s, e = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = mix64((run[e] - run[s]) * down[s] + (e - s).astype(_U))
+            i = j
+    return out
+
+
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a batch of texts: starts and ends (byte positions), a 64-bit hash each, and by document the index of its first word (bounds, one more than documents)."""
 
-    #: An odd multiplier and its inverse modulo 2**64.
-    BASE = 0x9E3779B97F4A7C15
-    INVERSE = pow(BASE, -1, 1 << 64)
-
     def __init__(self, texts: pa.Array, lower: bool = False, separators: bytes = b" \t\n\x0b\x0c\r", hashed: bool = True):
         self.data, self.offsets = text_bytes(texts)
         table = np.ones(256, bool)
@@ -131,25 +157,10 @@ class Words:
         return kept["up"], kept["down"]
 
     def _hash(self, lower: bool) -> np.ndarray:
-        """Sum of table[byte] * BASE**(place in the word), from running sums over pieces that end between words."""
         codes = np.arange(256)
         if lower:
             codes[65:91] += 32
-        table = mix64(codes.astype(_U) + _U(0x1234567))
-        out = np.empty(len(self.starts), _U)
-        i, n = 0, len(self.starts)
-        with np.errstate(over="ignore"):
-            while i < n:
-                base = self.starts[i]
-                j = max(i + 1, int(np.searchsorted(self.ends, base + PIECE, "right")))
-                stop = self.ends[j - 1]
-                up, down = self._power_tables(max(PIECE, int(stop - base)) + 1)
-                run = np.zeros(stop - base + 1, _U)
-                np.cumsum(table[self.data[base:stop]] * up[: stop - base], out=run[1:])
-                s, e = self.starts[i:j] - base, self.ends[i:j] - base
-                out[i:j] = mix64((run[e] - run[s]) * down[s] + (e - s).astype(_U))
-                i = j
-        return out
+        return hash_spans(self.data, self.starts, self.ends, mix64(codes.astype(_U) + _U(0x1234567)))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)

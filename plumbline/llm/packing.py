@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.core import map_arrow, materialize, slices
-from plumbline.llm.tokens import Encoder
+from plumbline.llm.tokens import ENCODE_BYTES, Encoder
 
 
 def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
@@ -66,33 +66,40 @@ def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
     return bins
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, part, place, ids): each document's ids and end_id, cut into pieces of capacity tokens only where it is longer; the first piece takes the remainder. part and place (the rank among the pieces of that length in that part) name a piece."""
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32, part, place[, ids]): each document's ids and end_id, cut into pieces of capacity tokens only where it is longer; the first piece takes the remainder. part and place (the rank among the pieces of that length in that part) name a piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for b in slices(batch, "text"):
-                rows: list[tuple] = []
-                for doc, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    ids += tail
-                    n = len(ids) // 4
-                    first = (n - 1) % capacity + 1
-                    cuts = [0, *range(first, n + 1, capacity)]
-                    rows += [(doc, k, x, y - x, zlib.crc32(ids[4 * x : 4 * y]), ids[4 * x : 4 * y]) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))]
-                doc, k, x, n, crc, ids = zip(*rows, strict=True)
-                lengths = np.array(n)
+            for b in slices(batch, "text", ENCODE_BYTES):
+                ids, bounds = encoder.encode_ended(b.column(1), end_id)
+                data = ids.astype("<u4").tobytes()
+                total = np.diff(bounds)
+                pieces = -(-total // capacity)
+                of = np.repeat(np.arange(len(total)), pieces)
+                k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = (total - 1) % capacity + 1
+                x = np.where(k == 0, 0, first[of] + (k - 1) * capacity)
+                n = np.where(k == 0, first[of], capacity)
+                spans = [(4 * p, 4 * q) for p, q in zip((bounds[of] + x).tolist(), (bounds[of] + x + n).tolist(), strict=True)]
+                crc = [zlib.crc32(data[p:q]) for p, q in spans]
+                lengths = n
                 order = np.argsort(lengths, kind="stable")
                 runs = np.searchsorted(lengths[order], lengths[order])
                 place = np.empty(len(n), np.int64)
                 place[order] = np.arange(len(n)) - runs + seen[lengths[order]]
                 seen += np.bincount(lengths, minlength=capacity + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, b.schema.field(0).type), pa.array(k, pa.int32()), pa.array(x, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(n), part), pa.int32()), pa.array(place), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place", "ids"])
+                columns = [b.column(0).take(pa.array(of)), pa.array(k.astype(np.int32)), pa.array(x), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(place)]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"]
+                if with_ids:
+                    columns.append(pa.array([data[p:q] for p, q in spans], pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[doc_col].dataType.simpleString()
-    return map_arrow(docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")), cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, place long, ids binary")
+    return map_arrow(docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")), cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, place long" + (", ids binary" if with_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, doc_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -101,8 +108,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     A table of pieces is written once to the shared folder; their lengths are counted by part, the counts of the capacity many lengths make the plan on the driver (its size depends on the number of lengths, not of documents), and each piece finds its bin from its rank among the pieces of its length. No text moves and no piece meets another in a task.
 
     Null or empty texts give one piece with the end id. Repeated and null ids are kept as rows of their own; ties are dealt by place. Extra columns are left out. An empty table gives no rows. Result: (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids])."""
-    pieces = token_pieces(docs, tokenizer, capacity, end_id, doc_col, text_col)
-    pieces = materialize(pieces if with_ids else pieces.drop("ids"), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id, doc_col, text_col, with_ids), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = by_part.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     counts = np.zeros(capacity + 1, np.int64)

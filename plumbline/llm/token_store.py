@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.core import map_arrow, materialize, mix64, slices
-from plumbline.llm.tokens import Encoder
+from plumbline.llm.tokens import ENCODE_BYTES, Encoder
 
-#: A shard: MAGIC, then the raw ids (little-endian), then for each document the end of its ids (u64), then the number of documents (u64).
-MAGIC = b"TOKSHRD1"
+#: A shard: MAGIC, the bytes of an id (u8: 2 if the vocabulary allows, else 4), then the raw ids (little-endian), then for each document the end of its ids (u64), then the number of documents (u64).
+MAGIC = b"TOKSHRD"
 #: An index file: INDEX_MAGIC, the length of a JSON header (u32), the header, the seeds (u32 by bucket), and by slot a fingerprint (u32), a shard (u32), the first id's place (u64), the number of ids (u64) and of documents (u32).
 INDEX_MAGIC = b"TOKMPHF1"
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("ids", "<u8"), ("documents", "<u4")])
@@ -140,19 +140,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = Encoder.of(tokenizer), TaskContext.get().partitionId()
-        tail = np.array([end_id], "<u4").tobytes()
+        narrow = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         ends, told = [0], []
 
         def chunks() -> Iterator[bytes]:
-            yield MAGIC
+            yield MAGIC + bytes([2 if narrow else 4])
             for batch in batches:
-                for b in slices(batch, "text"):
-                    parts = [x + tail for x in encoder.encode(b.column(1).to_pylist())]
-                    n = np.array([len(x) // 4 for x in parts], np.int64)
-                    at = ends[-1] + np.cumsum(n)
-                    told.append(pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), shard), pa.int32()), pa.array(at - n), pa.array(n)], ["key", "shard", "start", "n_ids"]))
+                for b in slices(batch, "text", ENCODE_BYTES):
+                    ids, bounds = encoder.encode_ended(b.column(1), end_id)
+                    n = np.diff(bounds)
+                    at = ends[-1] + bounds[1:]
+                    told.append(pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.arange(len(n)))), pa.array(np.full(len(n), shard), pa.int32()), pa.array(at - n), pa.array(n)], ["key", "shard", "start", "n_ids"]))
                     ends.extend(at.tolist())
-                    yield b"".join(parts)
+                    yield ids.astype("<u2" if narrow else "<u4").tobytes()
             yield np.array(ends[1:], "<u8").tobytes() + struct.pack("<Q", len(ends) - 1)
 
         _write_whole(f"{path}/shards/{shard:06d}.ids", chunks())
@@ -231,19 +231,20 @@ def read_documents(places: DataFrame, path: str, with_ids: bool = True) -> DataF
                 f = system.open_input_file(name)
                 total = f.size()
                 (n,) = struct.unpack("<Q", f.read_at(8, total - 8))
-                assert f.read_at(8, 0) == MAGIC, "not a shard"
-                opened[k] = (f, np.frombuffer(f.read_at(8 * n, total - 8 - 8 * n), "<u8").astype(np.int64))
+                head = f.read_at(8, 0)
+                assert head[:7] == MAGIC, "not a shard"
+                opened[k] = (f, np.frombuffer(f.read_at(8 * n, total - 8 - 8 * n), "<u8").astype(np.int64), head[7])
             return opened[k]
 
         for b in batches:
             out: list[tuple] = []
             for key, k, start, documents in zip(b.column("key").to_pylist(), b.column("shard").to_pylist(), b.column("start").to_pylist(), b.column("documents").to_pylist(), strict=True):
                 while documents:
-                    f, ends = shard_file(k)
+                    f, ends, wide = shard_file(k)
                     i = int(np.searchsorted(ends, start, "right"))
                     here = min(documents, len(ends) - i)
                     for end in ends[i : i + here].tolist():
-                        ids = f.read_at(4 * (end - start), 8 + 4 * start)
+                        ids = np.frombuffer(f.read_at(wide * (end - start), 8 + wide * start), f"<u{wide}").astype("<u4").tobytes()
                         out.append((key, sizes[k][0] + start, end - start, zlib.crc32(ids), ids))
                         start = end
                     documents -= here
