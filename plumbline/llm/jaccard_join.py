@@ -62,7 +62,7 @@ def block_keys(g: np.ndarray, b: np.ndarray, common: np.ndarray, percent: int, s
     size = n[doc]
     of = np.repeat(np.arange(len(doc)), size)
     at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(b[doc], size)
-    blocks = np.maximum(LEAST_BLOCKS, (np.int64(2) << kind) // 4)
+    blocks = np.maximum(LEAST_BLOCKS, 3 * (np.int64(1) << kind) * (100 - percent) // percent)  # 1.5 times the d of the band's largest
     with np.errstate(over="ignore"):
         part = (mix64(g[at] + _U(seed)) % blocks[of].astype(_U)).astype(np.int64) + np.where(common[at], blocks[of], 0)
     place = (of.astype(np.int64) << 33) | part
@@ -217,6 +217,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are `[^\\x20\\x09-\\x0D]+` after A-Z were lower-cased; a text of fewer than k words is one shingle; empty and null texts have none and link with nothing. Equal sets are one node throughout. Rows that repeat an id link through it only if their sets do; a null id gives the component of its set's other documents, or null. Ids are integers. Extra columns are left out; an empty table gives no rows."""
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("component ids are the least of integer ids")
+    if not 60 <= percent < 100:
+        raise ValueError("sketches tell sets apart from 60 percent on; equal sets need no join")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = common_slots(d, k)
     for seed in range(8):
