@@ -91,4 +91,4 @@ QUERIES = {
     "op7_best_two_fit": op7_best_two_fit,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
