@@ -46,9 +46,9 @@ def large_class(facts: DataFrame, t: Thresholds) -> DataFrame:
 def primitive_obsession(facts: DataFrame, t: Thresholds) -> DataFrame:
     f = rows_of(facts, "functions").where(F.size("args") > t.get("PRIMITIVE_MIN_ARGS"))
     primitive = F.filter(F.arrays_zip("args", "annotations"), lambda a: a["annotations"].isin("int", "str", "float", "bool"))
-    first = F.when((c("args")[0] == "self") & c("annotations")[0].isin("int", "str", "float", "bool"), 1).otherwise(0)
-    f = f.withColumn("n", F.size(primitive) - first).withColumn("of", F.size("args") - F.when(F.contains(c("args")[0], F.lit("self")), 1).otherwise(0))
-    f = f.where((c("n") > t["PRIMITIVE_OBSESSION_COUNT"]) & (c("n") / c("of") > t.get("PRIMITIVE_RATIO_THRESHOLD")))
+    first = F.when((F.get("args", F.lit(0)) == "self") & F.get("annotations", F.lit(0)).isin("int", "str", "float", "bool"), 1).otherwise(0)
+    f = f.withColumn("n", F.size(primitive) - first).withColumn("of", F.size("args") - F.when(F.contains(F.get("args", F.lit(0)), F.lit("self")), 1).otherwise(0))
+    f = f.where((c("n") > t["PRIMITIVE_OBSESSION_COUNT"]) & (F.try_divide("n", "of") > t.get("PRIMITIVE_RATIO_THRESHOLD")))
     return _class(f, "Primitive Obsession", text("'", c("name"), "' has ", c("n"), " primitive parameters in ", c("path")), 3)
 
 
@@ -64,11 +64,11 @@ def data_clumps(facts: DataFrame, t: Thresholds, most: int = 20) -> DataFrame:
     f = rows_of(facts, "functions").where((c("name") != "__init__") & ~_property(c("decorators"), ["name"]))
     f = f.select("path", "name", "ord", F.array_sort(F.filter("args", lambda a: a != "self")).alias("params")).where(F.size("params") >= t["DATA_CLUMPS_THRESHOLD"])
     f = f.withColumn("params", F.when(F.size("params") > most, F.raise_error(F.lit(f"a function has more than {most} parameters"))).otherwise(c("params")))
-    f = f.select("path", "name", "ord", "params", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("params")) - 1)).alias("mask")).where(F.bit_count("mask") >= least)
+    f = f.select("path", "name", "ord", "params", F.explode(F.expr("sequence(1, shiftleft(1, size(params)) - 1)")).alias("mask")).where(F.bit_count("mask") >= least)
     f = f.select("path", "name", "ord", F.expr("filter(params, (p, i) -> getbit(mask, i) = 1)").alias("combo"))
     g = f.groupBy("path", "combo").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("x")).where(F.size("x") > 1)
     g = g.withColumn("fns", commas(F.transform("x", lambda x: x["name"])))
-    return smells(g, KIND, "Data Clumps", text("Parameters ", commas(c("combo")), " appear together in functions: ", c("fns"), " in ", c("path")), owner=c("fns"), step=5, seq=c("x")[0]["ord"])
+    return smells(g, KIND, "Data Clumps", text("Parameters ", commas(c("combo")), " appear together in functions: ", c("fns"), " in ", c("path")), owner=c("fns"), step=5, seq=F.get("x", F.lit(0))["ord"])
 
 
 def switch_statements(facts: DataFrame, t: Thresholds) -> DataFrame:
@@ -93,7 +93,7 @@ def alternative_classes(facts: DataFrame, t: Thresholds) -> DataFrame:
     k = k.withColumn("methods", F.array_sort(F.filter(F.transform("methods", lambda m: m["name"]), lambda m: ~m.startswith("_")))).where(F.size("methods") >= 2)
     g = k.join(based, ["path", "name"]).groupBy("path", "methods").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("x"), F.bool_or("based").alias("based")).where((F.size("x") >= t["ALTERNATIVE_CLASSES_THRESHOLD"]) & ~c("based"))
     g = g.withColumn("all", commas(F.transform("x", lambda x: x["name"])))
-    return smells(g, KIND, "Alternative Classes with Different Interfaces", text("Classes ", c("all"), " share similar methods ", commas(c("methods")), " in ", c("path")), owner=c("all"), step=8, seq=c("x")[0]["ord"])
+    return smells(g, KIND, "Alternative Classes with Different Interfaces", text("Classes ", c("all"), " share similar methods ", commas(c("methods")), " in ", c("path")), owner=c("all"), step=8, seq=F.get("x", F.lit(0))["ord"])
 
 
 def divergent_change(facts: DataFrame, t: Thresholds) -> DataFrame:
@@ -110,12 +110,12 @@ def parallel_inheritance(facts: DataFrame, t: Thresholds) -> DataFrame:
     k = k.withColumn("public", F.array_distinct(F.filter(F.transform("methods", lambda m: m["name"]), lambda m: ~m.startswith("_"))))
     last = k.where(F.size("bases") > 0).groupBy("path", "name").agg(F.max_by("public", "ord").alias("head_methods"))
     h = k.select("path", "name", "ord", F.posexplode("bases").alias("i", "base")).groupBy("path", "base").agg(F.array_sort(F.collect_list(F.struct("ord", "i", "name"))).alias("x"))
-    h = h.select("path", c("x")[0]["ord"].alias("at"), c("x")[0]["i"].alias("i"), F.transform("x", lambda x: x["name"]).alias("names")).where(F.size("names") > 1)
-    h = h.join(last.withColumnRenamed("name", "head"), (h["path"] == last["path"]) & (c("head") == c("names")[0])).select(h["path"], "at", "i", "names", "head_methods")
+    h = h.select("path", F.get("x", F.lit(0))["ord"].alias("at"), F.get("x", F.lit(0))["i"].alias("i"), F.transform("x", lambda x: x["name"]).alias("names")).where(F.size("names") > 1)
+    h = h.join(last.withColumnRenamed("name", "head"), (h["path"] == last["path"]) & (c("head") == F.get("names", F.lit(0)))).select(h["path"], "at", "i", "names", "head_methods")
     a, b = (h.select(*[c(x).alias(f"{x}_{s}") for x in h.columns]) for s in "ab")
     p = a.join(b, (c("path_a") == c("path_b")) & ((c("at_a") < c("at_b")) | (c("at_a") == c("at_b")) & (c("i_a") < c("i_b"))))
     union = F.size(F.array_union("head_methods_a", "head_methods_b"))
-    similar = F.when(union > 0, F.size(F.array_intersect("head_methods_a", "head_methods_b")) / union) > t.get("PARALLEL_INHERITANCE_SIMILARITY_THRESHOLD")
+    similar = F.try_divide(F.size(F.array_intersect("head_methods_a", "head_methods_b")), union) > t.get("PARALLEL_INHERITANCE_SIMILARITY_THRESHOLD")
     arrow = lambda x: F.array_join(x, " -> ")
     p = p.where(similar).select(c("path_a").alias("path"), F.struct("at_a", "i_a", "at_b", "i_b", text(arrow(c("names_a")), " and ", arrow(c("names_b"))).alias("said")).alias("s"))
     g = p.groupBy("path").agg(F.array_sort(F.collect_list("s")).alias("s"))
@@ -141,7 +141,7 @@ def comment_blocks(lines: DataFrame) -> DataFrame:
 
 def excessive_comments(facts: DataFrame, t: Thresholds) -> DataFrame:
     lines = facts.where("code_error is null").select("path", F.posexplode("lines").alias("i", "line"))
-    g = comment_blocks(lines).withColumn("ratio", c("comment_lines") / F.greatest("code_lines", F.lit(1)))
+    g = comment_blocks(lines).withColumn("ratio", F.try_divide(c("comment_lines"), F.greatest("code_lines", F.lit(1))))
     g = g.where((c("ratio") > t["EXCESSIVE_COMMENTS_RATIO"]) & (c("large_blocks") > t["LARGE_COMMENT_BLOCKS"]))
     return smells(g, KIND, "Excessive Comments", text("File has ", py_format(c("ratio"), ".1%"), " comment ratio with ", c("large_blocks"), " large comment blocks in ", c("path")), severity="low", step=12)
 
@@ -156,7 +156,7 @@ def duplicate_code(facts: DataFrame, t: Thresholds) -> DataFrame:
     f = rows_of(facts, "functions").where((c("n_body") >= t["DUPLICATE_CODE_MIN_LINES"]) & ~c("name").startswith("test_") & ~F.coalesce(c("only").isin(*_TRIVIAL), F.lit(False)))
     g = f.groupBy("path", normalized(c("normal")).alias("key")).agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("x"), F.sum("n_body").alias("total")).where(F.size("x") >= t["DUPLICATE_CODE_THRESHOLD"])
     g = g.withColumn("all", commas(F.transform("x", lambda x: x["name"])))
-    return smells(g, KIND, "Duplicate Code", text("Similar code found in functions: ", c("all"), " (", c("total"), " total lines) in ", c("path")), owner=c("all"), severity="high", step=13, seq=c("x")[0]["ord"])
+    return smells(g, KIND, "Duplicate Code", text("Similar code found in functions: ", c("all"), " (", c("total"), " total lines) in ", c("path")), owner=c("all"), severity="high", step=13, seq=F.get("x", F.lit(0))["ord"])
 
 
 def _accessors(facts: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def inappropriate_intimacy(facts: DataFrame, t: Thresholds) -> DataFrame:
     a = k.select("path", c("name").alias("a"), c("bases").alias("a_bases"), F.size("methods").alias("n"), c("at").alias("a_at"), F.explode("methods").alias("member"))
     b = k.select("path", c("name").alias("b"), c("bases").alias("b_bases"), c("at").alias("b_at"), F.explode("fields").alias("member"))
     p = a.join(b, ["path", "member"]).where((c("a") != c("b")) & ~F.array_contains("a_bases", c("b")) & ~F.array_contains("b_bases", c("a")))
-    g = p.groupBy("path", "a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("a_at").alias("a_at"), F.first("b_at").alias("b_at")).withColumn("ratio", c("shared") / c("n"))
+    g = p.groupBy("path", "a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("a_at").alias("a_at"), F.first("b_at").alias("b_at")).withColumn("ratio", F.try_divide("shared", "n"))
     g = g.where((c("shared") > t["INAPPROPRIATE_INTIMACY_SHARED"]) & (c("ratio") > t.get("INAPPROPRIATE_INTIMACY_METHOD_RATIO")))
     said = text("Class '", c("a"), "' might be too intimate with '", c("b"), "' (", c("shared"), " shared members, ", py_format(c("ratio"), ".1%"), " of methods) in ", c("path"))
     return smells(g, KIND, "Inappropriate Intimacy", said, owner=c("a"), step=19, seq=c("a_at") * 10_000 + c("b_at"))
@@ -244,7 +244,7 @@ def message_chains(facts: DataFrame, t: Thresholds) -> DataFrame:
 
 def _delegates(facts: DataFrame, t: Thresholds) -> DataFrame:
     k = rows_of(facts, "code_classes").where(~ends(c("name"), "Proxy", "Delegate", "Adapter", "Facade") & (c("n_body") > 3) & (F.size("methods") > 0))
-    k = k.withColumn("calls", F.filter("methods", lambda m: m["returns_call"] & ~_property(m["decorators"]) & ~m["name"].startswith("__"))).withColumn("n", F.size("calls")).withColumn("ratio", c("n") / F.size("methods"))
+    k = k.withColumn("calls", F.filter("methods", lambda m: m["returns_call"] & ~_property(m["decorators"]) & ~m["name"].startswith("__"))).withColumn("n", F.size("calls")).withColumn("ratio", F.try_divide(c("n"), F.size("methods")))
     k = k.withColumn("targets", F.filter(F.transform("calls", lambda m: m["delegate"]), lambda x: x.isNotNull()))
     return k.where((c("ratio") > t["MIDDLE_MAN_RATIO"]) & (F.size(F.array_distinct("targets")) <= t.get("MIDDLE_MAN_MAX_DELEGATE_TARGETS")))
 
