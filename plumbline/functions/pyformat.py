@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _formatted(values: pd.Series, spec: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else format(v, s) for v, s in zip(values, spec, strict=True)])
 
