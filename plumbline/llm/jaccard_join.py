@@ -20,6 +20,9 @@ LEAST_BLOCKS = 256
 #: Rounds in which each key's documents meet one of them only.
 STAR_ROUNDS = 2
 
+#: Bits of the sketch that is compared within a join's condition.
+FLAT_BITS = 1024
+
 _U = np.uint64
 
 
@@ -90,6 +93,12 @@ def parity_bits(g: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def flat_bits(g: np.ndarray) -> np.ndarray:
+    """As parity_bits, of FLAT_BITS bits whatever the size."""
+    flips = np.bincount((mix64(g ^ _U(0xF1A7)) & _U(FLAT_BITS - 1)).astype(np.int64), minlength=FLAT_BITS) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def common_slots(d: DataFrame, k: int) -> np.ndarray:
     """Which counters are common, from all documents. Each task adds up its own counters; they are summed in slices, and a table of fixed size reaches the driver."""
     pieces = 64
@@ -119,7 +128,7 @@ def common_slots(d: DataFrame, k: int) -> np.ndarray:
 
     schema = "piece int, counts binary"
     total = np.zeros((pieces, COUNTERS // pieces), np.int64)
-    for p, x in map_arrow(d.select("text"), count, schema).repartition(pieces, "piece").mapInArrow(add, schema).collect():
+    for p, x in map_arrow(map_arrow(d.select("text"), count, schema).repartition(pieces, "piece"), add, schema).collect():
         total[p] += np.frombuffer(x, "<u4")
     total = total.reshape(-1)
     return total > max(COMMON_LEAST, COMMON_TIMES * total.mean())
@@ -141,7 +150,7 @@ def signatures(d: DataFrame, k: int, percent: int, common: np.ndarray, seed: int
 
 
 def sets_of(d: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Rows (node, n, bits, shingles) of the nodes wanted, each from one document that has the set. wanted: (node, id)."""
+    """Rows (node, n, bits, flat, shingles) of the nodes wanted, each from one document that has the set. wanted: (node, id)."""
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     w = wanted.select(F.col("id").alias("id_")).distinct()
     texts = d.join(F.broadcast(w) if few else w, d["id"] == w["id_"], "left_semi")
@@ -151,10 +160,13 @@ def sets_of(d: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for b in slices(batch, "text"):
                 g, at = shingle_sets(b.column("text"), k)
                 bits = [parity_bits(g[x:y]) for x, y in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(set_hash(g, at))), pa.array(np.diff(at)), list_array(np.concatenate(bits), np.concatenate([[0], np.cumsum([len(x) for x in bits])])), list_array(signed(g), at)], ["node", "n", "bits", "shingles"])
+                flat = np.concatenate([flat_bits(g[x:y]) for x, y in zip(at, at[1:])])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(set_hash(g, at))), pa.array(np.diff(at)), list_array(np.concatenate(bits), np.concatenate([[0], np.cumsum([len(x) for x in bits])])), list_array(flat, np.arange(b.num_rows + 1) * (FLAT_BITS // 64)), list_array(signed(g), at)], ["node", "n", "bits", "flat", "shingles"])
 
-    s = map_arrow(texts.select("id", "text"), run, "node long, n long, bits array<long>, shingles array<long>")
-    return s.join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    s = map_arrow(texts.select("id", "text"), run, "node long, n long, bits array<long>, flat array<long>, shingles array<long>")
+    s = materialize(s.join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node", "left_semi"), "sets")
+    rows = s.agg(F.count("*"), F.count_distinct("node")).first()
+    return s if rows[0] == rows[1] else materialize(s.dropDuplicates(["node"]), "sets")  # rows repeat an id
 
 
 def _folded(bits: Column, size: Column) -> Column:
@@ -170,6 +182,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     flips = F.aggregate(F.zip_with(_folded(F.col("bits_u"), least), _folded(F.col("bits_v"), least), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     p = p.where(flips * (100 + percent) <= (100 - percent) * (F.col("n_u") + F.col("n_v"))).select("u", "v")
     p = materialize(p, "near")
+    used = materialize(p.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "used")
+    few = used.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sets = sets.join(F.broadcast(used) if few else used, "node", "left_semi")  # only these sets move
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
     p = p.join(side("u"), "u").join(side("v"), "v").withColumn("both", F.size(F.array_intersect("s_u", "s_v")))
     return p.where(F.expr(f"100 * both >= {percent} * (size(s_u) + size(s_v) - both)")).select("u", "v")
@@ -178,32 +193,34 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(d: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (u, v) of nodes with similarity at or above percent: enough of them that every link of the whole graph lies within one component.
 
-    Documents that share a key first meet one of them (the least under an order that changes by round): as many pairs as documents. Where the links found put all of a key's nodes into one component nothing is left to test. What remains, nodes of different components with a common key, is compared in full."""
+    Documents that share a key first meet one of them, which is the same for most keys of a group: as many pairs as documents. Where the links found put all of a key's nodes into one component nothing is left to test. What remains, nodes of different components with a common key, is compared in full, within a join whose condition is the Hamming distance."""
     keys = sig.select("node", F.explode("keys").alias("key"))
-    many = materialize(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "keys")
-    few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    shared = materialize(keys.join(F.broadcast(many) if few else many, "key").distinct(), "shared")
+    many = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    shared = keys.join(materialize(many, "keys"), "key").distinct()
+    # most keys of a group have the same nodes: one of them stands for all
+    group = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b"), F.count("*").alias("n"))
+    shared = materialize(shared.join(group.groupBy("a", "b", "n").agg(F.min("key").alias("key")).select("key"), "key"), "shared")
     nodes = shared.select("node").distinct()
     wanted = materialize(sig.groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node", "left_semi"), "nodes")
-    sets = materialize(sets_of(d, wanted, k), "sets")
+    sets = sets_of(d, wanted, k)
+    # a node's weight: how many keys it shares; the middle of a group of edited copies shares most
+    weight = shared.groupBy("node").agg((F.count("*") * F.lit(1 << 20) + F.col("node").bitwiseAND(F.lit((1 << 20) - 1))).alias("weight"))
+    shared = materialize(shared.join(weight, "node"), "weighed")
     found = tested = parts = None
     open_ = shared.withColumn("part", F.col("node"))
     for r in range(STAR_ROUNDS + 1):
         if parts is not None:
-            now = shared.join(parts, shared["node"] == parts["node_"], "left").select("key", "node", F.coalesce("part_", "node").alias("part"))
+            now = shared.join(parts, shared["node"] == parts["node_"], "left").select("key", "node", "weight", F.coalesce("part_", "node").alias("part"))
             mixed = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
             open_ = materialize(now.join(mixed, "key", "left_semi"), "open")
             if open_.isEmpty():
                 break
         if r < STAR_ROUNDS:
-            order = F.col("node").bitwiseXOR(F.lit(int(mix64(np.array([r + 1], _U)).view(np.int64)[0])))
-            pivot = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "part")).alias("p")).select("key", F.col("p.node").alias("p_node"), F.col("p.part").alias("p_part"))
-            pairs = open_.join(pivot, "key").where("part <> p_part").select(F.least("node", "p_node").alias("u"), F.greatest("node", "p_node").alias("v"))
+            pairs = materialize(star_pairs(open_, again=r > 0), "pairs")
         else:
-            a, b = (open_.select("key", F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "uv")
-            pairs = a.join(b, "key").where("u < v and part_u <> part_v").select("u", "v")
-        pairs = pairs.distinct()
-        pairs = materialize(pairs.join(tested, ["u", "v"], "left_anti") if tested is not None else pairs, "pairs")
+            pairs = materialize(rest_pairs(open_, sets, percent), "pairs")
+        if tested is not None:
+            pairs = pairs.join(tested, ["u", "v"], "left_anti")
         good = materialize(verify(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = good if found is None else found.unionByName(good)
@@ -211,6 +228,28 @@ def links(d: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
     return found
 
 
+def star_pairs(open_: DataFrame, again: bool) -> DataFrame:
+    """Of each key the pairs of its heaviest node with all nodes of other parts. again: of the heaviest node outside that node's part, as the first met its others before."""
+
+    def heaviest(x: DataFrame) -> DataFrame:
+        return x.groupBy("key").agg(F.max_by("node", "weight").alias("p_node"), F.max_by("part", "weight").alias("p_part"))
+
+    pivot = heaviest(open_)
+    if again:
+        pivot = heaviest(open_.join(pivot, "key").where("part <> p_part").select("key", "node", "weight", "part"))
+    return open_.join(pivot, "key").where("part <> p_part").select(F.least("node", "p_node").alias("u"), F.greatest("node", "p_node").alias("v")).distinct()
+
+
+def rest_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes of different parts with a common key whose sizes and flat parity sketches let them be similar. The Hamming distance is part of the join's condition, so what shares a key but no more is never a row."""
+    flat = [f"f{i}" for i in range(FLAT_BITS // 64)]
+    known = open_.select("key", "node", "part").join(sets.select("node", "n", *[F.get("flat", i).alias(f) for i, f in enumerate(flat)]), "node")
+    a, b = (known.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "n", *flat)]) for x in "uv")
+    flips = " + ".join(f"bit_count({f}_u ^ {f}_v)" for f in flat)
+    fits = F.expr(f"node_u < node_v and part_u <> part_v and 100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v) and ({flips}) * {100 + percent} <= {100 - percent} * (n_u + n_v)")
+    return a.join(b, (a["key"] == b["key"]) & fits).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: (id, n_shingles, component_id). Documents link if the Jaccard similarity of their sets of k-word shingles is at least percent/100; component_id is the least id reachable by links.
 
