@@ -90,9 +90,9 @@ def thresholds(measured: DataFrame, by: list[str], fence: float = 3.0, least_row
     merged = [F.expr(f"kll_merge_agg_double({m}, {k})").alias(m) for m in METRICS]
     own = materialize(good.groupBy(*by).agg(F.count("*").alias("rows"), *sketch), "sketches")
     first = own.groupBy(by[0]).agg(F.sum("rows").alias("rows_1"), *[c.alias(f"{m}_1") for c, m in zip(merged, METRICS, strict=True)])
-    every = own.agg(F.sum("rows").alias("rows_2"), *[c.alias(f"{m}_2") for c, m in zip(merged, METRICS, strict=True)])
+    every = own.agg(*merged).first()  # one sketch a metric
     first = first.withColumnRenamed(by[0], "wider_key")
-    wide = own.join(first, own[by[0]].eqNullSafe(first["wider_key"])).crossJoin(F.broadcast(every))  # every is one row
+    wide = own.join(first, own[by[0]].eqNullSafe(first["wider_key"])).select("*", *[F.lit(x).cast("binary").alias(f"{m}_2") for m, x in zip(METRICS, every, strict=True)])
     level = f"case when rows >= {least_rows} then 0 when rows_1 >= {least_rows} then 1 else 2 end"
     out = [F.col(c) for c in by]
     for m, (_, tails, least) in METRICS.items():
