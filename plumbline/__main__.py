@@ -20,8 +20,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--type", choices=FAMILIES, help="one family only")
     p.add_argument("--robust", action="store_true", help="go on in a file after a detector would have broken off")
     p.add_argument("--debug", action="store_true")
+    p.add_argument("--log", help="a file that gets the log too")
     a = p.parse_args(argv)
-    logging.basicConfig(level=logging.DEBUG if a.debug else logging.INFO)
+    logging.basicConfig(level=logging.DEBUG if a.debug else logging.INFO, handlers=[logging.StreamHandler(), *([logging.FileHandler(a.log)] if a.log else [])])
     check(load(a.config))
     spark = SparkSession.builder.appName("plumbline").getOrCreate()
     result = analyze(spark, a.directory, a.config, (a.type,) if a.type else FAMILIES, strict=not a.robust)

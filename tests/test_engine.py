@@ -91,12 +91,12 @@ def test_constructor_parameters_are_temporary_fields(spark, tmp_path):
     assert "fields a, b, self in class 'A'" in a[0]["description"]
 
 
-def test_hash_in_a_string_cuts_the_key():
-    from pyspark.sql import functions as F
+def test_hash_in_a_string_cuts_the_key(spark):
+    from plumbline.operators.code import normalized
 
-    assert F is not None
-    code = [extract("/p/m.py", "/p", f'def f(x):\n    a = "# {i}"\n    b = {i}\n    return b\n'.encode())["functions"][0]["normal"] for i in (1, 2)]
-    assert code[0] != code[1]
+    code = [extract("/p/m.py", "/p", f'def f(x):\n    a = "# {i}"\n    b = {i} + {i * i}\n    return b\n'.encode())["functions"][0]["normal"] for i in (1, 2)]
+    df = spark.createDataFrame([(x,) for x in code], "code string")
+    assert code[0] != code[1] and df.select(normalized(df["code"])).distinct().count() == 1
 
 
 def test_strict_run_ends_a_file(spark, tmp_path):
@@ -200,3 +200,21 @@ def test_stream_of_changes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["Long Parameter List"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from plumbline.__main__ import main
+
+    path = tree(tmp_path / "src", f="def f(" + ", ".join(f"param{i}" for i in range(7)) + "): pass\n")
+    assert main([path, "--type", "code", "--output", str(tmp_path / "r")]) == 0
+    out = capsys.readouterr().out
+    assert "Long Parameter List" in out and "Code: 1 files analyzed, 0 errors, success rate 100.0%" in out
+    assert {p.suffix for p in tmp_path.glob("r.*")} == {".txt", ".csv", ".json"}
+
+
+def test_package_exports():
+    import plumbline
+
+    assert len(plumbline.DETECTORS) == 46 and plumbline.analyze is analyze
+    with pytest.raises(AttributeError):
+        plumbline.nothing
