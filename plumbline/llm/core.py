@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts may be long, so batches stay small; the hashing below also cuts them by bytes.
 BATCH_ROWS = 400
 #: Bytes that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Rows of (id) or (id, few longs) that may be broadcast: 1 M rows are some 30 MB. Larger sides are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -58,20 +62,61 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def finer_partitions(spark: SparkSession, times: int = 4) -> Iterator[None]:
+    """Shuffles of what is run within have so many times the usual number of partitions, and small ones are not put together: for exchanges of many short rows, whose hash tables take far more memory than their compressed bytes tell."""
+    keys = {"spark.sql.shuffle.partitions": str(times * int(spark.conf.get("spark.sql.shuffle.partitions"))), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def shared_file(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a file in the shared folder, for executors that read or write it themselves."""
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_whole(uri: str, chunks: Iterable[bytes]) -> None:
+    """The file appears whole or not at all: a task that is run again writes beside and moves."""
+    system, path = shared_file(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    aside = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
+    with system.open_output_stream(aside) as f:
+        for chunk in chunks:
+            f.write(chunk)
+    system.move(aside, path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release_memory() -> None:
+    """Gives what a task has freed back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow with small batches."""
+    """df.mapInArrow with small batches; memory goes back after each task."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
 
-def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; otherwise as it is, for a shuffle join. df should be materialized."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return df.mapInArrow(run, schema)
 
 
 def worker_cache() -> dict:
@@ -188,7 +233,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     odd = mix64(np.arange(1, k + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
     with np.errstate(over="ignore"):
         total = np.zeros(n, _U)
-        for j in range(k):
+        for j in range(min(k, n)):
             total[: n - j] += hashes[j:] * odd[j] if j else hashes * odd[0]
         total += _U(k)
         left = np.repeat(bounds[1:], counts) - np.arange(n)
@@ -201,7 +246,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     return mix64(total[valid]), np.concatenate([[0], np.cumsum(valid, dtype=np.int64)])[bounds]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that a piece has about so many bytes of text (one row at least)."""
     _, offsets = text_bytes(batch.column(column))
     i = 0
@@ -243,16 +288,3 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-
-
-def clear_name(df: DataFrame, name: str) -> str:
-    """name, with underscores in front until no column of df is called so."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
-def text_of(column: str) -> Column:
-    """A text column, null as empty."""
-    return F.coalesce(F.col(column), F.lit(""))

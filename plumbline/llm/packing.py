@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.core import map_arrow, materialize, slices
+from plumbline.llm.core import map_arrow, materialize, scratch, shared_file, slices, write_whole
 from plumbline.llm.tokens import ENCODE_BYTES, Encoder
 
 
@@ -67,11 +67,12 @@ def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, part, place[, ids]): each document's ids and end_id, cut into pieces of capacity tokens only where it is longer; the first piece takes the remainder. part and place (the rank among the pieces of that length in that part) name a piece."""
+    """Rows (doc_id, piece, start, length, ids_crc32, part, place[, ids]): each document's ids and end_id, cut into pieces of capacity tokens only where it is longer; the first piece takes the remainder. part and place (the rank among the pieces of that length in that part) name a piece. Here ids take two bytes each where the vocabulary allows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
+        small = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         for batch in batches:
             for b in slices(batch, "text", ENCODE_BYTES):
                 ids, bounds = encoder.encode_ended(b.column(1), end_id)
@@ -94,7 +95,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, do
                 columns = [b.column(0).take(pa.array(of)), pa.array(k.astype(np.int32)), pa.array(x), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(place)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"]
                 if with_ids:
-                    columns.append(pa.array([data[p:q] for p, q in spans], pa.binary()))
+                    narrow = ids.astype("<u2").tobytes() if small else data
+                    columns.append(pa.array([narrow[p // 2 : q // 2] if small else narrow[p:q] for p, q in spans], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -105,12 +107,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, do
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, doc_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Packs all documents into sequences of at most capacity tokens by best-two-fit.
 
-    A table of pieces is written once to the shared folder; their lengths are counted by part, the counts of the capacity many lengths make the plan on the driver (its size depends on the number of lengths, not of documents), and each piece finds its bin from its rank among the pieces of its length. No text moves and no piece meets another in a task.
+    A table of pieces is written once to the shared folder; their lengths are counted by part, the counts of the capacity many lengths make the plan on the driver (its size depends on the number of lengths, not of documents), and each piece finds its bin from its rank among the pieces of its length. The ranks before each part are a small file in the shared folder, which the tasks that read the part's pieces open; so neither texts nor ids move, and no piece meets another in a task.
 
     Null or empty texts give one piece with the end id. Repeated and null ids are kept as rows of their own; ties are dealt by place. Extra columns are left out. An empty table gives no rows. Result: (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids])."""
     pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id, doc_col, text_col, with_ids), "pieces")
+    path = scratch(docs.sparkSession, "ranks")
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = by_part.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, lengths, ranks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                table = np.zeros(capacity + 1, "<i8")
+                table[lengths] = ranks
+                write_whole(f"{path}/{part}", [table.tobytes()])
+            yield b.select(["part"])
+
+    by = before.groupBy("part").agg(F.collect_list("length").alias("lengths"), F.collect_list("before").alias("ranks"))  # capacity many at most
+    map_arrow(by.select("part", "lengths", "ranks"), save, "part int").write.format("noop").mode("overwrite").save()
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in by_part.groupBy("length").agg(F.sum("n")).collect():
         counts[length] = n
@@ -128,20 +142,35 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     starts = np.searchsorted(table[:, 0], np.arange(capacity + 2))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def ranks_before(part: int) -> np.ndarray:
+            if part not in held:
+                if len(held) > 64:
+                    held.clear()
+                system, name = shared_file(f"{path}/{part}")
+                with system.open_input_file(name) as f:
+                    held[part] = np.frombuffer(f.read(), "<i8")
+            return held[part]
+
         for b in batches:
             if not b.num_rows:
                 continue
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            length, part = b.column("length").to_numpy(), b.column("part").to_numpy()
+            rank = b.column("place").to_numpy().copy()
+            for p in np.unique(part):
+                mine = part == p
+                rank[mine] += ranks_before(int(p))[length[mine]]
             at = np.empty(len(length), np.int64)
             for x in np.unique(length):
                 mine = np.flatnonzero(length == x)
                 lo, hi = starts[x], starts[x + 1]
                 at[mine] = lo + np.searchsorted(table[lo:hi, 1], rank[mine], "right") - 1
-            names = [n for n in b.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(table[at, 2] + rank - table[at, 1]), pa.array(table[at, 3])], [*names, "sequence_id", "offset"])
-
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("place") + F.col("before"))
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    ranked = ranked.select(*columns, "rank")
-    kinds = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in columns)
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+            columns = [b.column(n) for n in names]
+            if with_ids:  # two bytes each where the vocabulary allows, four in the result
+                columns[-1] = pa.array([x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(columns[-1].to_pylist(), length.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(table[at, 2] + rank - table[at, 1]), pa.array(table[at, 3])], [*names, "sequence_id", "offset"])
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    kinds = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in names)
+    return map_arrow(pieces.select(*names, "part", "place"), place, f"{kinds}, sequence_id long, offset long")

@@ -9,13 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.core import map_arrow, materialize, mix64, slices
+from plumbline.llm.core import map_arrow, materialize, mix64, shared_file, slices, write_whole
 from plumbline.llm.tokens import ENCODE_BYTES, Encoder
 
 #: A shard: MAGIC, the bytes of an id (u8: 2 if the vocabulary allows, else 4), then the raw ids (little-endian), then for each document the end of its ids (u64), then the number of documents (u64).
@@ -29,21 +28,6 @@ BUCKET = 4
 SHARD_BYTES = 32 << 20
 
 
-def _file(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
-
-
-def _write_whole(uri: str, chunks: Iterator[bytes]) -> None:
-    """The file appears whole or not at all: a task that is run again writes beside and moves."""
-    system, path = _file(uri)
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    aside = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
-    with system.open_output_stream(aside) as f:
-        for chunk in chunks:
-            f.write(chunk)
-    system.move(aside, path)
-
-
 # --- the hash --------------------------------------------------------------------------------------
 
 
@@ -155,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
                     yield ids.astype("<u2" if narrow else "<u4").tobytes()
             yield np.array(ends[1:], "<u8").tobytes() + struct.pack("<Q", len(ends) - 1)
 
-        _write_whole(f"{path}/shards/{shard:06d}.ids", chunks())
+        write_whole(f"{path}/shards/{shard:06d}.ids", chunks())
         yield from told
 
     kind = d.schema["key"].dataType.simpleString()
@@ -174,10 +158,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
         bucket = np.mod(c["h2"], parts)
         for k in np.unique(bucket):
             m = bucket == k
-            _write_whole(f"{path}/index/{k:06d}.mph", KeyIndex.pack(c["h"][m].astype(np.int64).view(np.uint64), (c["h2"][m].astype(np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32), c["shard"][m], c["start"][m], c["ids"][m], c["documents"][m]))
+            write_whole(f"{path}/index/{k:06d}.mph", KeyIndex.pack(c["h"][m].astype(np.int64).view(np.uint64), (c["h2"][m].astype(np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32), c["shard"][m], c["start"][m], c["ids"][m], c["documents"][m]))
             yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([int(m.sum())], pa.int64())], ["part", "keys"])
 
-    keys.select("h", "h2", "shard", "start", "ids", "documents").mapInArrow(index, "part int, keys long").withColumn("parts", F.lit(parts)).write.parquet(f"{path}/index_manifest")
+    map_arrow(keys.select("h", "h2", "shard", "start", "ids", "documents"), index, "part int, keys long").withColumn("parts", F.lit(parts)).write.parquet(f"{path}/index_manifest")
 
 
 def lookup(keys: DataFrame, path: str, key_col: str = "doc_id") -> DataFrame:
@@ -197,7 +181,7 @@ def lookup(keys: DataFrame, path: str, key_col: str = "doc_id") -> DataFrame:
             for p in np.unique(part):
                 if p not in read:
                     read.clear()
-                    system, name = _file(f"{path}/index/{p:06d}.mph")
+                    system, name = shared_file(f"{path}/index/{p:06d}.mph")
                     with system.open_input_file(name) as f:
                         read[p] = KeyIndex(f.read())
                 mine = np.flatnonzero(part == p)
@@ -207,7 +191,7 @@ def lookup(keys: DataFrame, path: str, key_col: str = "doc_id") -> DataFrame:
                 s = s[good]
                 yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(mine[good])), *(pa.array(s[n].astype(t)) for n, t in (("shard", np.int32), ("start", np.int64), ("ids", np.int64), ("documents", np.int64)))], ["key", "shard", "start", "n_ids", "documents"])
 
-    return k.repartition(parts, "part").sortWithinPartitions("part").select("key", "h", "h2", "part").mapInArrow(find, schema)
+    return map_arrow(k.repartition(parts, "part").sortWithinPartitions("part").select("key", "h", "h2", "part"), find, schema)
 
 
 def read_documents(places: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -223,11 +207,11 @@ def read_documents(places: DataFrame, path: str, with_ids: bool = True) -> DataF
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[int, tuple] = {}
 
-        def shard_file(k: int) -> tuple:
+        def shardshared_file(k: int) -> tuple:
             if k not in opened:
                 if len(opened) > 1:
                     opened.pop(next(iter(opened)))[0].close()
-                system, name = _file(f"{path}/shards/{k:06d}.ids")
+                system, name = shared_file(f"{path}/shards/{k:06d}.ids")
                 f = system.open_input_file(name)
                 total = f.size()
                 (n,) = struct.unpack("<Q", f.read_at(8, total - 8))
@@ -240,7 +224,7 @@ def read_documents(places: DataFrame, path: str, with_ids: bool = True) -> DataF
             out: list[tuple] = []
             for key, k, start, documents in zip(b.column("key").to_pylist(), b.column("shard").to_pylist(), b.column("start").to_pylist(), b.column("documents").to_pylist(), strict=True):
                 while documents:
-                    f, ends, wide = shard_file(k)
+                    f, ends, wide = shardshared_file(k)
                     i = int(np.searchsorted(ends, start, "right"))
                     here = min(documents, len(ends) - i)
                     for end in ends[i : i + here].tolist():

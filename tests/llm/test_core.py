@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm.core import PIECE, Words, clear_name, components, shingles
+from plumbline.llm.core import PIECE, Words, components, shingles
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab .\n\té　", max_size=30)), max_size=8)
@@ -89,7 +89,3 @@ def test_random_components(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in parent}
-
-
-def test_clear_name(spark):
-    assert clear_name(spark.range(1).selectExpr("1 as a", "2 as _A"), "a") == "__a"
