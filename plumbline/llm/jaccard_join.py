@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.core import BROADCAST_ROWS, Words, components, list_array, map_arrow, materialize, mix64, shingles, signed, slices
+from plumbline.llm.core import BROADCAST_ROWS, Words, components, finer_partitions, list_array, map_arrow, materialize, mix64, shingles, signed, slices
 
 #: Counters (a fixed number, 4 MB) of how many documents have a shingle, by hash.
 COUNTERS = 1 << 20
@@ -196,10 +196,13 @@ def links(d: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
     Documents that share a key first meet one of them, which is the same for most keys of a group: as many pairs as documents. Where the links found put all of a key's nodes into one component nothing is left to test. What remains, nodes of different components with a common key, is compared in full, within a join whose condition is the Hamming distance."""
     keys = sig.select("node", F.explode("keys").alias("key"))
     many = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    shared = keys.join(materialize(many, "keys"), "key").distinct()
+    with finer_partitions(d.sparkSession):
+        many = materialize(many, "keys")
+    shared = keys.join(many, "key").distinct()
     # most keys of a group have the same nodes: one of them stands for all
     group = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b"), F.count("*").alias("n"))
-    shared = materialize(shared.join(group.groupBy("a", "b", "n").agg(F.min("key").alias("key")).select("key"), "key"), "shared")
+    with finer_partitions(d.sparkSession):
+        shared = materialize(shared.join(group.groupBy("a", "b", "n").agg(F.min("key").alias("key")).select("key"), "key"), "shared")
     nodes = shared.select("node").distinct()
     wanted = materialize(sig.groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node", "left_semi"), "nodes")
     sets = sets_of(d, wanted, k)
@@ -212,7 +215,7 @@ def links(d: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
         if parts is not None:
             now = shared.join(parts, shared["node"] == parts["node_"], "left").select("key", "node", "weight", F.coalesce("part_", "node").alias("part"))
             mixed = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-            open_ = materialize(now.join(mixed, "key", "left_semi"), "open")
+            open_ = materialize(now.join(materialize(mixed, "mixed"), "key", "left_semi"), "open")
             if open_.isEmpty():
                 break
         if r < STAR_ROUNDS:
@@ -232,7 +235,8 @@ def star_pairs(open_: DataFrame, again: bool) -> DataFrame:
     """Of each key the pairs of its heaviest node with all nodes of other parts. again: of the heaviest node outside that node's part, as the first met its others before."""
 
     def heaviest(x: DataFrame) -> DataFrame:
-        return x.groupBy("key").agg(F.max_by("node", "weight").alias("p_node"), F.max_by("part", "weight").alias("p_part"))
+        """A table of its own, so that the join with it may be dealt anew where one key has many nodes."""
+        return materialize(x.groupBy("key").agg(F.max_by("node", "weight").alias("p_node"), F.max_by("part", "weight").alias("p_part")), "pivots")
 
     pivot = heaviest(open_)
     if again:

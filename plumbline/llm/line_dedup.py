@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.core import BROADCAST_ROWS, Words, list_array, map_arrow, materialize, mix64, signed, slices
+from plumbline.llm.core import BROADCAST_ROWS, Words, finer_partitions, list_array, map_arrow, materialize, mix64, signed, slices
 
 #: Lines of fewer words are never removed.
 MIN_WORDS = 5
@@ -166,9 +166,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     lines = materialize(find_lines(d, min_words), "lines")
     ordered = lines.withColumn("o", _order(F.col("line")))
-    first = ordered.groupBy("h").agg(F.min("o").alias("first"))
+    # a table of its own, so that the joins with it may be dealt anew where one line is in a third of all rows
+    first = materialize(ordered.groupBy("h").agg(F.min("o").alias("first")), "first")
     met = lines.select("h", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    met = materialize(met, "met")
+    with finer_partitions(docs.sparkSession):
+        met = materialize(met, "met")
     few = met.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     asked = lines.select("h", "id", "tie", "line", F.explode("keys").alias("key")).join(F.broadcast(met) if few else met, "key")
     # of equal lines the earliest stands for all
