@@ -41,7 +41,7 @@ def render_query(key: str, source: str, oracle: str, detector: str | None = None
     """Registers key: its detector over sources rendered from suppliers. oracle: SQL over s (k), with the columns of a smell."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts = extract_facts(rendered(spark, sf_dir, source, name))
+        facts = extract_facts(rendered(spark, sf_dir, source, name)).persist()  # parsed once, whatever the plan reads
         return _select(detect(facts, detector or key, load(EXTENDED)))
 
     QUERIES[key] = query
