@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -14,9 +14,6 @@ from plumbline.llm.core import Words, map_arrow, shingles, signed, slices
 
 #: Words of a seed.
 GRAM = 4
-#: A seed is rare if so small a share of documents has it, or if it is not more than RARE_TIMES as frequent as the rarest of its item (so that an item that leaked widely keeps its seeds).
-RARE_SHARE = 1e-3
-RARE_TIMES = 4
 #: Alignment: points of a match, a mismatch, a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's highest score from which a passage is a copy.
@@ -59,16 +56,6 @@ class Block:
         grams, first = np.unique(g[by], return_index=True)
         return grams, np.append(first, len(g)), item[by], place[by]
 
-    def rare(self, frequency: dict[int, int], documents: int) -> Block:
-        """Only rare seeds. frequency: of each gram (signed) the number of documents with it."""
-        df = np.array([frequency.get(int(x), 0) for x in signed(self.grams)], np.int64)
-        each = np.repeat(df, np.diff(self.bounds))
-        least = np.full(len(self.ids), np.iinfo(np.int64).max // RARE_TIMES)
-        np.minimum.at(least, self.item, np.maximum(each, 1))
-        keep = each <= np.maximum(RARE_SHARE * documents, RARE_TIMES * least[self.item])
-        g = np.repeat(self.grams, np.diff(self.bounds))
-        return Block(self.ids, self.words, *self._sorted(g[keep], self.item[keep], self.place[keep]))
-
     def table(self) -> np.ndarray:
         t = np.zeros(_TABLE, bool)
         t[(self.grams & np.uint64(_TABLE - 1)).astype(np.int64)] = True
@@ -98,6 +85,12 @@ def align(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def at_most(item: np.ndarray, text: np.ndarray) -> int:
+    """No local alignment scores more: each word of a passage that the item has counts as a match, any other as one point less."""
+    run = np.cumsum(np.where(np.isin(text, item), MATCH, MISMATCH))
+    return int((run - np.minimum.accumulate(np.append(0, run[:-1]))).max(initial=0))
+
+
 def matches(block: Block, table: np.ndarray, w: Words, g: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, float, int, int]]:
     """(document, item, score, similarity, first and last word of the passage) of each copy in a batch; of an item's passages in a document the best."""
     at, seed = block.find(g, table)
@@ -123,7 +116,8 @@ def matches(block: Block, table: np.ndarray, w: Words, g: np.ndarray, b: np.ndar
         cut = np.flatnonzero(np.diff(s) > m + 2 * slack) + 1
         for part in np.split(s, cut):
             lo, hi = max(0, int(part[0]) - slack), min(len(text), int(part[-1]) + m + slack)
-            best = max(best, (align(own, text[lo:hi]), -lo, hi))
+            if at_most(own, text[lo:hi]) >= max(need, best[0]):
+                best = max(best, (align(own, text[lo:hi]), -lo, hi))
         if best[0] >= need:
             out.append((d, i, best[0], best[0] / (MATCH * m), -best[1], best[2]))
     return out
@@ -160,31 +154,16 @@ def _scan(docs: DataFrame, block: Block, keep: list[str], text: str, rows: Calla
     return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep]), run, schema)
 
 
-def rare_block(docs: DataFrame, block: Block, text_col: str) -> Block:
-    """The block with rare seeds only, from document frequencies over all documents (one row for each seed reaches the driver)."""
-
-    def rows(b: pa.RecordBatch, w: Words, g: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
-        at, seed = block.find(g, table)
-        doc = np.searchsorted(bounds, at, "right") - 1
-        pairs = np.unique(doc * np.int64(len(block.grams) + 1) + seed)
-        seeds, n = np.unique(pairs % np.int64(len(block.grams) + 1), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.append(signed(block.grams[seeds]), 0)), pa.array(np.append(n, b.num_rows)), pa.array(np.append(np.zeros(len(seeds), bool), True))], ["gram", "n", "every"])
-
-    got = _scan(docs, block, [text_col], text_col, rows, "gram long, n long, every boolean").groupBy("gram", "every").agg(F.sum("n").alias("n")).collect()
-    return block.rare({r["gram"]: r["n"] for r in got if not r["every"]}, sum(r["n"] for r in got if r["every"]))
-
-
 def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document row and item of which it holds a copy, exact, edited or paraphrased: (id, item, score, similarity, from_word, to_word; the passage lies between).
 
-    Each seed of an item in a document marks where the item would lie there; stretches around the marks are aligned. Documents never leave their task and the benchmark is held in blocks of bounded size. Null or empty texts match nothing; repeated rows match each; repeated items count once; an item of fewer than GRAM words matches only a document of just these words; empty tables give no rows."""
+    Each seed of an item in a document marks where the item would lie there; stretches around the marks are aligned, unless a bound says that no copy can be there. Every seed counts, however many documents have it. Documents never leave their task and the benchmark is held in blocks of bounded size. Null or empty texts match nothing; repeated rows match each; repeated items count once; an item of fewer than GRAM words matches only a document of just these words; empty tables give no rows."""
     spark = docs.sparkSession
     kinds = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}, score long, similarity double, from_word long, to_word long"
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     item_kind = pa.int64() if benchmark.schema[item_col].dataType.simpleString() == "bigint" else None
     out = None
-    for whole in blocks(benchmark, item_col, item_text):
-        block = rare_block(d, whole, "text")
+    for block in blocks(benchmark, item_col, item_text):
 
         def rows(b: pa.RecordBatch, w: Words, g: np.ndarray, bounds: np.ndarray, table: np.ndarray, block: Block = block) -> pa.RecordBatch:
             m = matches(block, table, w, g, bounds)
@@ -199,8 +178,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def remove_copies(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs, all columns, without the rows that hold a copy of an item (as find_copies has them)."""
-    for whole in blocks(benchmark, item_col, item_text):
-        block = rare_block(docs, whole, text_col)
+    for block in blocks(benchmark, item_col, item_text):
 
         def rows(b: pa.RecordBatch, w: Words, g: np.ndarray, bounds: np.ndarray, table: np.ndarray, block: Block = block) -> pa.RecordBatch:
             keep = np.ones(b.num_rows, bool)

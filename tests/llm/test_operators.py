@@ -398,6 +398,26 @@ def test_decontamination(spark):
     assert sorted(kept) == list(range(len(clean)))
 
 
+def test_decontamination_finds_widespread_parts_of_items(spark):
+    rng = np.random.default_rng(17)
+    clean = prose(rng, 600)
+    item = [f"item{i}" for i in range(40)]
+    edited = [("changed" if i % 9 == 4 else y) for i, y in enumerate(item)]
+    dirty = [" ".join(item[:30])] * 20 + [f"{clean[0]} {' '.join(edited)}"] * 20
+    docs = spark.createDataFrame(list(enumerate(clean + dirty + [" ".join(item)])), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:30]) + " and then words that no document has at all")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_copies(docs, bench).collect()}
+    assert got == {(i, k) for i in range(600, 641) for k in (1, 2)}
+    assert decontaminate.remove_copies(docs, bench).count() == 600
+
+
+def test_bound_of_alignment():
+    rng = np.random.default_rng(18)
+    for _ in range(100):
+        a, b = rng.integers(0, 12, rng.integers(1, 15)).astype(np.uint64), rng.integers(0, 12, rng.integers(0, 25)).astype(np.uint64)
+        assert decontaminate.at_most(a, b) >= decontaminate.align(a, b)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(13)
     items = prose(rng, 5)
