@@ -30,8 +30,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines are cut out; documents with nothing else go. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).where(~F.col("emptied"))
+    """Repeated lines are cut out; documents with nothing else go, those with a word left stay. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).where(~F.col("emptied") | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

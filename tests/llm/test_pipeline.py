@@ -77,6 +77,15 @@ def test_stages(spark, tables, tmp_path):
         docs = out
 
 
+def test_cut_lines_keeps_what_has_words_left(spark):
+    notice = "this line is boilerplate on every page"
+    texts = [notice, f"a short verse\nof few words\n{notice}\nends here", f"\n{notice}\n \t\n", f"日本語の文\n{notice}", notice]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.cut_lines(spark, docs, "").collect()}
+    left = {0: texts[0], 1: "a short verse\nof few words\nends here", 3: "日本語の文"}
+    assert got == {i: (t, len(t)) for i, t in left.items()}
+
+
 def test_run(spark, tables):
     d, _ = tables
     out = corpus_pipeline.run(spark, d).collect()
