@@ -36,11 +36,26 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, the one with the least doc_id stays."""
-    groups = jaccard_join.similar_groups(docs)
-    gone = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "near")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of rows linked by a Jaccard similarity of 0.8 or more over five-word shingles, one stays: that with the least doc_id, null last. A row is told by its doc_id and text, so of rows that repeat both one stays, and rows that repeat an id with other texts have their own fates. Texts without words stay."""
+    d = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    groups = jaccard_join.similar_groups(d.select("row", "text"), "row")
+    own = materialize(groups.where("n_shingles > 0").groupBy("row").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times")), "rows")
+    named = own.join(d.select("row", "doc_id").distinct(), "row")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row"))["row"].alias("row")).select("row")
+    best = materialize(best, "best")
+    gone = materialize(own.join(best, "row", "left_anti").select("row"), "near")
+    twice = materialize(own.where("times > 1").join(best, "row", "left_semi").select("row"), "twice")
+    left = d.join(_small(gone), "row", "left_anti")
+    if twice.isEmpty():
+        return left.select(*COLUMNS)
+    # partial before the exchange, so a row that is repeated very often is no burden
+    once = left.join(_small(twice), "row", "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return left.join(_small(twice), "row", "left_anti").select(*COLUMNS).unionByName(once)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """To be broadcast if there are few rows."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,14 @@ def test_cut_lines_keeps_what_has_words_left(spark):
     assert got == {i: (t, len(t)) for i, t in left.items()}
 
 
+def test_one_row_of_each_group(spark):
+    a, b, c = ("one two three four five six seven " + x for x in ("alpha beta", "x y z w v u t s r q p o", "k l m n o i j h g f e d c b a"))
+    texts = [(1, a), (1, a), (2, a), (None, a), (None, a), (2, b), (None, b), (None, c), (None, c), (3, None), (3, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", len(t or "")) for n, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(1, a, "s0"), (2, b, "s5"), (None, c, "s7"), (3, None, "s9"), (3, None, "s10"), (None, "", "s11"), (None, "", "s12")], key=repr)
+
+
 def test_run(spark, tables):
     d, _ = tables
     out = corpus_pipeline.run(spark, d).collect()
