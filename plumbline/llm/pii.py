@@ -13,8 +13,13 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What may be an identifier: from a digit, 6 to 40 letters, digits, hyphens, slashes or underscores, the first run of its kind.
-IDENTIFIER = r"(?<![0-9A-Za-z@.+])[0-9][A-Za-z0-9/_-]{4,38}[A-Za-z0-9](?![A-Za-z0-9@])"
+#: What may be an identifier: a token (letters and digits, parted by single or repeated ._/- at most) that holds a digit, of any length, or a run of such with number groups.
+_APART = r"(?<![\p{L}\p{N}@.+]|[\p{L}\p{N}][._/-]{1,3})"
+_NUMBERS = r"\p{N}++(?:[._/-]++\p{N}++)*+"
+_BRACKET = r"\(\p{N}++\)"
+_ONE = r"(?=[\p{L}._/-]*+\p{N})[\p{L}\p{N}]++(?:[._/-]++[\p{L}\p{N}]++)*+"
+TOKEN = _APART + _ONE + r"(?![\p{L}\p{N}@])"
+RUN = rf"{_APART}(?:{_BRACKET}|{_ONE})(?:[\x20._/-]?{_BRACKET}|(?:[\x20._/-]|(?<=\))){_NUMBERS})++(?![\p{{L}}\p{{N}}@])"
 #: Code points before an entity that may hold the word of its context.
 CONTEXT = 40
 _SPANS = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
@@ -70,13 +75,21 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     found = base_spans(text)
+    digit = text.rlike(r"\p{N}")
 
     def named(c: Column, k: int) -> Column:
         return F.transform(c, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _pattern(x["before"]).alias("pattern")))
 
     flat = [named(c, k) for k, c in enumerate(found.values())]
-    d = d.select("id", F.xxhash64("text").alias("tie"), F.concat(*flat).alias("base"), spans(text, IDENTIFIER, text.rlike("[0-9][A-Za-z0-9/_-]{4}")).alias("maybe"))
-    other = F.filter("maybe", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    d = d.select("id", F.xxhash64("text").alias("tie"), F.concat(*flat).alias("base"), spans(text, RUN, digit).alias("runs"), spans(text, TOKEN, digit).alias("tokens"))
+
+    def apart(c: str, others: str) -> Column:
+        return F.filter(c, lambda x: ~F.exists(others, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+
+    # a run that meets a fixed match gives way to its tokens
+    d = d.withColumn("runs", apart("runs", "base"))
+    other = F.concat("runs", apart("tokens", "base_runs"))
+    d = d.withColumn("base_runs", F.concat(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))))
     return d.select("id", "tie", "base", F.transform(other, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _pattern(x["before"]).alias("pattern"))).alias("others"))
 
 

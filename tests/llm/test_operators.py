@@ -547,6 +547,18 @@ def test_personal_data(spark):
     assert got[len(texts) - 1]["spans"] == "context:9:20"
 
 
+def test_personal_data_of_any_form(spark):
+    texts = [f"contact: +1 (743) 555-30{10 + i}" for i in range(40)]
+    ids = ["AB123456", "DE89 3704 0044 0532 0130 00", "(743) 555-3824", "743.555.3824", "7", "x" * 60 + "1", "é5", "8877-3321-A"]
+    texts += [f"contact: {x}, then" for x in ids] + ["contact: nobody", "somewhere: AB999999"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal(docs).collect()}
+    assert [got[40 + n] for n in range(len(ids))] == [f"context:9:{9 + len(x)}" for x in ids]
+    assert got[40 + len(ids)] == got[41 + len(ids)] == ""
+    # a run gives way to its tokens where it meets a fixed match
+    assert pii.find_personal(docs.limit(40).unionByName(spark.createDataFrame([(99, "contact: AB12 1.2.3.4")], docs.schema))).where("doc_id = 99").first()["spans"] == "context:9:13,ip:14:21"
+
+
 def test_personal_data_awkward(spark):
     assert pii.find_personal(documents(spark)).count() == len(TEXTS) + 2
     assert pii.find_personal(documents(spark, [])).count() == 0
