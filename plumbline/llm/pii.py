@@ -105,22 +105,26 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") ->
 def confident_patterns(found: DataFrame, docs: DataFrame, text_col: str = "text", rounds: int = 3, least_seeds: int = 3, confidence: float = 0.5, prior: float = 2.0) -> DataFrame:
     """Rows (pattern, score) of the patterns that are sure enough.
 
-    A bipartite graph joins each pattern to the instances (values) it was seen with; patterns with fewer than least_seeds different values of fixed patterns are left out. Instances that a fixed pattern found are sure (1). A pattern's score is the sum of its instances' scores over the number of times that its word occurs at all (and prior more), so a frequent word that happens to precede an entity now and then has none; an instance's score is the chance that not all its patterns are wrong. Scores pass to and fro rounds times, each round a table in the shared folder. Sums are partial before each exchange, so one pattern in a third of all rows is no burden."""
+    A bipartite graph joins each pattern to the instances (values) it was seen with. Instances that a fixed pattern found are sure (1), and others count as soon as patterns say so. In each round a pattern with at least least_seeds different instances of a score of at least confidence scores the sum of its instances' scores over the number of times that its word occurs at all (and prior more), so a frequent word that happens to precede an entity now and then has none; other patterns score 0, as yet. An instance's score is the chance that not all its patterns are wrong, less as it stands more than prior times elsewhere than behind patterns that score at least confidence, so a common number that stood behind a sure pattern once makes no others sure. So identifiers found in one round make new patterns sure in the next. Scores pass to and fro rounds times, each round a table in the shared folder. Patterns with fewer than least_seeds different instances of any kind can never score and are left out. Sums are partial before each exchange, so one pattern in a third of all rows is no burden."""
     seeds = found.select(F.explode("base").alias("x")).select("x.pattern", "x.value", F.lit(1).alias("seed"))
     rest = found.select(F.explode("others").alias("x")).select("x.pattern", "x.value", F.lit(0).alias("seed"))
-    graph = seeds.unionByName(rest).where("pattern <> '' and pattern <> '_'").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("times"))
-    graph = materialize(graph, "graph")
-    known = graph.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.sum("times").alias("seen")).where(F.col("seeds") >= least_seeds)
+    every = materialize(seeds.unionByName(rest).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "every")
+    graph = every.where("pattern <> '' and pattern <> '_'")
+    known = graph.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("times").alias("seen")).where(F.col("instances") >= least_seeds)
     known = materialize(known, "known")
     total = known.join(materialize(occurrences(docs, known, text_col), "occurrences"), "pattern", "left").select("pattern", F.greatest("seen", F.coalesce("occurrences", F.lit(0))).alias("total"))
-    graph = materialize(graph.join(total, "pattern"), "graph")
-    values = graph.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
+    stands = every.groupBy("value").agg(F.sum("times").alias("stands"), F.max("seed").alias("fixed"))
+    graph = materialize(graph.select("pattern", "value", "times").join(total, "pattern").join(stands, "value"), "graph")
+    values = graph.groupBy("value").agg(F.max("fixed").cast("double").alias("score"))
     patterns = None
     for _ in range(rounds):
         scored = graph.join(values, "value")
-        patterns = materialize(scored.groupBy("pattern").agg((F.sum(F.col("score") * F.col("times")) / (F.max("total") + prior)).alias("score")), "patterns")
+        ready = F.count(F.when(F.col("score") >= confidence, 1)) >= least_seeds
+        patterns = materialize(scored.groupBy("pattern").agg(F.when(ready, F.sum(F.col("score") * F.col("times")) / (F.max("total") + prior)).otherwise(0.0).alias("score")), "patterns")
         chance = F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999)))))
-        values = materialize(graph.join(patterns, "pattern").groupBy("value").agg(F.when(F.max("seed") == 1, 1.0).otherwise(1 - chance).alias("score")), "values")
+        sure = F.sum(F.when(F.col("score") >= confidence, F.col("times")).otherwise(0))
+        share = F.least(F.lit(1.0), (sure + prior) / F.max("stands"))
+        values = materialize(graph.join(patterns, "pattern").groupBy("value").agg(F.when(F.max("fixed") == 1, 1.0).otherwise((1 - chance) * share).alias("score")), "values")
     return patterns.where(F.col("score") >= confidence).select("pattern", "score")
 
 

@@ -559,6 +559,19 @@ def test_personal_data_of_any_form(spark):
     assert pii.find_personal(docs.limit(40).unionByName(spark.createDataFrame([(99, "contact: AB12 1.2.3.4")], docs.schema))).where("doc_id = 99").first()["spans"] == "context:9:13,ip:14:21"
 
 
+def test_personal_data_grows_over_rounds(spark):
+    # fixed matches make 'contact:' sure, ids behind it 'acct:', ids behind that 'member:'; pages and years stay
+    texts = [f"contact: +1 (743) 555-30{10 + i}" for i in range(80)]
+    texts += [f"contact: AB{i}77 then acct: AB{i}77" for i in range(30)] + [f"acct: CD{i}77 then member: CD{i}77" for i in range(6)]
+    first = len(texts)
+    texts += ["acct: XY1234", "member: ZZ9876", "contact: 5", "contact: 6", "contact: 7"] + [f"page {i % 9} of" for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.find_personal(docs).where(f"doc_id = {first}").first()["spans"] == "context:6:12"
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal(docs, rounds=5).collect()}
+    assert got[first] == "context:6:12" and got[first + 1] == "context:8:14"
+    assert all(got[first + k].startswith("context:9:") for k in (2, 3, 4)) and not any(got[i] for i in range(first + 5, len(texts)))
+
+
 def test_personal_data_awkward(spark):
     assert pii.find_personal(documents(spark)).count() == len(TEXTS) + 2
     assert pii.find_personal(documents(spark, [])).count() == 0
