@@ -51,10 +51,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql("select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    back = chat_format.read_back(chat_format.format_conversations(rows))
-    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("targets", "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+    w = chat_format.read_windows(chat_format.format_conversations(rows))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    w = w.select("conv_id", F.struct("window", said.alias("said"), F.array_join("targets", "").alias("loss")).alias("w"), F.size("turns").alias("n"), "chars")
+    # the digests need a conversation's windows together, in order
+    g = w.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
+    whole = lambda x: F.array_join(F.transform("w", lambda w: w[x]), "")
+    digest = lambda x: F.sha2(whole(x).cast("binary"), 256)
+    return g.select("conv_id", "n_turns", digest("said").alias("turns_sha256"), F.length(whole("loss")).cast("long").alias("loss_chars"), digest("loss").alias("loss_sha256"), "formatted_chars")
 
 
 def op10_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -462,14 +462,84 @@ def test_chat_round_trip(spark):
         v.sort(key=lambda r: (r["turn"] is not None, r["turn"] or 0, r["role"] or "", r["text"] or ""))
         assert [(t["role"], t["text"]) for t in got[k]["turns"]] == [(r["role"] or "", r["text"] or "") for r in v]
         assert got[k]["targets"] == [r["text"] or "" for r in v if r["role"] == "assistant"]
-    spans = windows.collect()
-    assert max(r["window"] for r in spans) > 0
-    for r in spans:
-        if r["window"] and r["conv_id"] is not None and r["conv_id"] >= 10 and r["conv_id"] % 2:
-            assert r["formatted"].startswith("<|system|>\nbe brief<|end|>\n") and r["n_repeated"] >= 1
-        # whole turns within the budget, but for a turn that is longer itself
-        own = r["n_turns"] - r["n_repeated"]
-        assert own == 1 or len(r["formatted"]) < 2 * 4 * 400
+    spans = collections.defaultdict(list)
+    for r in windows.collect():
+        spans[r["conv_id"]].append((r["window"], r["formatted"], [tuple(x) for x in r["loss"]], r["n_repeated"], r["n_turns"]))
+    assert {k: sorted(v) for k, v in spans.items()} == {k: chat_windows(v, 400, 60, 2) for k, v in want.items()}
+    assert max(len(v) for v in spans.values()) > 3
+
+
+def chat_windows(turns, budget, history, history_turns, cost=lambda r: len(r["text"] or "") // 4 + 5):
+    """Windows of one conversation, turn by turn."""
+    e = lambda x: (x or "").replace("\\", "\\\\").replace("|", "\\|")
+    lead = int(turns[0]["role"] == "system" and len(turns) > 1)
+    room = max(budget - history - (cost(turns[0]) if lead else 0), 1)
+    chunk = lambda r: -1 if r["turn"] is None else r["turn"] // chat_format.CHUNK_TURNS
+    chunks = collections.defaultdict(list)
+    for at in range(lead, len(turns)):
+        chunks[chunk(turns[at])].append(at)
+    out, before = [], []
+    for places in chunks.values():
+        total = used = block = 0
+        span = []
+        seen = list(before)
+        for at in [*places, None]:
+            c = None if at is None else cost(turns[at])
+            now = None if at is None else total // (room * chat_format.BLOCK_ROOMS)
+            if span and (at is None or now != block or used + c > room):
+                back = max((h for h in range(history_turns + 1) if h <= len(seen) and sum(cost(turns[x]) for x in seen[len(seen) - h :]) <= history), default=0)
+                shown = [*range(lead), *seen[len(seen) - back :], *span]
+                repeated = 0 if span[0] == lead else lead + back
+                text, loss = "", []
+                for i, x in enumerate(shown):
+                    text += f"<|{e(turns[x]['role'])}|>\n"
+                    if i >= repeated and turns[x]["role"] == "assistant":
+                        loss.append((len(text), len(e(turns[x]["text"]))))
+                    text += e(turns[x]["text"]) + "<|end|>\n"
+                out.append((span[0], text, loss, repeated, len(shown)))
+                seen += span
+                span, used = [], 0
+            if at is not None:
+                span.append(at)
+                used, total, block = used + c, total + c, now
+        before = places[-history_turns:]
+    return sorted(out)
+
+
+def test_chat_windows_over_chunks_and_blocks(spark, monkeypatch):
+    """Chunks and blocks far smaller than usual, so that windows and history meet their ends; clashing columns, own token counts."""
+    monkeypatch.setattr(chat_format, "CHUNK_TURNS", 7)
+    monkeypatch.setattr(chat_format, "BLOCK_ROOMS", 2)
+    rng = np.random.default_rng(24)
+    rows = []
+    for c in range(12):
+        turns = sorted(rng.choice(60, 40, replace=False).tolist()) + [None]
+        rows += [(c, t, "system" if k == 0 and c % 3 == 0 else str(rng.choice(["user", "assistant"])), "x" * int(rng.integers(0, 90)), int(rng.integers(0, 40)), 7) for k, t in enumerate(turns[: int(rng.integers(1, 41))])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tokens long, block long")
+    for name in ("id", "none", "chunk", "cost", "lead", "room", "body", "window", "formatted", "loss"):
+        df = df.selectExpr("*", f"'{name}' as {name}")
+    want = collections.defaultdict(list)
+    for r in df.collect():
+        want[r["conv_id"]].append(r)
+    for v in want.values():
+        v.sort(key=lambda r: (r["turn"] is not None, r["turn"] or 0, r["role"], r["text"]))
+    for options, cost in (({}, {}), ({"tokens_col": "tokens"}, {"cost": lambda r: r["tokens"] + 4})):
+        windows = chat_format.format_conversations(df, budget=100, history=30, **options)
+        got = collections.defaultdict(list)
+        for r in windows.collect():
+            got[r["conv_id"]].append((r["window"], r["formatted"], [tuple(x) for x in r["loss"]], r["n_repeated"], r["n_turns"]))
+        assert {k: sorted(v) for k, v in got.items()} == {k: chat_windows(v, 100, 30, 2, **cost) for k, v in want.items()}
+        back = {r["conv_id"]: r["turns"] for r in chat_format.read_back(windows).collect()}
+        assert {k: [tuple(t) for t in v] for k, v in back.items()} == {k: [(r["role"], r["text"]) for r in v] for k, v in want.items()}
+
+
+def test_chat_long_conversation(spark):
+    """One conversation of 20,000 turns among small ones."""
+    rows = spark.range(20_000).selectExpr("if(id < 19900, 1, id) as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat('word ', cast(id % 90 as int)) as text")
+    windows = chat_format.format_conversations(rows)
+    got = {r["conv_id"]: r for r in chat_format.read_back(windows).where("conv_id = 1 or conv_id > 19990").collect()}
+    assert [t["text"] for t in got[1]["turns"]] == ["word " * (i % 90) for i in range(19_900)] and len(got[1]["targets"]) == 9950 and len(got) == 10
+    assert windows.where("length(formatted) > 6000").isEmpty()
 
 
 def test_chat_empty(spark):
