@@ -13,6 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -85,11 +86,35 @@ def write_whole(uri: str, chunks: Iterable[bytes]) -> None:
     """The file appears whole or not at all: a task that is run again writes beside and moves."""
     system, path = shared_file(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    aside = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
+    aside = _aside(path)
     with system.open_output_stream(aside) as f:
         for chunk in chunks:
             f.write(chunk)
-    system.move(aside, path)
+    _put(system, aside, path)
+
+
+def write_parquet(uri: str, batches: list[pa.RecordBatch]) -> None:
+    """A Parquet file of a task's own; whole or not at all, as write_whole."""
+    system, path = shared_file(uri)
+    aside = _aside(path)
+    pq.write_table(pa.Table.from_batches(batches), aside, filesystem=system)
+    _put(system, aside, path)
+
+
+def _aside(path: str) -> str:
+    """A name beside path, hidden from readers of the folder, of its own for each attempt."""
+    folder, name = path.rsplit("/", 1)
+    return f"{folder}/_{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else uuid.uuid4().hex[:8]}.part"
+
+
+def _put(system: fs.FileSystem, aside: str, path: str) -> None:
+    """Moves aside to path. Where moving does not replace a file, an earlier attempt's file is as good."""
+    try:
+        system.move(aside, path)
+    except OSError:
+        if system.get_file_info(path).type != fs.FileType.File:
+            raise
+        system.delete_file(aside)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -194,13 +219,6 @@ class Words:
         self.bounds = np.searchsorted(self.starts, self.offsets)
         self.hashes = self._hash(lower) if hashed else np.zeros(0, _U)
 
-    @classmethod
-    def _power_tables(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        kept = worker_cache()
-        if len(kept.get("up", ())) < n:
-            kept["up"], kept["down"] = _powers(cls.BASE, n), _powers(cls.INVERSE, n)
-        return kept["up"], kept["down"]
-
     def _hash(self, lower: bool) -> np.ndarray:
         codes = np.arange(256)
         if lower:

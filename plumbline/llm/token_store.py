@@ -9,12 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from plumbline.llm.core import map_arrow, materialize, mix64, shared_file, slices, write_whole
+from plumbline.llm.core import map_arrow, mix64, shared_file, slices, write_parquet, write_whole
 from plumbline.llm.tokens import ENCODE_BYTES, Encoder
 
 #: A shard: MAGIC, the bytes of an id (u8: 2 if the vocabulary allows, else 4), then the raw ids (little-endian), then for each document the end of its ids (u64), then the number of documents (u64).
@@ -24,6 +24,10 @@ INDEX_MAGIC = b"TOKMPHF1"
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("ids", "<u8"), ("documents", "<u4")])
 #: Keys of a bucket on average. More: fewer seeds, longer search.
 BUCKET = 4
+#: Keys of an index file, about: some 3 MB. There are as many files as the number of keys asks for.
+INDEX_KEYS = 1 << 16
+#: Tasks of an exchange by index file or shard; beyond it several files fall to a task.
+MOST_TASKS = 100_000
 #: Bytes of text that a shard is to hold, about.
 SHARD_BYTES = 32 << 20
 
@@ -112,7 +116,7 @@ def _hashes(key: str) -> list:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
-    """Writes all documents' ids (null text: empty), each with end_id behind, in ascending order of the key (null first, repeated keys side by side by text) into path/shards, what is in each shard into path/manifest, and the index into path/index.
+    """Writes all documents' ids (null text: empty), each with end_id behind, in ascending order of the key (null first, repeated keys side by side by text) into path/shards, what is in each shard into path/manifest (Parquet, a file a shard), and the index into path/index. Tasks write all of these files themselves, each whole or not at all; a task that is run again writes the same.
 
     Sorting is a range exchange on the key and a hash of the text, so that a key with a third of all rows is split over tasks; each task streams one shard."""
     spark = docs.sparkSession
@@ -122,10 +126,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
     d = docs.select(F.col(key_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("tie"))
     d = d.repartitionByRange(shards, F.col("key").asc_nulls_first(), "tie").sortWithinPartitions(F.col("key").asc_nulls_first(), "tie", "text").select("key", "text")
 
+    kind = d.schema["key"].dataType.simpleString()
+    for folder in ("shards", "manifest", "index"):
+        system, name = shared_file(f"{path}/{folder}")
+        system.create_dir(name, recursive=True)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = Encoder.of(tokenizer), TaskContext.get().partitionId()
         narrow = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
-        ends, told = [0], []
+        ends, told = [np.zeros(1, np.int64)], []
 
         def chunks() -> Iterator[bytes]:
             yield MAGIC + bytes([2 if narrow else 4])
@@ -133,45 +142,49 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
                 for b in slices(batch, "text", ENCODE_BYTES):
                     ids, bounds = encoder.encode_ended(b.column(1), end_id)
                     n = np.diff(bounds)
-                    at = ends[-1] + bounds[1:]
-                    told.append(pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.arange(len(n)))), pa.array(np.full(len(n), shard), pa.int32()), pa.array(at - n), pa.array(n)], ["key", "shard", "start", "n_ids"]))
-                    ends.extend(at.tolist())
+                    at = ends[-1][-1] + bounds[1:]
+                    columns = [b.column(0).take(pa.array(np.arange(len(n)))), pa.array(np.full(len(n), shard), pa.int32()), pa.array(at - n), pa.array(n)]
+                    told.append(pa.RecordBatch.from_arrays(columns, ["key", "shard", "start", "n_ids"]))
+                    ends.append(at)
                     yield ids.astype("<u2" if narrow else "<u4").tobytes()
-            yield np.array(ends[1:], "<u8").tobytes() + struct.pack("<Q", len(ends) - 1)
+            every = np.concatenate(ends)[1:]
+            yield every.astype("<u8").tobytes() + struct.pack("<Q", len(every))
 
         write_whole(f"{path}/shards/{shard:06d}.ids", chunks())
-        yield from told
+        if told:
+            write_parquet(f"{path}/manifest/{shard:06d}.parquet", told)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], ["shard"])
 
-    kind = d.schema["key"].dataType.simpleString()
-    map_arrow(d, write, f"key {kind}, shard int, start long, n_ids long").write.parquet(f"{path}/manifest")
-    told = spark.read.parquet(f"{path}/manifest")
+    map_arrow(d, write, "shard int").write.format("noop").mode("overwrite").save()
+    told = open_store(spark, path, kind)
     keys = told.groupBy("key").agg(F.min(F.struct("shard", "start")).alias("first"), F.sum("n_ids").alias("ids"), F.count("*").alias("documents"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = keys.select("key", *_hashes("key"), "first.shard", "first.start", "ids", "documents").repartition(parts, F.pmod("h2", F.lit(parts)))
+    parts = told.count() // INDEX_KEYS + 1
+    keys = keys.select("key", *_hashes("key"), "first.shard", "first.start", "ids", "documents").repartition(min(parts, MOST_TASKS), F.pmod("h2", F.lit(parts)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One index file for each remainder of h2 (several may meet in a task)."""
-        got = list(batches)
+        got = list(batches)  # some INDEX_KEYS keys a file, 44 bytes each
         if not got:
             return
         c = {n: np.concatenate([b.column(n).to_numpy() for b in got]) for n in got[0].schema.names}
+        h, h2 = (c[n].astype(np.int64).view(np.uint64) for n in ("h", "h2"))
         bucket = np.mod(c["h2"], parts)
         for k in np.unique(bucket):
             m = bucket == k
-            write_whole(f"{path}/index/{k:06d}.mph", KeyIndex.pack(c["h"][m].astype(np.int64).view(np.uint64), (c["h2"][m].astype(np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32), c["shard"][m], c["start"][m], c["ids"][m], c["documents"][m]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([int(m.sum())], pa.int64())], ["part", "keys"])
+            write_whole(f"{path}/index/{k:06d}.mph", KeyIndex.pack(h[m], (h2[m] >> np.uint64(32)).astype(np.uint32), *(c[n][m] for n in ("shard", "start", "ids", "documents"))))
+        yield pa.RecordBatch.from_arrays([pa.array([len(bucket)], pa.int64())], ["keys"])
 
-    map_arrow(keys.select("h", "h2", "shard", "start", "ids", "documents"), index, "part int, keys long").withColumn("parts", F.lit(parts)).write.parquet(f"{path}/index_manifest")
+    map_arrow(keys.select("h", "h2", "shard", "start", "ids", "documents"), index, "keys long").write.format("noop").mode("overwrite").save()
+    write_whole(f"{path}/parts", [str(parts).encode()])
 
 
 def lookup(keys: DataFrame, path: str, key_col: str = "doc_id") -> DataFrame:
     """For each distinct key that is stored: (key, shard, start, n_ids, documents), by the hash index alone. Rows are dealt by index file, which each task reads once."""
-    spark = keys.sparkSession
-    parts = int(spark.read.parquet(f"{path}/index_manifest").agg(F.max("parts")).first()[0] or 0)
+    system, name = shared_file(f"{path}/parts")
+    with system.open_input_file(name) as f:
+        parts = int(f.read())
     kind = keys.schema[key_col].dataType.simpleString()
     schema = f"key {kind}, shard int, start long, n_ids long, documents long"
-    if not parts:
-        return spark.createDataFrame([], schema)
     k = keys.select(F.col(key_col).alias("key")).distinct().select("key", *_hashes("key")).withColumn("part", F.pmod("h2", F.lit(parts)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +195,8 @@ def lookup(keys: DataFrame, path: str, key_col: str = "doc_id") -> DataFrame:
                 if p not in read:
                     read.clear()
                     system, name = shared_file(f"{path}/index/{p:06d}.mph")
+                    if system.get_file_info(name).type != fs.FileType.File:  # no key has this remainder
+                        continue
                     with system.open_input_file(name) as f:
                         read[p] = KeyIndex(f.read())
                 mine = np.flatnonzero(part == p)
@@ -191,23 +206,26 @@ def lookup(keys: DataFrame, path: str, key_col: str = "doc_id") -> DataFrame:
                 s = s[good]
                 yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(mine[good])), *(pa.array(s[n].astype(t)) for n, t in (("shard", np.int32), ("start", np.int64), ("ids", np.int64), ("documents", np.int64)))], ["key", "shard", "start", "n_ids", "documents"])
 
-    return map_arrow(k.repartition(parts, "part").sortWithinPartitions("part").select("key", "h", "h2", "part"), find, schema)
+    return map_arrow(k.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part").select("key", "h", "h2", "part"), find, schema)
 
 
 def read_documents(places: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """Of each place (key, shard, start, n_ids, documents) the documents' ids: a row (key, start, n_ids, ids_crc32[, ids]) for each, start counted over all shards. A key whose documents run on into the next shards is followed there."""
-    spark = places.sparkSession
-    told = spark.read.parquet(f"{path}/manifest").groupBy("shard").agg(F.sum("n_ids").alias("size"))
-    # one row by shard, so the window over all of them stays small
-    told = told.select("shard", "size", (F.sum("size").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("base"))
-    told = materialize(told, "shards")
-    sizes = {r.shard: (r.base, r.size) for r in told.collect()}  # 16 bytes for each shard
+    kind = places.schema["key"].dataType.simpleString()
+    sizes: dict[int, tuple[int, int]] = {}  # by shard: ids of all shards before it, its own
+    base = 0
+    # one row by shard
+    for shard, size in sorted(open_store(places.sparkSession, path, kind).groupBy("shard").agg(F.sum("n_ids")).collect()):
+        sizes[shard] = base, size
+        base += size
     order = sorted(sizes)
+    names = ["key", "start", "n_ids", "ids_crc32", "ids"][: 5 if with_ids else 4]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[int, tuple] = {}
 
-        def shardshared_file(k: int) -> tuple:
+        def shard_file(k: int) -> tuple:
+            """The open file, where each of its documents ends, and the bytes of an id; two shards are held."""
             if k not in opened:
                 if len(opened) > 1:
                     opened.pop(next(iter(opened)))[0].close()
@@ -220,30 +238,41 @@ def read_documents(places: DataFrame, path: str, with_ids: bool = True) -> DataF
                 opened[k] = (f, np.frombuffer(f.read_at(8 * n, total - 8 - 8 * n), "<u8").astype(np.int64), head[7])
             return opened[k]
 
-        for b in batches:
-            out: list[tuple] = []
-            for key, k, start, documents in zip(b.column("key").to_pylist(), b.column("shard").to_pylist(), b.column("start").to_pylist(), b.column("documents").to_pylist(), strict=True):
-                while documents:
-                    f, ends, wide = shardshared_file(k)
-                    i = int(np.searchsorted(ends, start, "right"))
-                    here = min(documents, len(ends) - i)
-                    for end in ends[i : i + here].tolist():
-                        ids = np.frombuffer(f.read_at(wide * (end - start), 8 + wide * start), f"<u{wide}").astype("<u4").tobytes()
-                        out.append((key, sizes[k][0] + start, end - start, zlib.crc32(ids), ids))
-                        start = end
-                    documents -= here
-                    if documents:
-                        k, start = order[order.index(k) + 1], 0
+        def documents(k: int, start: int, left: int) -> Iterator[tuple]:
+            """(start, number of ids, checksum, ids) of a key's documents, one at a time."""
+            while left:
+                f, ends, wide = shard_file(k)
+                i = int(np.searchsorted(ends, start, "right"))
+                here = min(left, len(ends) - i)
+                for end in ends[i : i + here].tolist():
+                    ids = np.frombuffer(f.read_at(wide * (end - start), 8 + wide * start), f"<u{wide}").astype("<u4").tobytes()
+                    yield sizes[k][0] + start, end - start, zlib.crc32(ids), ids
+                    start = end
+                left -= here
+                if left:
+                    k, start = order[order.index(k) + 1], 0
+
+        def batch(keys: pa.Array, owner: list[int], rows: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            arrays = [pa.array(columns[0], b.schema.field("key").type), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays if with_ids else arrays[:-1], ["key", "start", "n_ids", "ids_crc32", "ids"][: 5 if with_ids else 4])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(names) - 1)
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names)
 
-    kind = places.schema["key"].dataType.simpleString()
-    near = places.repartitionByRange(max(1, min(len(order), 100_000)), "shard", "start").sortWithinPartitions("shard", "start")
+        for b in batches:
+            owner, rows, held = [], [], 0
+            for i, place in enumerate(zip(*(b.column(n).to_pylist() for n in ("shard", "start", "documents")), strict=True)):
+                for row in documents(*place):
+                    owner.append(i)
+                    rows.append(row[: len(names) - 1])
+                    held += 64 + (len(row[-1]) if with_ids else 0)
+                    if held > ENCODE_BYTES:
+                        yield batch(b.column("key"), owner, rows)
+                        owner, rows, held = [], [], 0
+            yield batch(b.column("key"), owner, rows)
+
+    near = places.repartitionByRange(max(1, min(len(order), MOST_TASKS)), "shard", "start").sortWithinPartitions("shard", "start")
     return map_arrow(near, read, f"key {kind}, start long, n_ids long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
-def open_store(spark: SparkSession, path: str) -> DataFrame:
-    """What is stored: (key, shard, start, n_ids)."""
-    return spark.read.parquet(f"{path}/manifest")
+def open_store(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """What is stored: (key, shard, start, n_ids). kind: the key's type."""
+    return spark.read.schema(f"key {kind}, shard int, start long, n_ids long").parquet(f"{path}/manifest")

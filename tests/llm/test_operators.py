@@ -110,6 +110,25 @@ def test_token_store_round_trip(spark, tokenizer):
     assert other.count() == 0
 
 
+def test_token_store_key_of_many_rows(spark, tokenizer, monkeypatch):
+    """A key with most of the rows runs over shards; an index of many files, some without keys."""
+    monkeypatch.setattr(token_store, "INDEX_KEYS", 3)
+    texts = [f"text number {i} " + "word " * (i % 50) for i in range(2000)]
+    docs = spark.createDataFrame([(str(i) if i % 20 == 0 else "hot", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    path = scratch(spark, "store")
+    token_store.write_tokens(docs, path, tokenizer, shard_bytes=4000)
+    places = token_store.lookup(docs.unionByName(spark.createDataFrame([(f"none{i}", "") for i in range(300)], docs.schema)), path)
+    got = token_store.read_documents(places, path).collect()
+    assert places.count() == 101 and token_store.open_store(spark, path, "string").where("key = 'hot'").select("shard").distinct().count() > 1
+    for key in ("hot", "40"):
+        want = encoded(tokenizer, [t for i, t in enumerate(texts) if (str(i) if i % 20 == 0 else "hot") == key], 0)
+        assert sorted(np.frombuffer(r["ids"], "<u4").tolist() for r in got if r["key"] == key) == sorted(want)
+    end = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == end
+        end += r["n_ids"]
+
+
 def test_token_store_empty(spark, tokenizer):
     path = scratch(spark, "store")
     token_store.write_tokens(documents(spark, []), path, tokenizer)
