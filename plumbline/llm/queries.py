@@ -110,17 +110,17 @@ ORACLES: dict[str, str] = {
     "op5_line_dedup": f"""with x as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
   l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as i from x where text is not null),
   w as (select doc_id, i, {_WORDS.format("line")} as ws from l),
-  o as (select *, row_number() over (order by doc_id, i) as ord from w where len(ws) >= 5),
+  o as (select *, row_number() over (order by doc_id, i) as ord from w where len(ws) >= 1),
   f as (select ws, min(ord) as ord from o group by ws),
-  v as (select ord, k, list_concat(ws[1:k - 1], ws[k + 1:]) as rest from (select ord, ws, unnest(range(1, len(ws) + 1)) as k from f where len(ws) >= 10)),
+  v as (select ord, k, list_concat(ws[1:k - 1], ws[k + 1:]) as rest from (select ord, ws, unnest(range(1, len(ws) + 1)) as k from f where 1 <= 0.2 * len(ws))),
   near as (select distinct ord from (select ord, min(ord) over (partition by k, rest) as m from v) where m < ord
-           union select v.ord from v join f on f.ws = v.rest and len(f.ws) >= 10 and f.ord < v.ord
-           union select f.ord from f join v on f.ws = v.rest and len(f.ws) >= 10 and v.ord < f.ord),
+           union select v.ord from v join f on f.ws = v.rest and f.ord < v.ord
+           union select f.ord from f join v on f.ws = v.rest and v.ord < f.ord),
   g as (select o.doc_id, o.i from o join f on o.ws = f.ws where o.ord > f.ord or o.ord in (select ord from near)),
   r as (select doc_id, list_sort(list(i)) as removed from g group by doc_id),
   y as (select x.doc_id, x.text, x.ls, coalesce(r.removed, []) as removed from x left join r using (doc_id)),
   z as (select *, list_transform(list_filter(range(1, len(ls) + 1), lambda j: not list_contains(removed, j - 1)), lambda j: ls[j]) as kept from y)
-  select doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, cast(len(removed) as bigint) as n_removed, array_to_string(removed, ',') as removed, len(removed) > 0 and not coalesce(list_bool_or(list_transform(kept, lambda t: len({_WORDS.format("t")}) >= 5)), false) as emptied, sha256(case when len(removed) = 0 then text else array_to_string(kept, chr(10)) end) as text_sha256 from z""",
+  select doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, cast(len(removed) as bigint) as n_removed, array_to_string(removed, ',') as removed, len(removed) > 0 and not coalesce(list_bool_or(list_transform(kept, lambda t: len({_WORDS.format("t")}) > 0)), false) as emptied, sha256(case when len(removed) = 0 then text else array_to_string(kept, chr(10)) end) as text_sha256 from z""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

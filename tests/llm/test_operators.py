@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, pii, quality_model, quality_rules, secret_scan, token_store
 from plumbline.llm.core import scratch
@@ -112,11 +113,11 @@ def test_token_store_round_trip(spark, tokenizer):
 
 def test_token_store_key_of_many_rows(spark, tokenizer, monkeypatch):
     """A key with most of the rows runs over shards; an index of many files, some without keys."""
-    monkeypatch.setattr(token_store, "INDEX_KEYS", 3)
+    monkeypatch.setattr(token_store, "INDEX_KEYS", 40)
     texts = [f"text number {i} " + "word " * (i % 50) for i in range(2000)]
     docs = spark.createDataFrame([(str(i) if i % 20 == 0 else "hot", t) for i, t in enumerate(texts)], "doc_id string, text string")
     path = scratch(spark, "store")
-    token_store.write_tokens(docs, path, tokenizer, shard_bytes=4000)
+    token_store.write_tokens(docs, path, tokenizer, shard_bytes=20_000)
     places = token_store.lookup(docs.unionByName(spark.createDataFrame([(f"none{i}", "") for i in range(300)], docs.schema)), path)
     got = token_store.read_documents(places, path).collect()
     assert places.count() == 101 and token_store.open_store(spark, path, "string").where("key = 'hot'").select("shard").distinct().count() > 1
@@ -321,7 +322,7 @@ def removed_lines(rows):
     def near(a, b):
         if a == b:
             return True
-        if min(len(a), len(b)) < line_dedup.FUZZY_WORDS or abs(len(a) - len(b)) > 1:
+        if 1 > line_dedup.SHARE * max(len(a), len(b)) or abs(len(a) - len(b)) > 1:
             return False
         i = 0
         while i < min(len(a), len(b)) and a[i] == b[i]:
@@ -333,7 +334,7 @@ def removed_lines(rows):
         out[i] = []
         for n, line in enumerate(t.split("\n") if t is not None else []):
             w = WORD.findall(line)
-            if len(w) < line_dedup.MIN_WORDS:
+            if not w:
                 continue
             if any(near(w, s) for s in seen):
                 out[i].append(n)
@@ -361,7 +362,10 @@ def test_line_dedup(spark):
                 w[at], w[at - 1] = "two", "edits"
             part.append(" ".join(w))
         texts.append("\n".join(part))
-    texts += ["a b c d\na b c d", "a b c d e\na  b c d e", None, ""]
+    short = [f"s{i}" for i in range(9)]
+    for n in range(1, 10):  # lines of few words, one word apart and two
+        texts += [" ".join(short[:n]), " ".join(short[: n - 1] + ["other"]), " ".join(["more", *short[:n]]), " ".join(["two", *short[: n - 1], "words"])]
+    texts += ["a b c d\na b c d", "a b c d e\na  b c d e", "one\n \none\n\ntwo", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
     want = removed_lines(list(enumerate(texts)))
@@ -371,6 +375,38 @@ def test_line_dedup(spark):
         assert got[i]["text"] == left
 
 
+def test_word_edit_distance(spark):
+    rng = np.random.default_rng(25)
+    pairs = [(["a"], []), ([], []), (["a", "b"], ["b"])]
+    for _ in range(300):
+        a = [str(x) for x in rng.integers(0, 3, rng.integers(0, 7))]
+        b = list(a)
+        for _ in range(rng.integers(0, 3)):
+            at, kind = rng.integers(0, len(b) + 1), rng.integers(0, 3)
+            b[at : at + int(kind > 0)] = ["x"] * int(kind < 2)
+        pairs.append((a, b))
+    got = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", line_dedup.within_one(F.col("a"), F.col("b")).alias("near")).collect()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            old, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(old[j] + (x != y), old[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    assert all(r["near"] == (distance(r["a"], r["b"]) <= 1) for r in got)
+
+
+def test_line_candidates_are_verified(spark):
+    """A candidate whose words are more than one apart (as if hashes had met) stays."""
+    docs = spark.createDataFrame([(1, 7, "a b c d e"), (2, 8, "a b c d x"), (3, 9, "p q r s t")], "id long, tie long, text string")
+    asked = docs.selectExpr("id", "tie", "0L as line")
+    o = {r["id"]: r["o"] for r in asked.select("id", line_dedup._order(F.col("line")).alias("o")).collect()}
+    later = spark.createDataFrame([(22, o[2], o[1]), (33, o[3], o[1])], "h long, o decimal(38,0), earlier decimal(38,0)")
+    assert [r["h"] for r in line_dedup.verified(later, asked, docs).collect()] == [22]
+
+
 def test_line_dedup_awkward(spark):
     docs = documents(spark)
     out = line_dedup.dedup_lines(docs)
