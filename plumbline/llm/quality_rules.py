@@ -81,26 +81,34 @@ def base_failed() -> Column:
     return F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
 
 
-def thresholds(measured: DataFrame, by: list[str], fence: float = 3.0, least_rows: int = 200, k: int = 400) -> DataFrame:
+def thresholds(measured: DataFrame, by: list[str], fence: float = 3.0, weight: float = 200.0, k: int = 400) -> DataFrame:
     """Rows (*by, low and high of each metric): quartiles less and plus fence times the spread between them.
 
-    Each group's documents that pass the base rules fill one KLL sketch a metric (partial sketches are made before the exchange, so that a source with a third of all rows is spread). Sketches of groups merge into those of the first key and of all, which stand in for a group of fewer than least_rows documents. Null keys are a group."""
+    Each group's documents that pass the base rules fill one KLL sketch a metric (partial sketches are made before the exchange, so that a source with a third of all rows is spread). Sketches of groups merge into those of the first key and of all. A group's quartile is the mean of its own, with the weight of its rows, and its first key's, with the fixed weight; that of the first key likewise with the one of all. So the less is known of a group, the nearer it is to what is known of more, without a step. Null keys are a group."""
     good = measured.where(~base_failed())
     sketch = [F.expr(f"kll_sketch_agg_double(cast({e} as double), {k})").alias(m) for m, (e, _, _) in METRICS.items()]
     merged = [F.expr(f"kll_merge_agg_double({m}, {k})").alias(m) for m in METRICS]
     own = materialize(good.groupBy(*by).agg(F.count("*").alias("rows"), *sketch), "sketches")
+    if own.isEmpty():  # no document passes the base rules
+        names = [f"{m}_high" for m in METRICS] + [f"{m}_low" for m, (_, tails, _) in METRICS.items() if tails == "both"]
+        return own.select(*by, *[F.lit(None).cast("double").alias(n) for n in names])
     first = own.groupBy(by[0]).agg(F.sum("rows").alias("rows_1"), *[c.alias(f"{m}_1") for c, m in zip(merged, METRICS, strict=True)])
     every = own.agg(*merged).first()  # one sketch a metric
     first = first.withColumnRenamed(by[0], "wider_key")
     wide = own.join(first, own[by[0]].eqNullSafe(first["wider_key"])).select("*", *[F.lit(x).cast("binary").alias(f"{m}_2") for m, x in zip(METRICS, every, strict=True)])
-    level = f"case when rows >= {least_rows} then 0 when rows_1 >= {least_rows} then 1 else 2 end"
     out = [F.col(c) for c in by]
     for m, (_, tails, least) in METRICS.items():
-        quarter = [f"kll_sketch_get_quantile_double(case {level} when 0 then {m} when 1 then {m}_1 else {m}_2 end, {q}d)" for q in (0.25, 0.75)]
-        spread = f"greatest({quarter[1]} - {quarter[0]}, {least}d) * {fence}d"
-        out.append(F.expr(f"{quarter[1]} + {spread}").alias(f"{m}_high"))
+
+        def quartile(q: float, m: str = m) -> Column:
+            own, first, every = (F.expr(f"kll_sketch_get_quantile_double({m}{level}, {q}d)") for level in ("", "_1", "_2"))
+            toward = lambda x, rows, wider: (x * F.col(rows) + wider * weight) / (F.col(rows) + weight)
+            return toward(own, "rows", toward(first, "rows_1", every))
+
+        low, high = quartile(0.25), quartile(0.75)
+        spread = F.greatest(high - low, F.lit(least)) * fence
+        out.append((high + spread).alias(f"{m}_high"))
         if tails == "both":
-            out.append(F.expr(f"{quarter[0]} - {spread}").alias(f"{m}_low"))
+            out.append((low - spread).alias(f"{m}_low"))
     return wide.select(*out)
 
 
