@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm.core import Words, map_arrow, shingles, signed, slices
 
@@ -16,10 +17,8 @@ from plumbline.llm.core import Words, map_arrow, shingles, signed, slices
 GRAM = 4
 #: Alignment: points of a match, a mismatch, a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Share of an item's highest score from which a passage is a copy.
-SIMILAR = 0.5
-#: An item that aligns must have so many words' worth of points, if it has that many words.
-LEAST_WORDS = 8
+#: A passage is a copy from this share of an item's highest score on, and MARGIN points more (but no more than the highest): a few words in a row are half of a short item, and no sign of a copy.
+SIMILAR, MARGIN = 0.5, 4
 #: Bytes of benchmark texts that are held at a time, on the driver and in each task. A larger benchmark is taken in blocks.
 BLOCK_BYTES = 16 << 20
 
@@ -34,10 +33,11 @@ def _words(texts: pa.Array) -> Words:
 
 @dataclass
 class Block:
-    """Items of a benchmark: ids, words (hashes) by item, and seeds: sorted gram hashes with the items and places where each stands."""
+    """Items of a benchmark: ids, words (hashes) by item, the numbers of words that seeds have, and seeds: sorted gram hashes with the items and places where each stands. An item of fewer than GRAM words is one seed."""
 
     ids: list
     words: list[np.ndarray]
+    sizes: list[int]
     grams: np.ndarray
     bounds: np.ndarray
     item: np.ndarray
@@ -48,7 +48,8 @@ class Block:
         w = _words(pa.array(texts, pa.string()))
         g, b = shingles(w.hashes, w.bounds, GRAM)
         item, place = np.repeat(np.arange(len(ids)), np.diff(b)), np.arange(len(g)) - np.repeat(b[:-1], np.diff(b))
-        return cls(ids, [w.hashes[x:y] for x, y in zip(w.bounds, w.bounds[1:])], *cls._sorted(g, item, place))
+        sizes = np.unique(np.minimum(w.counts(), GRAM))
+        return cls(ids, [w.hashes[x:y] for x, y in zip(w.bounds, w.bounds[1:])], sizes[sizes > 0].tolist(), *cls._sorted(g, item, place))
 
     @staticmethod
     def _sorted(g: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple:
@@ -91,16 +92,30 @@ def at_most(item: np.ndarray, text: np.ndarray) -> int:
     return int((run - np.minimum.accumulate(np.append(0, run[:-1]))).max(initial=0))
 
 
-def matches(block: Block, table: np.ndarray, w: Words, g: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, float, int, int]]:
+def needed(m: int) -> float:
+    """The points from which a passage is a copy of an item of m words."""
+    return min(SIMILAR * MATCH * m + MARGIN, MATCH * m)
+
+
+def marks(block: Block, table: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, word where the item would begin) of every seed in a batch."""
+    out = []
+    for size in block.sizes:
+        g, b = shingles(w.hashes, w.bounds, size)
+        at, seed = block.find(g, table)
+        times = block.bounds[seed + 1] - block.bounds[seed]
+        of = np.repeat(np.arange(len(at)), times)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(block.bounds[seed], times)
+        doc = np.searchsorted(b, at, "right")[of] - 1
+        out.append((doc, block.item[k], at[of] - b[doc] - block.place[k]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def matches(block: Block, table: np.ndarray, w: Words) -> list[tuple[int, int, int, float, int, int]]:
     """(document, item, score, similarity, first and last word of the passage) of each copy in a batch; of an item's passages in a document the best."""
-    at, seed = block.find(g, table)
-    if not len(at):
+    doc, item, start = marks(block, table, w)
+    if not len(doc):
         return []
-    times = block.bounds[seed + 1] - block.bounds[seed]
-    of = np.repeat(np.arange(len(at)), times)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(block.bounds[seed], times)
-    doc = np.searchsorted(b, at, "right")[of] - 1
-    item, start = block.item[k], at[of] - b[doc] - block.place[k]
     out: list[tuple[int, int, int, float, int, int]] = []
     by = np.lexsort((start, item, doc))
     doc, item, start = doc[by], item[by], start[by]
@@ -110,7 +125,7 @@ def matches(block: Block, table: np.ndarray, w: Words, g: np.ndarray, b: np.ndar
         own, text = block.words[i], w.hashes[w.bounds[d] : w.bounds[d + 1]]
         m = len(own)
         slack = m // 2 + 2
-        need = max(SIMILAR * MATCH * m, MATCH * min(m, LEAST_WORDS))
+        need = needed(m)
         best = (0, 0, 0)
         s = start[x:y]
         cut = np.flatnonzero(np.diff(s) > m + 2 * slack) + 1
@@ -140,7 +155,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int = BLOCK
 
 
 def _scan(docs: DataFrame, block: Block, keep: list[str], text: str, rows: Callable, schema: str) -> DataFrame:
-    """rows(batch, words, grams, bounds, table) for each slice of docs."""
+    """rows(batch, words, table) for each slice of docs."""
     table = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +163,7 @@ def _scan(docs: DataFrame, block: Block, keep: list[str], text: str, rows: Calla
         table = block.table() if table is None else table
         for batch in batches:
             for b in slices(batch, text):
-                w = _words(b.column(b.schema.get_field_index(text)))
-                yield rows(b, w, *shingles(w.hashes, w.bounds, GRAM), table)
+                yield rows(b, _words(b.column(b.schema.get_field_index(text))), table)
 
     return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep]), run, schema)
 
@@ -157,32 +171,35 @@ def _scan(docs: DataFrame, block: Block, keep: list[str], text: str, rows: Calla
 def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document row and item of which it holds a copy, exact, edited or paraphrased: (id, item, score, similarity, from_word, to_word; the passage lies between).
 
-    Each seed of an item in a document marks where the item would lie there; stretches around the marks are aligned, unless a bound says that no copy can be there. Every seed counts, however many documents have it. Documents never leave their task and the benchmark is held in blocks of bounded size. Null or empty texts match nothing; repeated rows match each; repeated items count once; an item of fewer than GRAM words matches only a document of just these words; empty tables give no rows."""
+    Each seed of an item in a document marks where the item would lie there; stretches around the marks are aligned, unless a bound says that no copy can be there. Every seed counts, however many documents have it. Documents never leave their task and the benchmark is held in blocks of bounded size. Null or empty texts match nothing; repeated rows match each; repeated items count once (by id and text, so an id may have several texts, and is then found once for each); an item of fewer than GRAM words is found wherever its words stand in a row, so one of a single word is in every document that has the word; ids are of any type, null included; empty tables give no rows."""
     spark = docs.sparkSession
-    kinds = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}, score long, similarity double, from_word long, to_word long"
+    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, score long, similarity double, from_word long, to_word long"
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    item_kind = pa.int64() if benchmark.schema[item_col].dataType.simpleString() == "bigint" else None
+    item_kind = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for block in blocks(benchmark, item_col, item_text):
 
-        def rows(b: pa.RecordBatch, w: Words, g: np.ndarray, bounds: np.ndarray, table: np.ndarray, block: Block = block) -> pa.RecordBatch:
-            m = matches(block, table, w, g, bounds)
+        def rows(b: pa.RecordBatch, w: Words, table: np.ndarray, block: Block = block) -> pa.RecordBatch:
+            m = matches(block, table, w)
             col = list(zip(*m, strict=True)) if m else [[]] * 6
             ids = b.column("id").take(pa.array(col[0], pa.int64()))
-            return pa.RecordBatch.from_arrays([ids, pa.array([block.ids[i] for i in col[1]], item_kind), pa.array(col[2], pa.int64()), pa.array(col[3], pa.float64()), pa.array(col[4], pa.int64()), pa.array(col[5], pa.int64())], [id_col, item_col, "score", "similarity", "from_word", "to_word"])
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            found = [pa.array(c, t) for c, t in zip(col[2:], kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([ids, pa.array([block.ids[i] for i in col[1]], item_kind), *found], ["id", "item", "score", "similarity", "from_word", "to_word"])
 
         one = _scan(d, block, ["id", "text"], "text", rows, kinds)
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], kinds)
+    out = out if out is not None else spark.createDataFrame([], kinds)
+    return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def remove_copies(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs, all columns, without the rows that hold a copy of an item (as find_copies has them)."""
     for block in blocks(benchmark, item_col, item_text):
 
-        def rows(b: pa.RecordBatch, w: Words, g: np.ndarray, bounds: np.ndarray, table: np.ndarray, block: Block = block) -> pa.RecordBatch:
+        def rows(b: pa.RecordBatch, w: Words, table: np.ndarray, block: Block = block) -> pa.RecordBatch:
             keep = np.ones(b.num_rows, bool)
-            keep[[m[0] for m in matches(block, table, w, g, bounds)]] = False
+            keep[[m[0] for m in matches(block, table, w)]] = False
             return b.filter(pa.array(keep))
 
         docs = _scan(docs, block, docs.columns, text_col, rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
