@@ -30,9 +30,11 @@ _own: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one does in local mode; on a cluster it is an error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", base)
         _own.append((spark, base))
@@ -46,14 +48,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_made() -> list[str]:
+    """The paths that this driver has made and not dropped."""
+    return [path for _, path in _own]
+
+
+def drop_scratch(paths: list[str]) -> None:
+    """Deletes scratch tables that nothing reads any more: after the results that read them were written."""
+    for spark, path in [x for x in _own if x[1] in set(paths)]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _own.remove((spark, path))
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _own:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone
-            return
+    try:
+        drop_scratch(scratch_made())
+    except Exception:  # noqa: BLE001 - the session may be gone
+        return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -118,8 +131,10 @@ def _put(system: fs.FileSystem, aside: str, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of few rows, as texts may be long. The setting is read when a plan runs, long after it was made, so it stays; one that is smaller already is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def release_memory() -> None:
@@ -285,14 +300,14 @@ def list_array(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 # --- components ----------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v: long): rows (node, component), component the least node reachable.
 
-    Large-star and small-star steps alternate until nothing changes; each round is a table in the shared folder. No edges give no rows; self-loops and nulls are ignored."""
+    Large-star and small-star steps alternate until nothing changes (each links every node to the least of its neighbours, so they end); each round is a table in the shared folder. No edges give no rows; self-loops and nulls are ignored."""
     spark = edges.sparkSession
     e = materialize(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -303,6 +318,4 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

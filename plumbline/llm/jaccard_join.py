@@ -65,7 +65,8 @@ def block_keys(g: np.ndarray, b: np.ndarray, common: np.ndarray, percent: int, s
     size = n[doc]
     of = np.repeat(np.arange(len(doc)), size)
     at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(b[doc], size)
-    blocks = np.maximum(LEAST_BLOCKS, 3 * (np.int64(1) << kind) * (100 - percent) // percent)  # 1.5 times the d of the band's largest
+    # 1.5 times the d of the band's largest; twice that where d is so near to n that n shingles would fill too few
+    blocks = np.maximum(LEAST_BLOCKS, (3 if percent >= 70 else 6) * (np.int64(1) << kind) * (100 - percent) // percent)
     with np.errstate(over="ignore"):
         part = (mix64(g[at] + _U(seed)) % blocks[of].astype(_U)).astype(np.int64) + np.where(common[at], blocks[of], 0)
     place = (of.astype(np.int64) << 33) | part

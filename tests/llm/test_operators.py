@@ -52,6 +52,25 @@ def test_quality_ranks_held_out_documents(spark):
     assert right > 0.95 and all(0 <= s <= 1 for s in got.values())
 
 
+def test_fit_against_plain_descent():
+    """The weights are those that the logistic loss of the same pairs, minimized step by step, has; the cut parts the labels' shares."""
+    rng = np.random.default_rng(22)
+    k = len(quality_model.FEATURES)
+    good, bad = rng.normal(0.4, 1, (50, k)), rng.normal(-0.2, 1.3, (31, k))
+    m = quality_model.fit(good, bad, 31 / 81)
+    z = lambda x: np.clip((x - m.mean) / m.spread, -6, 6)
+    # the same deal of pairs: permutations in turn for both sides
+    deal, n = np.random.default_rng(7), 50 * quality_model.PAIRS
+    turns = [np.concatenate([deal.permutation(size) for _ in range(n // size + 1)])[:n] for size in (50, 31)]
+    d = z(good)[turns[0]] - z(bad)[turns[1]]
+    w = np.zeros(k)
+    for _ in range(20_000):
+        w += 0.2 * (d.T @ (1 / (1 + np.exp(d @ w))) / n - 1e-2 * w)
+    assert np.abs(w - m.weights).max() < 1e-6
+    below = np.mean([m.score(x[None])[0] < 0.5 for x in np.concatenate([good, bad])])
+    assert abs(below - 31 / 81) <= 1 / 81
+
+
 def test_quality_on_awkward_tables(spark):
     docs, labels = quality_tables(spark)
     model = quality_model.train(docs, labels)
@@ -226,7 +245,7 @@ def groups(ids, texts, k, percent):
     return {i: (len(s[n]), find(i)) for n, i in enumerate(ids)}
 
 
-@pytest.mark.parametrize(("k", "percent", "seed"), [(4, 85, 1), (5, 80, 2), (3, 70, 3)])
+@pytest.mark.parametrize(("k", "percent", "seed"), [(4, 85, 1), (5, 80, 2), (3, 70, 3), (3, 60, 4)])
 def test_jaccard_join_loses_no_link(spark, k, percent, seed):
     rng = np.random.default_rng(seed)
     texts = list(prose(rng, 40))
@@ -253,6 +272,15 @@ def test_jaccard_awkward(spark):
         jaccard_join.similar_groups(documents(spark), percent=20)
 
 
+def test_blocks_suffice_at_every_threshold():
+    """Random sets of any size fill enough blocks under one of the seeds, the lowest threshold included."""
+    rng = np.random.default_rng(23)
+    for size in (1, 40, 300, 1023, 1024, 2047, 2048, 8191):
+        g = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        for percent in (60, 62, 65, 70, 85, 99):
+            assert not jaccard_join.block_keys(g, np.array([0, len(g)]), np.zeros(len(g), bool), percent, 0)[2].any(), (size, percent)
+
+
 def test_parity_bounds():
     rng = np.random.default_rng(8)
     for _ in range(50):
@@ -298,10 +326,27 @@ def test_secrets(spark):
         assert set(said.split(",")) - {""} <= set(got[i]["spans"].split(","))
     random = [i for i, r in got.items() if r["n_random"]]
     first = len(texts) - 22
-    assert len(set(random) & set(range(first, first + 20))) >= 15 and not set(random) & {len(texts) - 2, len(texts) - 1}
+    assert len(set(random) & set(range(first, first + 20))) >= 19 and not set(random) & {len(texts) - 2, len(texts) - 1}
+
+
+def test_random_secrets_among_ordinary_text(spark):
+    """Of planted random strings of many forms nine in ten are found, and few of the ordinary long words, paths and identifiers."""
+    rng = np.random.default_rng(26)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
+    words = [x for t in prose(rng, 40) for x in t.split()]
+    plain = ["_".join(rng.choice(words, 6)) for _ in range(300)] + ["/".join(rng.choice(words, 8)) for _ in range(300)] + ["".join(w.title() for w in rng.choice(words, 6)) for _ in range(300)]
+    secret = ["".join(rng.choice(list(alphabets[i % 4]), int(rng.choice([32, 40, 48, 64, 100])))) for i in range(200)]
+    docs = spark.createDataFrame([(i, f"here is {t} in a text") for i, t in enumerate(plain + secret)], "doc_id long, text string")
+    got = {r["doc_id"] for r in secret_scan.find_secrets(docs).where("n_random > 0").collect()}
+    found = sum(i >= len(plain) for i in got)
+    assert found >= 0.9 * len(secret) and len(got) - found <= 0.02 * len(got)
 
 
 def test_secrets_awkward(spark):
+    got = {r["doc_id"]: r for r in secret_scan.find_secrets(documents(spark, [*TEXTS, "token=" + "q" * 70_000, "AKIA" + "A" * 30_000, "f" * 50_000])).collect()}
+    n = len(TEXTS)
+    assert [(got[n + i]["n_assign"], got[n + i]["n_access"], got[n + i]["n_hex"]) for i in range(3)] == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    assert got[0]["spans"] == got[1]["spans"] == "" and got[n + 1]["spans"] == "access:0:30004"
     assert secret_scan.find_secrets(documents(spark)).count() == len(TEXTS) + 2
     assert secret_scan.find_secrets(documents(spark, [])).count() == 0
 
@@ -473,6 +518,26 @@ def test_bound_of_alignment():
         assert decontaminate.at_most(a, b) >= decontaminate.align(a, b)
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of any length are found within longer texts, up to a few words only as they stand; a few words in common with a longer item are no copy."""
+    items = {1: "alpha beta gamma", 2: "Zeta", 3: "one two three four five six seven eight", 4: "a, b. c d", 5: "p q r s t u v w x y z"}
+    texts = ["xx alpha beta gamma yy zz", "alpha beta yy gamma", "zeta", "see zeta!", "one two three four other six seven eight", "one two three four", "a b c d", "a b c e", "p q r s t and more", "k p q r s t u v w k y z k"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_copies(docs, bench).collect()}
+    own = [[x.lower().strip(",.!") for x in t.split()] for t in texts]
+    want = set()
+    for i, w in enumerate(own):
+        for k, t in items.items():
+            item = [x.lower().strip(",.!") for x in t.split()]
+            code = {x: n for n, x in enumerate({*w, *item})}
+            score = smith_waterman([code[x] for x in item], [code[x] for x in w])
+            seed = any(item[j : j + n] == w[p : p + n] for n in [min(4, len(item))] for j in range(len(item) - n + 1) for p in range(len(w)))
+            if seed and score >= min(len(item) + 4, 2 * len(item)):
+                want.add((i, k))
+    assert got == want == {(0, 1), (2, 2), (3, 2), (4, 3), (6, 4), (9, 5)}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(13)
     items = prose(rng, 5)
@@ -481,7 +546,7 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     parts = list(decontaminate.blocks(bench, "item_id", "text", most=200))
     assert len(parts) > 1
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (200,))
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_copies(docs, bench).collect()} >= {(i, i) for i in range(5) if len(items[i].split()) >= 8}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_copies(docs, bench).collect()} >= {(i, i) for i in range(5)}
 
 
 def test_decontamination_awkward(spark):
@@ -489,6 +554,9 @@ def test_decontamination_awkward(spark):
     docs = documents(spark)
     assert decontaminate.find_copies(docs, bench).count() == 0
     assert decontaminate.remove_copies(docs, bench).count() == docs.count()
+    for kind in ("int", "string", "double", "date", "decimal(5,1)"):
+        odd = bench.selectExpr(f"cast(null as {kind}) as item_id", "'one two three four five six' as text", "'x' as id", "1 as score")
+        assert [r["item_id"] for r in decontaminate.find_copies(docs.selectExpr("cast(doc_id as int) as doc_id", "text", "1 as item"), odd).collect()] == [None]
     assert decontaminate.find_copies(docs, bench.limit(0)).count() == 0 and decontaminate.find_copies(documents(spark, []), bench).count() == 0
 
 
@@ -636,6 +704,40 @@ def test_quality_rules(spark):
     assert sum(r["kept"] for r in good) > 0.98 * len(good)
 
 
+def test_rules_thresholds_against_numpy(spark):
+    """Groups below a sketch's size keep all values, so quartiles are exact; each moves toward the wider one by its weight."""
+    rng = np.random.default_rng(27)
+    rows = []
+    for g, (lang, source, n) in enumerate([("en", "a", 150), ("en", "b", 30), ("de", "a", 60), (None, None, 5)]):
+        for _ in range(n):
+            words = rng.integers(60, 200)
+            rows.append((len(rows), lang, source, int(words), int(words * rng.uniform(4, 7 + g)), int(rng.integers(0, 40)), 20, int(rng.integers(0, 10)), int(rng.integers(0, words // 3))))
+    rows.append((len(rows), "en", "a", 10, 50, 50, 1, 0, 0))  # fails the base rules, so it has no say
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    df = spark.createDataFrame(rows, "doc_id long, key_0 string, key_1 string, " + ", ".join(f"{n} long" for n in names))
+    got = {(r["key_0"], r["key_1"]): r for r in quality_rules.thresholds(df, ["key_0", "key_1"]).collect()}
+    good = [r for r in rows if r[3] >= 50]
+    value = {"word_length": lambda r: r[4] / r[3], "symbol_share": lambda r: r[5] / r[4], "dup_line_share": lambda r: r[7] / r[6], "repeat_share": lambda r: r[8] / r[3]}
+
+    def quantile(x, q):
+        x = sorted(x)
+        return x[max(int(np.ceil(q * len(x))) - 1, 0)]
+
+    for key, r in got.items():
+        for m, of in value.items():
+            levels = [[of(x) for x in good if (x[1], x[2]) == key], [of(x) for x in good if x[1] == key[0]], [of(x) for x in good]]
+
+            def quartile(q):
+                own, first, every = (quantile(x, q) for x in levels)
+                first = (first * len(levels[1]) + every * 200) / (len(levels[1]) + 200)
+                return (own * len(levels[0]) + first * 200) / (len(levels[0]) + 200)
+
+            spread = 3 * max(quartile(0.75) - quartile(0.25), quality_rules.METRICS[m][2])
+            assert abs(r[f"{m}_high"] - quartile(0.75) - spread) < 1e-9
+            if m == "word_length":
+                assert abs(r[f"{m}_low"] - quartile(0.25) + spread) < 1e-9
+
+
 def test_quality_rules_awkward(spark):
     assert quality_rules.apply_rules(documents(spark)).count() == len(TEXTS) + 2
     assert quality_rules.apply_rules(documents(spark, [])).count() == 0
