@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,24 +22,54 @@ _BRACKET = r"\(\p{N}++\)"
 _ONE = r"(?=[\p{L}._/-]*+\p{N})[\p{L}\p{N}]++(?:[._/-]++[\p{L}\p{N}]++)*+"
 TOKEN = _APART + _ONE + r"(?![\p{L}\p{N}@])"
 RUN = rf"{_APART}(?:{_BRACKET}|{_ONE})(?:[\x20._/-]?{_BRACKET}|(?:[\x20._/-]|(?<=\))){_NUMBERS})++(?![\p{{L}}\p{{N}}@])"
-#: Code points before an entity that may hold the word of its context.
-CONTEXT = 40
-_SPANS = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
+#: Entries of an array that are added up one by one; blocks of them are added up in turn, so that a text with very many matches takes little more than linear time.
+BLOCK = 256
+_SPANS = "array<struct<start:bigint,end:bigint,value:string,pattern:string>>"
+_FAR = 1 << 62
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each entry of an array of longs what all entries before it come to."""
+    start = F.struct(F.lit(zero).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda a, x: F.struct(merge(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    cut = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(v, i, BLOCK))
+    within = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, start, step))
+    shifted = lambda x, before: F.transform(x["out"], lambda y: merge(before, y))
+    together = lambda each: F.flatten(F.zip_with(each, F.aggregate(each, start, lambda a, x: step(a, x["at"]))["out"], shifted))
+    return let(values, lambda v: let(within(cut(v)), together))
 
 
 def spans(text: Column, pattern: str, may: Column) -> Column:
-    """All matches with their places in code points, from the matches and what lies between them. may: whether there can be any."""
+    """All matches with their places in code points and their lexical patterns, from the matches and what lies between them. may: whether there can be any."""
     gaps = F.split(text, pattern, -1)
-    both = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).cast("long").alias("gap"), F.right(g, F.lit(CONTEXT)).alias("before")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
+    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps, lambda m, g: F.struct(m.alias("m"), F.length(m).cast("long").alias("size"), F.length(g).cast("long").alias("gap"), _pattern(g).alias("pattern")))
+
+    def place(x: Column, before: Column) -> Column:
+        start = before + x["gap"]
+        return F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["m"].alias("value"), x["pattern"].alias("pattern"))
+
+    placed = lambda p: F.zip_with(p, running(F.transform(p, lambda x: x["gap"] + x["size"]), lambda a, b: a + b, 0), place)
+    return F.when(may, let(F.filter(pieces, lambda x: x["m"].isNotNull()), placed)).otherwise(F.array().cast(_SPANS))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("value"), x["before"].alias("before")))).alias("out"))
 
-    found = F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), start, step)["out"]
-    return F.when(may, found).otherwise(F.array().cast(_SPANS))
+def apart(some: Column, others: Column) -> Column:
+    """Those of some spans that meet none of the others, in order: both sorted together, the furthest end of the others before a span and their next start behind it tell."""
+    row = lambda x, flag: F.struct(x["start"].alias("start"), F.lit(flag).alias("flag"), x["end"].alias("end"), x["value"].alias("value"), x["pattern"].alias("pattern"))
+    every = F.array_sort(F.concat(F.transform(others, lambda x: row(x, 0)), F.transform(some, lambda x: row(x, 1))))
+
+    def free(x: Column) -> Column:
+        ends = running(F.transform(x, lambda y: F.when(y["flag"] == 0, y["end"]).otherwise(-1)), F.greatest, -1)
+        starts = F.reverse(running(F.transform(F.reverse(x), lambda y: F.when(y["flag"] == 0, y["start"]).otherwise(_FAR)), F.least, _FAR))
+        near = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("ended"), s.alias("next")))
+        told = F.zip_with(x, near, lambda y, n: F.when((y["flag"] == 1) & (n["ended"] <= y["start"]) & (n["next"] >= y["end"]), F.struct(y["start"].alias("start"), y["end"].alias("end"), y["value"].alias("value"), y["pattern"].alias("pattern"))))
+        return F.array_compact(told)
+
+    return F.when((F.size(some) == 0) | (F.size(others) == 0), some).otherwise(let(every, free))
 
 
 def _digits(x: Column) -> Column:
@@ -64,10 +96,11 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"email": spans(text, EMAIL, F.contains(text, F.lit("@"))), "ip": ip, "card": card, "phone": phone}
 
 
-def _pattern(before: Column) -> Column:
-    """The lexical pattern of an entity: the word before it and whether they touch. At a text's start, a mark of its own."""
-    word = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    return F.concat(F.when(before.rlike(r"[\x20\x09-\x0D]$"), F.lit("_")).otherwise(F.lit("")), word)
+def _pattern(gap: Column) -> Column:
+    """The lexical pattern of an entity behind a gap: the word before it, however long, and whether they touch. Empty at a text's start and behind another match. The gap is read from its end, so it costs its length once."""
+    back = F.reverse(gap)
+    word = F.lower(F.reverse(F.regexp_extract(back, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]*+)", 1)))
+    return F.concat(F.when(back.rlike(r"^[\x20\x09-\x0D]"), F.lit("_")).otherwise(F.lit("")), word)
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,21 +109,16 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.col("text")
     found = base_spans(text)
     digit = text.rlike(r"\p{N}")
+    d = d.select("id", F.xxhash64("text").alias("tie"), *[c.alias(k) for k, c in found.items()], spans(text, RUN, digit).alias("runs"), spans(text, TOKEN, digit).alias("tokens"))
+    d = d.withColumn("fixed", F.concat(*found))
+    # a run that meets a fixed match gives way to its tokens
+    d = d.withColumn("runs", apart(F.col("runs"), F.col("fixed")))
+    others = F.concat("runs", apart(F.col("tokens"), F.concat("fixed", "runs")))
 
-    def named(c: Column, k: int) -> Column:
-        return F.transform(c, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _pattern(x["before"]).alias("pattern")))
-
-    flat = [named(c, k) for k, c in enumerate(found.values())]
-    d = d.select("id", F.xxhash64("text").alias("tie"), F.concat(*flat).alias("base"), spans(text, RUN, digit).alias("runs"), spans(text, TOKEN, digit).alias("tokens"))
-
-    def apart(c: str, others: str) -> Column:
-        return F.filter(c, lambda x: ~F.exists(others, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    def named(c: str, k: int) -> Column:
+        return F.transform(c, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["pattern"].alias("pattern")))
 
-    # a run that meets a fixed match gives way to its tokens
-    d = d.withColumn("runs", apart("runs", "base"))
-    other = F.concat("runs", apart("tokens", "base_runs"))
-    d = d.withColumn("base_runs", F.concat(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-    return d.select("id", "tie", "base", F.transform(other, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _pattern(x["before"]).alias("pattern"))).alias("others"))
+    return d.select("id", "tie", F.concat(*[named(c, k) for k, c in enumerate(found)]).alias("base"), others.alias("others"))
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
@@ -129,7 +157,7 @@ def confident_patterns(found: DataFrame, docs: DataFrame, text_col: str = "text"
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """One row per row of docs: id, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans (kind:start:end by start, comma-joined, code points, end exclusive).
+    """One row per row of docs: id, n_email, n_ip, n_card, n_phone, n_context, n_spans (of all kinds), base_sha256, spans (kind:start:end by start, comma-joined, code points, end exclusive).
 
     context spans are identifier-like strings behind a confident pattern (see confident_patterns, to which options go). Null texts are empty and have no spans; rows that repeat id and text share their result; null ids are kept; extra columns are left out; an empty table gives no rows."""
     found = materialize(extract(docs, id_col, text_col), "personal")
@@ -142,4 +170,4 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint)").alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
-    return f.select(F.col("id").alias(id_col), *counts, F.size("new").cast("long").alias("n_context"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.concat(base, F.col("new"))).alias("spans"))
+    return f.select(F.col("id").alias(id_col), *counts, F.size("new").cast("long").alias("n_context"), (F.size("base") + F.size("new")).cast("long").alias("n_spans"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.concat(base, F.col("new"))).alias("spans"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -799,6 +800,101 @@ def test_personal_data_grows_over_rounds(spark):
     assert all(got[first + k].startswith("context:9:") for k in (2, 3, 4)) and not any(got[i] for i in range(first + 5, len(texts)))
 
 
+def personal_patterns(occ, words, rounds=3, least_seeds=3, confidence=0.5, prior=2.0):
+    """The pattern-instance graph by hand. occ: (pattern, value, seed) of every entity; words: how often each word stands in the texts."""
+    every = collections.defaultdict(lambda: [0, 0])
+    for p, v, seed in occ:
+        every[p, v][0] = max(every[p, v][0], seed)
+        every[p, v][1] += 1
+    stands, fixed = collections.Counter(), collections.defaultdict(int)
+    for (_, v), (seed, times) in every.items():
+        stands[v] += times
+        fixed[v] = max(fixed[v], seed)
+    by = collections.defaultdict(dict)
+    for (p, v), (_, times) in every.items():
+        if p not in ("", "_"):
+            by[p][v] = times
+    by = {p: v for p, v in by.items() if len(v) >= least_seeds}
+    total = {p: max(sum(v.values()), words[p[1:]] if p.startswith("_") else 0) for p, v in by.items()}
+    value, score = {v: float(fixed[v]) for vs in by.values() for v in vs}, {}
+    for _ in range(rounds):
+        for p, vs in by.items():
+            ready = sum(value[v] >= confidence for v in vs) >= least_seeds
+            score[p] = sum(value[v] * t for v, t in vs.items()) / (total[p] + prior) if ready else 0.0
+        for v in value:
+            if not fixed[v]:
+                mine = [p for p in by if v in by[p]]
+                wrong = np.prod([1 - min(score[p], 0.999) for p in mine])
+                value[v] = (1 - wrong) * min(1.0, (sum(by[p][v] for p in mine if score[p] >= confidence) + prior) / stands[v])
+    return {p: s for p, s in score.items() if s >= confidence}
+
+
+def test_personal_graph(spark):
+    rng = np.random.default_rng(28)
+    marks = ["mail", "acct:", "tel", "ref=", "page", "id"]
+    texts = []
+    for i in range(120):
+        part = []
+        for m in rng.choice(marks, 4):
+            k = int(rng.integers(0, 12))
+            part.append({"mail": f"mail u{k}@x.org" if rng.random() < 0.8 else f"mail AB{k}77", "acct:": f"acct: AB{k}77" if rng.random() < 0.7 else "acct: none", "tel": f"tel +1 (743) 555-30{10 + k}", "ref=": f"ref=+1 (743) 555-30{10 + k}" if k % 3 else f"ref=ZZ{k}9", "page": f"page {k}", "id": f"Id AB{k}77"}[m])
+        texts.append(" and ".join(part))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.extract(docs)
+    occ = [(x["pattern"], x["value"], seed) for r in found.collect() for seed, xs in ((1, r["base"]), (0, r["others"])) for x in xs]
+    words = collections.Counter(w for t in texts for w in re.split("[\x20\x09-\x0d]+", t.lower()))
+    for options in ({}, {"rounds": 1}, {"rounds": 5, "confidence": 0.3}):
+        got = {r["pattern"]: r["score"] for r in pii.confident_patterns(found, docs, **options).collect()}
+        want = personal_patterns(occ, words, **options)
+        assert set(got) == set(want) and got and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_planted_identifiers_are_found(spark):
+    """Of identifiers behind words that also precede fixed matches nine in ten are found, and no number of ordinary text."""
+    rng = np.random.default_rng(29)
+    clean = [f"{x} {rng.integers(1, 3000)} {y}" for x, y in zip(prose(rng, 200), prose(rng, 200))]
+    seeds = [f"{x} contact: +1 (743) 555-{1000 + i}" for i, x in enumerate(prose(rng, 60))]
+    forms = [lambda k: f"AB{k}77", lambda k: f"({k % 900 + 100}) 555-{k:04}", lambda k: f"{k:03}-{k % 90 + 10}-{k:04}", lambda k: f"DE{k:04} 3704 0044"]
+    planted = [f"{x} contact: {forms[i % 4](i)}, then" for i, x in enumerate(prose(rng, 100))]
+    docs = spark.createDataFrame(list(enumerate(clean + seeds + planted)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_context"] for r in pii.find_personal(docs).collect()}
+    first = len(clean) + len(seeds)
+    assert sum(got[i] == 1 for i in range(first, first + 100)) >= 90 and not any(got[i] for i in range(len(clean)))
+
+
+def test_personal_data_with_very_many_matches(spark):
+    """100,000 matches in one text, and words of any length before them."""
+    word = "w" * 3000
+    text = " ".join(f"a{i}@b.c" for i in range(50_000)) + " " + " ".join(f"x{i}" for i in range(50_000)) + f" {word}:\n\n1.2.3.4"
+    docs = spark.createDataFrame([(1, text), (2, "b" * 200_000 + " 1.2.3.4")], "doc_id long, text string")
+    began = time.time()
+    r = {x["doc_id"]: x for x in pii.extract(docs).selectExpr("id as doc_id", "base", "size(others) as n").collect()}
+    assert time.time() - began < 60
+    at = [m.span() for m in re.finditer(r"a\d+@b\.c|1\.2\.3\.4", text)]
+    assert [(x["start"], x["end"]) for x in r[1]["base"]] == at and r[1]["n"] == 50_000
+    assert r[1]["base"][-1]["pattern"] == f"_{word}:" and r[2]["base"][0]["pattern"] == "_" + "b" * 200_000
+
+
+def test_spans_that_meet(spark):
+    rng = np.random.default_rng(30)
+
+    def some(n):
+        out, at = [], 0
+        for _ in range(n):
+            at += int(rng.integers(0, 4))
+            out.append((at, at + int(rng.integers(1, 4)), "v", "p"))
+            at = out[-1][1]
+        return out
+
+    rows = [(some(rng.integers(0, 30)), some(rng.integers(0, 30)) + some(rng.integers(0, 3))) for _ in range(60)] + [(some(700), some(600))]
+    kind = "array<struct<start:bigint,end:bigint,value:string,pattern:string>>"
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}")
+    got = df.select("a", "b", pii.apart(F.col("a"), F.col("b")).alias("c"), pii.running(F.transform("a", lambda x: x["end"]), lambda x, y: x + y, 0).alias("r")).collect()
+    for r in got:
+        assert [tuple(x) for x in r["c"]] == [tuple(x) for x in r["a"] if not any(y["start"] < x["end"] and x["start"] < y["end"] for y in r["b"])]
+        assert r["r"] == np.concatenate([[0], np.cumsum([x["end"] for x in r["a"]])])[:-1].astype(int).tolist()
+
+
 def test_personal_data_awkward(spark):
     assert pii.find_personal(documents(spark)).count() == len(TEXTS) + 2
     assert pii.find_personal(documents(spark, [])).count() == 0
