@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.pyformat import py_format
 from plumbline.operators.base import any_of, begins, holds, nodes_of, smells, text
-from plumbline.operators.graph import cycles, path_counts
+from plumbline.operators.graph import cycles, inner_edges, path_counts
 from plumbline.plans.config import Thresholds
 
 KIND = "Architectural"
@@ -97,13 +97,14 @@ def orphan_module(p: Project, t: Thresholds) -> DataFrame:
 
 
 def cyclic_dependency(p: Project, t: Thresholds) -> DataFrame:
-    """Of each set of modules on a cycle the strongest cycle. Its strength is the number of simple paths along each of its edges, added up."""
-    bad = any_of([F.contains(F.lower(c("id")), F.lit(x)) for x in t.get("CYCLE_EXCLUDED_MODULES")])
-    good = p.nodes.where(~bad)
-    e = p.edges.join(good.select(c("id").alias("src")), "src", "left_semi").join(good.select(c("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    """Of each set of modules on a cycle the strongest cycle, of equally strong ones the greatest list. Its strength is the number of simple paths along each of its edges, added up."""
+    inner = inner_edges(p.edges)
+    good = lambda x: ~any_of([F.contains(F.lower(c(x)), F.lit(name)) for name in t.get("CYCLE_EXCLUDED_MODULES")])
+    loops = p.edges.where("src = dst").select("src", "dst")
+    e = inner.select("src", "dst").unionByName(loops).where(good("src") & good("dst"))
     found = cycles(e, t.get("MIN_CYCLE_SIZE"), t.get("MAX_CYCLE_SIZE")).withColumn("n_nodes", F.size("nodes"))
     edge = found.select("nodes", F.posexplode("nodes").alias("i", "src")).select("nodes", "src", F.element_at("nodes", (c("i") + 1) % F.size("nodes") + 1).alias("dst"))
-    n = path_counts(p.edges, edge.select("src", "dst"))
+    n = path_counts(inner, edge.select("src", "dst"))
     strength = edge.join(n, ["src", "dst"]).groupBy("nodes").agg(F.sum("n").alias("strength"))
     best = strength.groupBy(F.array_sort("nodes").alias("key")).agg(F.max(F.struct("strength", "nodes")).alias("b")).select("b.nodes", "b.strength").withColumn("module", F.get("nodes", F.lit(0)))
     said = text("Strong cyclic dependency detected: ", F.array_join(F.concat("nodes", F.slice("nodes", 1, 1)), " -> "), "\nCycle strength: ", c("strength"), " mutual dependencies")

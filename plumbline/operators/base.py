@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.extract import LINE_CLASSES
+
 #: The public columns of a smell, in order.
 SMELL_COLUMNS = ("type", "name", "description", "file_path", "module_class", "line_number", "severity")
 
@@ -26,6 +28,30 @@ def rows_of(facts: DataFrame, column: str, *more: str, code: bool = True) -> Dat
     return facts.where(F.col(bad).isNull()).select("path", *more, F.inline(column))
 
 
+def line_codes(lines: Column) -> Column:
+    """A string of one class for each of an array of stripped lines (see functions.extract.LINE_CLASSES)."""
+
+    def code(x: Column) -> Column:
+        kind = F.when(x == "", " ")
+        for start, k in LINE_CLASSES:
+            kind = kind.when(x.startswith(start), k)
+        return kind.otherwise("C")
+
+    return F.array_join(F.transform(lines, code), "")
+
+
+def count_of(codes: Column, classes: str) -> Column:
+    """How many lines of a string of classes are of these."""
+    return F.length(F.regexp_replace(codes, f"[^{classes}]", "")).cast("long")
+
+
+def halves(codes: Column) -> tuple[Column, Column]:
+    """The classes of lines outside and inside of documentation. A line that starts with three quotes turns it on or off, whatever else it holds; such lines are in neither."""
+    parts = F.split(codes, "[DS]", -1)
+    every = lambda odd: F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
+    return every(0), every(1)
+
+
 def text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.pyformat import py_format
-from plumbline.operators.base import begins, commas, decorated, dunder, ends, rows_of, smells, text
+from plumbline.operators.base import begins, commas, count_of, decorated, dunder, ends, rows_of, smells, text
 from plumbline.plans.config import Thresholds
 
 KIND = "Code"
@@ -58,17 +58,27 @@ def long_parameter_list(facts: DataFrame, t: Thresholds) -> DataFrame:
     return _class(f, "Long Parameter List", text("'", c("name"), "' has ", c("n"), " parameters in ", c("path")), 4)
 
 
-def data_clumps(facts: DataFrame, t: Thresholds, most: int = 20) -> DataFrame:
-    """Sets of parameters that more than one function has. Subsets are counted off as bit masks of a function's sorted parameters, from the size at which they are reported on; more than most parameters (2**most subsets) are an error, not a cut."""
+def data_clumps(facts: DataFrame, t: Thresholds) -> DataFrame:
+    """Sets of parameters that more than one function has. Functions of a file meet on parameters that they share; every set that two of them have lies in what the two share, so only subsets of that are counted off, as bit masks, from the size at which they are reported on. A function may have any number of parameters; what is reported of two that share n is 2**n sets by the rule itself."""
     least = max(t["DATA_CLUMPS_THRESHOLD"], t.get("DATA_CLUMP_MIN_COMBO_SIZE"))
     f = rows_of(facts, "functions").where((c("name") != "__init__") & ~_property(c("decorators"), ["name"]))
-    f = f.select("path", "name", "ord", F.array_sort(F.filter("args", lambda a: a != "self")).alias("params")).where(F.size("params") >= t["DATA_CLUMPS_THRESHOLD"])
-    f = f.withColumn("params", F.when(F.size("params") > most, F.raise_error(F.lit(f"a function has more than {most} parameters"))).otherwise(c("params")))
-    f = f.select("path", "name", "ord", "params", F.explode(F.expr("sequence(1, shiftleft(1, size(params)) - 1)")).alias("mask")).where(F.bit_count("mask") >= least)
-    f = f.select("path", "name", "ord", F.expr("filter(params, (p, i) -> getbit(mask, i) = 1)").alias("combo"))
-    g = f.groupBy("path", "combo").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("x")).where(F.size("x") > 1)
+    f = f.select("path", "name", "ord", F.array_sort(F.array_distinct(F.filter("args", lambda a: a != "self"))).alias("params")).where(F.size("params") >= t["DATA_CLUMPS_THRESHOLD"])
+    one = f.select("path", c("ord").alias("a"), c("params").alias("pa"), F.explode("params").alias("p"))
+    two = f.select("path", c("ord").alias("b"), c("params").alias("pb"), F.explode("params").alias("p"))
+    met = one.join(two, ["path", "p"]).where("a < b").groupBy("path", "a", "b").agg(F.count("*").alias("n")).where(c("n") >= least).select("path", "a", "b")
+    by = lambda x: f.select("path", c("ord").alias(x), F.struct("ord", "name").alias(f"f{x}"), c("params").alias(f"p{x}"))
+    s = met.join(by("a"), ["path", "a"]).join(by("b"), ["path", "b"]).select("path", F.array("fa", "fb").alias("fs"), F.array_sort(F.array_intersect("pa", "pb")).alias("shared"))
+    # the pairs that share just the same are one
+    s = s.groupBy("path", "shared").agg(F.array_distinct(F.flatten(F.collect_list("fs"))).alias("fs"))
+    # the masks are the product of two generators, so no array has more than 2**16 for up to 32 shared parameters
+    s = s.select("path", "fs", "shared", F.explode(F.expr("sequence(0L, shiftleft(1L, greatest(size(shared) - 16, 0)) - 1)")).alias("high"))
+    s = s.select("path", "fs", "shared", "high", F.explode(F.expr("sequence(0L, shiftleft(1L, least(size(shared), 16)) - 1)")).alias("low"))
+    s = s.withColumn("mask", F.expr("shiftleft(high, 16) | low")).where(F.bit_count("mask") >= least)
+    s = s.select("path", "fs", F.expr("filter(shared, (p, i) -> getbit(mask, i) = 1)").alias("combo"))
+    g = s.groupBy("path", "combo").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("fs")))).alias("x"))
     g = g.withColumn("fns", commas(F.transform("x", lambda x: x["name"])))
-    return smells(g, KIND, "Data Clumps", text("Parameters ", commas(c("combo")), " appear together in functions: ", c("fns"), " in ", c("path")), owner=c("fns"), step=5, seq=F.get("x", F.lit(0))["ord"])
+    said = text("Parameters ", commas(c("combo")), " appear together in functions: ", c("fns"), " in ", c("path"))
+    return smells(g, KIND, "Data Clumps", said, owner=c("fns"), step=5, seq=F.get("x", F.lit(0))["ord"])
 
 
 def switch_statements(facts: DataFrame, t: Thresholds) -> DataFrame:
@@ -129,21 +139,18 @@ def shotgun_surgery(facts: DataFrame, t: Thresholds) -> DataFrame:
     return smells(g, KIND, "Potential Shotgun Surgery", text("Method '", c("name"), "' called in ", c("contexts"), " different contexts across ", c("n"), " locations in ", c("path")), owner=c("name"), line=c("line"), severity="high", step=11, seq=c("ord"))
 
 
-def comment_blocks(lines: DataFrame) -> DataFrame:
-    """lines (path, i, line: stripped) to rows (path, code_lines, comment_lines, large_blocks): runs of comment lines, by the difference of two row numbers; a run at the top does not count."""
-    w = Window.partitionBy("path").orderBy("i")
-    x = lines.select("path", "i", "line", c("line").startswith("#").alias("comment"))
-    x = x.withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy("path", "comment").orderBy("i")))
-    runs = x.groupBy("path", "comment", "run").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.count_if((c("line") != "") & ~c("line").startswith('"""')).alias("code"))
-    block = c("comment") & (c("first") > 0)
-    return runs.groupBy("path").agg(F.coalesce(F.sum(F.when(~c("comment"), c("code"))), F.lit(0)).alias("code_lines"), F.coalesce(F.sum(F.when(block, c("n"))), F.lit(0)).alias("comment_lines"), F.count_if(block & (c("n") > 5)).alias("large_blocks"))
+def comment_blocks(codes: Column) -> dict[str, Column]:
+    """code_lines, comment_lines and large_blocks of a file, from the classes of its lines: runs of comment lines, but for one at the top. Nothing leaves the row."""
+    below = F.regexp_replace(codes, "^#+", "")
+    return {"code_lines": count_of(codes, "SIC"), "comment_lines": count_of(below, "#"), "large_blocks": F.size(F.regexp_extract_all(below, F.lit("#{6,}"), F.lit(0))).cast("long")}
 
 
 def excessive_comments(facts: DataFrame, t: Thresholds) -> DataFrame:
-    lines = facts.where("code_error is null").select("path", F.posexplode("lines").alias("i", "line"))
-    g = comment_blocks(lines).withColumn("ratio", F.try_divide(c("comment_lines"), F.greatest("code_lines", F.lit(1))))
+    g = facts.where("code_error is null").select("path", *[x.alias(k) for k, x in comment_blocks(c("lines")).items()])
+    g = g.withColumn("ratio", F.try_divide(c("comment_lines"), F.greatest("code_lines", F.lit(1))))
     g = g.where((c("ratio") > t["EXCESSIVE_COMMENTS_RATIO"]) & (c("large_blocks") > t["LARGE_COMMENT_BLOCKS"]))
-    return smells(g, KIND, "Excessive Comments", text("File has ", py_format(c("ratio"), ".1%"), " comment ratio with ", c("large_blocks"), " large comment blocks in ", c("path")), severity="low", step=12)
+    said = text("File has ", py_format(c("ratio"), ".1%"), " comment ratio with ", c("large_blocks"), " large comment blocks in ", c("path"))
+    return smells(g, KIND, "Excessive Comments", said, severity="low", step=12)
 
 
 def normalized(code: Column) -> Column:
@@ -274,6 +281,12 @@ def aborts(facts: DataFrame, t: Thresholds) -> DataFrame:
     return out.groupBy("file_path").agg(F.min(F.struct("step", "ord")).alias("cut"))
 
 
+def strict(found: DataFrame, facts: DataFrame, t: Thresholds) -> DataFrame:
+    """Of the smells found those that a strict run reports: none from where a file's run breaks off."""
+    cut = aborts(facts, t)
+    return found.join(cut, "file_path", "left").where(c("cut").isNull() | (F.struct("step", c("seq").alias("ord")) < c("cut"))).drop("cut")
+
+
 DETECTORS = {
     "c01_long_method": long_method, "c02_large_class": large_class, "c03_primitive_obsession": primitive_obsession, "c04_long_parameter_list": long_parameter_list, "c05_data_clumps": data_clumps, "c06_switch_statements": switch_statements,
     "c07_temporary_field": temporary_field, "c08_alternative_classes": alternative_classes, "c09_divergent_change": divergent_change, "c10_parallel_inheritance": parallel_inheritance, "c11_shotgun_surgery": shotgun_surgery, "c12_excessive_comments": excessive_comments,

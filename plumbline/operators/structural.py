@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.functions.pyformat import py_format
-from plumbline.operators.base import any_of, begins, dunder, ends, holds, nodes_of, smells, text
-from plumbline.operators.graph import depths
+from plumbline.operators.base import any_of, begins, count_of, dunder, ends, halves, holds, nodes_of, smells, text
+from plumbline.operators.graph import depths, settle
 from plumbline.plans.config import Thresholds
 
 KIND = "Structural"
@@ -74,23 +73,24 @@ def size2(s: Structure, t: Thresholds) -> DataFrame:
 
 def wac(s: Structure, t: Thresholds) -> DataFrame:
     k = s.classes().withColumn("used", F.flatten(F.transform("methods", lambda m: m["self_attrs"])))
-    constant = lambda f: (f == F.upper(f)) & f.rlike(r"\p{L}")
+    # some letter is upper case and none is of another case; letters without case say nothing
+    constant = lambda f: f.rlike(r"\p{IsUppercase}") & ~f.rlike(r"[\p{IsLowercase}\p{IsTitlecase}]")
     k = k.withColumn("n", F.size(F.filter("fields", lambda f: ~constant(f) & (~f.startswith("_") | (F.size(F.filter("used", lambda u: u == f)) > 1))))).where(c("n") > t["WAC_THRESHOLD"])
     return _smells(k, "High Weight of a Class (WAC)", text("Class '", c("name"), "' has ", c("n"), " significant attributes (excluding constants and unused private fields)"), 4, _level(c("n"), t["WAC_THRESHOLD"]))
 
 
-def close_usage(usage: DataFrame, calls: DataFrame, rounds: int = 40) -> DataFrame:
-    """usage (owner, method, field) with the fields of all methods that a method reaches by calls (owner, method, callee)."""
-    hop = calls.join(calls.select("owner", c("method").alias("callee")).distinct(), ["owner", "callee"], "left_semi").select("owner", "method", "callee").distinct()
-    reached, front = calls.select("owner", "method", "callee").distinct(), None
+def close_usage(usage: DataFrame, calls: DataFrame) -> DataFrame:
+    """usage (owner, method, field) with the fields of all methods that a method reaches by calls (owner, method, callee). Ways of calls double in length each round, until none is new."""
+    reached = calls.select("owner", "method", "callee").distinct()
+    hop = reached.join(reached.select("owner", c("method").alias("callee")).distinct(), ["owner", "callee"], "left_semi")
     if not hop.isEmpty():  # some callee calls on
-        for _ in range(rounds):
-            front = reached.select("owner", "method", c("callee").alias("mid")).join(calls.select("owner", c("method").alias("mid"), c("callee")), ["owner", "mid"]).select("owner", "method", "callee").distinct().join(reached, ["owner", "method", "callee"], "left_anti")
-            if front.isEmpty():
-                break
-            reached = reached.unionByName(front).persist()
-        else:
-            raise RuntimeError("calls did not settle")
+        n, before = reached.count(), -1
+        while n != before:
+            before = n
+            on = reached.select("owner", c("method").alias("mid"), c("callee"))
+            longer = reached.select("owner", "method", c("callee").alias("mid")).join(on, ["owner", "mid"]).select("owner", "method", "callee")
+            reached = settle(reached.unionByName(longer).distinct())
+            n = reached.count()
     more = reached.join(usage.select("owner", c("method").alias("callee"), "field"), ["owner", "callee"]).select("owner", "method", "field")
     return usage.unionByName(more).distinct()
 
@@ -152,23 +152,26 @@ def deep_inheritance(s: Structure, t: Thresholds) -> DataFrame:
     return a.unionByName(b)
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
-    """lines (id, i, line: stripped) to rows (id, total, blank, doc, imports, code). A line that starts with three quotes turns documentation on or off, whatever it holds; whether a line lies within is the parity of the turns before it."""
-    x = lines.withColumn("turn", F.when(begins(c("line"), '"""', "'''"), 1).otherwise(0))
-    before = F.coalesce(F.sum("turn").over(Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kind = F.when(c("line") == "", "blank").when(c("turn") == 1, "doc").when(c("inside"), "doc").when(begins(c("line"), "import ", "from "), "imports").when(c("line").startswith("#"), "comment").otherwise("code")
-    x = x.withColumn("inside", before % 2 == 1).withColumn("kind", kind)
-    return x.groupBy("id").agg(F.count("*").alias("total"), *[F.count_if(c("kind") == k).alias(k) for k in ("blank", "doc", "imports", "code")])
+def line_counts(codes: Column) -> dict[str, Column]:
+    """total, blank, doc, imports and code lines of a file, from the classes of its lines: nothing leaves the row."""
+    outside, inside = halves(codes)
+    return {
+        "total": F.length(codes).cast("long"), "blank": count_of(codes, " "), "doc": count_of(codes, "DS") + count_of(inside, "#IC"),
+        "imports": count_of(outside, "I"), "code": count_of(outside, "C"),
+    }
 
 
 def loc(s: Structure, t: Thresholds) -> DataFrame:
-    lines = s.good.select(c("module").alias("id"), F.posexplode("split_lines").alias("i", "line"))
-    g = classify_lines(lines).join(s.good.select(c("module").alias("id"), "path"), "id")
+    g = s.good.select(c("module").alias("id"), "path", *[x.alias(k) for k, x in line_counts(c("split_lines")).items()])
     busy = c("total") - c("blank")
     ratio = F.coalesce(F.try_divide(c("code"), busy), F.lit(1.0))
-    most = F.lit(float(t["LOC_THRESHOLD"])) * F.when(F.contains(F.lower("id"), F.lit("test")), t.get("LOC_TEST_FILE_MULTIPLIER")).otherwise(1.0) * F.when(ratio < t.get("LOC_DOC_COMPLEXITY_RATIO_BREAKPOINT"), t.get("LOC_DOC_COMPLEXITY_MULTIPLIER")).otherwise(1.0)
+    tests = F.when(F.contains(F.lower("id"), F.lit("test")), t.get("LOC_TEST_FILE_MULTIPLIER")).otherwise(1.0)
+    most = F.lit(float(t["LOC_THRESHOLD"])) * tests * F.when(ratio < t.get("LOC_DOC_COMPLEXITY_RATIO_BREAKPOINT"), t.get("LOC_DOC_COMPLEXITY_MULTIPLIER")).otherwise(1.0)
     g = g.withColumn("most", most).where(c("code") > c("most"))
-    said = text("Module '", c("id"), "' has ", c("code"), " effective code lines\n(Total: ", c("total"), ", Code: ", c("code"), ", Doc: ", c("doc"), ", Import: ", c("imports"), ", Blank: ", c("blank"), ")")
+    said = text(
+        "Module '", c("id"), "' has ", c("code"), " effective code lines\n(Total: ", c("total"), ", Code: ", c("code"),
+        ", Doc: ", c("doc"), ", Import: ", c("imports"), ", Blank: ", c("blank"), ")",
+    )
     return _smells(g, "High Lines of Code (LOC)", said, 9, _level(c("code"), c("most")), owner="id")
 
 
@@ -232,15 +235,9 @@ def fan_in(s: Structure, t: Thresholds) -> DataFrame:
     return _graph(s, d, "High Fan-in", text("Module '", c("id"), "' has ", c("n"), " incoming dependencies"), 15, t.get("MAX_FANIN"))
 
 
-def meaningful_lines(lines: DataFrame) -> DataFrame:
-    """lines (id, i, line: stripped) to rows (id, n): lines that are neither blank, comments, nor within (or at the edge of) documentation; comments never turn it."""
-    x = lines.where((c("line") != "") & ~c("line").startswith("#")).withColumn("turn", F.when(begins(c("line"), '"""', "'''"), 1).otherwise(0))
-    before = F.coalesce(F.sum("turn").over(Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return x.withColumn("inside", before % 2 == 1).groupBy("id").agg(F.count_if((c("turn") == 0) & ~c("inside")).alias("n"))
-
-
 def long_file(s: Structure, t: Thresholds) -> DataFrame:
-    g = meaningful_lines(s.good.select(c("module").alias("id"), F.posexplode("strict_lines").alias("i", "line"))).where(c("n") > t.get("MAX_FILE_LENGTH")).join(s.good.select(c("module").alias("id"), "path"), "id")
+    """Lines count that are neither blank, comments, nor within (or at the edge of) documentation; comments never turn it."""
+    g = s.good.select(c("module").alias("id"), "path", count_of(halves(c("strict_lines"))[0], "IC").alias("n")).where(c("n") > t.get("MAX_FILE_LENGTH"))
     return _smells(g, "Long File", text("File '", c("id"), "' has ", c("n"), " meaningful lines of code"), 16, _level(c("n"), t.get("MAX_FILE_LENGTH")), owner="id")
 
 

@@ -12,7 +12,8 @@ from plumbline.functions.extract import facts as extract_facts
 from plumbline.operators import architectural, code, structural
 from plumbline.operators.base import SMELL_COLUMNS
 from plumbline.plans.config import Thresholds, load
-from plumbline.sources.pytree import read_tree
+from plumbline.sources.pytree import UNREADABLE, read_tree
+from plumbline.sources.reports import ordered, write_csv, write_json
 
 FAMILIES = ("code", "architectural", "structural")
 #: All detectors by key; the key's letter is the family.
@@ -38,13 +39,17 @@ def detect(facts: DataFrame, key: str, config: dict[str, Thresholds]) -> DataFra
 
 @dataclass
 class Analysis:
-    """Results of a run. smells: the public columns, family by family, each file's in the order of its detectors. errors: files that could not be parsed, by family."""
+    """Results of a run. smells: the public columns, family by family, each file's in the order of its detectors. errors: files that could not be read or parsed, by family. The facts are kept until release()."""
 
     facts: DataFrame
     smells: DataFrame
     errors: DataFrame
     families: tuple[str, ...]
 
+    def release(self) -> None:
+        """Gives the kept facts up; results that are read later work them out anew."""
+        self.facts.unpersist()
+
     def summary(self) -> DataFrame:
         """Rows (type, files, errors, smells, success_rate): files are those that were analyzed."""
         n = self.facts.agg(F.count_if(F.col("code_error").isNull()).alias("code_ok"), F.count_if(F.col("code_error").isNotNull()).alias("code_bad"), F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad"))
@@ -68,11 +73,10 @@ def analyze_sources(sources: DataFrame, config: str | dict | None = None, famili
             continue
         one = reduce(DataFrame.unionByName, found)
         if family == "code" and strict:
-            cut = code.aborts(facts, thresholds["code_smells"])
-            one = one.join(cut, "file_path", "left").where(F.col("cut").isNull() | (F.struct("step", F.col("seq").alias("ord")) < F.col("cut"))).drop("cut")
+            one = code.strict(one, facts, thresholds["code_smells"])
         plans.append(one)
     smells = reduce(DataFrame.unionByName, plans) if plans else facts.sparkSession.createDataFrame([], "type string, name string, description string, file_path string, module_class string, line_number int, severity string, step int, seq int")
-    bad = [facts.where(F.col(c).isNotNull()).select(F.lit(f.capitalize()).alias("type"), F.col("path").alias("file_path"), F.lit("parse error").alias("error_type"), F.col(c).alias("message")) for f, c in (("code", "code_error"), ("architectural", "error"), ("structural", "error")) if f in families]
+    bad = [facts.where(F.col(c).isNotNull()).select(F.lit(f.capitalize()).alias("type"), F.col("path").alias("file_path"), F.when(F.startswith(F.col(c), F.lit(UNREADABLE)), "read error").otherwise("parse error").alias("error_type"), F.col(c).alias("message")) for f, c in (("code", "code_error"), ("architectural", "error"), ("structural", "error")) if f in families]
     return Analysis(facts, smells.select(*SMELL_COLUMNS, "step", "seq"), reduce(DataFrame.unionByName, bad), families)
 
 
@@ -84,13 +88,23 @@ def analyze(spark: SparkSession, path: str, config: str | dict | None = None, fa
     return analyze_sources(sources, config, families, strict)
 
 
+def _family(spark: SparkSession, path: str, config: str | dict | None, family: str, strict: bool = True) -> DataFrame:
+    return ordered(analyze(spark, path, config, (family,), strict).smells)
+
+
 def analyze_code(spark: SparkSession, path: str, config: str | dict | None = None, strict: bool = True) -> DataFrame:
-    return analyze(spark, path, config, ("code",), strict).smells.select(*SMELL_COLUMNS)
+    return _family(spark, path, config, "code", strict)
 
 
 def analyze_architecture(spark: SparkSession, path: str, config: str | dict | None = None) -> DataFrame:
-    return analyze(spark, path, config, ("architectural",)).smells.select(*SMELL_COLUMNS)
+    return _family(spark, path, config, "architectural")
 
 
-def analyze_structure(spark: SparkSession, path: str, config: str | dict | None = None) -> DataFrame:
-    return analyze(spark, path, config, ("structural",)).smells.select(*SMELL_COLUMNS)
+def analyze_structure(spark: SparkSession, path: str, config: str | dict | None = None, output: str | None = None) -> DataFrame:
+    """output: the stem of a CSV and a JSON report, which this family writes itself."""
+    smells = _family(spark, path, config, "structural")
+    if output:
+        smells = smells.persist()
+        write_csv(smells, f"{output}.csv")
+        write_json(smells, f"{output}.json")
+    return smells

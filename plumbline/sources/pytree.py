@@ -11,48 +11,87 @@ from pyspark.sql.types import StructType
 
 #: Bytes and files that one task reads, about.
 TASK_BYTES, TASK_FILES = 32 << 20, 2_000
-
-
-class Files(InputPartition):
-    def __init__(self, root: str, paths: list[str]):
-        self.root, self.paths = root, paths
+#: Directories that the driver lists itself; beyond them each directory is a task that lists what is below it.
+DRIVER_DIRECTORIES = 2_000
+#: How the problem of a file that could not be read begins.
+UNREADABLE = "cannot be read: "
+
+
+class Work(InputPartition):
+    """Files to read, or a directory to walk."""
+
+    def __init__(self, root: str, paths: list[str], below: str | None = None):
+        self.root, self.paths, self.below = root, paths, below
+
+
+def _entries(directory: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """The .py files of a directory with their sizes, and its directories (no links). One that cannot be listed has none."""
+    files: list[tuple[str, int]] = []
+    directories: list[str] = []
+    try:
+        with os.scandir(directory) as found:
+            for e in found:
+                if e.is_dir(follow_symlinks=False):
+                    directories.append(e.path)
+                elif e.name.endswith(".py") and not e.is_dir():
+                    try:
+                        files.append((e.path, e.stat().st_size))
+                    except OSError:  # a dangling link: reading it tells
+                        files.append((e.path, 0))
+    except OSError:
+        return [], []
+    return sorted(files), sorted(directories)
 
 
 class PyTreeReader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root
 
-    def partitions(self) -> list[Files]:
-        """Files in order of their paths, dealt into tasks by size. Directory links are not followed."""
-        if os.path.isfile(self.root):
-            return [Files(os.path.dirname(self.root), [self.root])]
-        found = sorted(os.path.join(d, f) for d, _, names in os.walk(self.root) for f in names if f.endswith(".py"))
-        out: list[Files] = []
-        size = 0
-        for p in found:
-            n = os.path.getsize(p) if os.path.exists(p) else 0
-            if not out or size + n > TASK_BYTES or len(out[-1].paths) >= TASK_FILES:
-                out.append(Files(self.root, []))
-                size = 0
-            out[-1].paths.append(p)
-            size += n
-        return out or [Files(self.root, [])]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
-        for p in partition.paths:
-            with open(p, "rb") as f:
-                yield p, partition.root, f.read()
+    def partitions(self) -> list[Work]:
+        """Files dealt into tasks by size, in the order of their directories; what lies below directories that the driver does not list itself is a task for each."""
+        if not os.path.isdir(self.root):
+            return [Work(os.path.dirname(self.root), [self.root])]
+        out: list[Work] = [Work(self.root, [])]
+        size, at = 0, 0
+        todo = [self.root]
+        while at < len(todo) and at < DRIVER_DIRECTORIES:
+            files, directories = _entries(todo[at])
+            todo += directories
+            for path, n in files:
+                if out[-1].paths and (size + n > TASK_BYTES or len(out[-1].paths) >= TASK_FILES):
+                    out.append(Work(self.root, []))
+                    size = 0
+                out[-1].paths.append(path)
+                size += n
+            at += 1
+        return out + [Work(self.root, [], d) for d in todo[at:]]
+
+    def read(self, partition: Work) -> Iterator[tuple]:
+        """A file that cannot be read is a row with its problem, so the others go on."""
+        todo, paths = [] if partition.below is None else [partition.below], iter(partition.paths)
+        while True:
+            for p in paths:
+                try:
+                    with open(p, "rb") as f:
+                        content, problem = f.read(), None
+                except OSError as e:
+                    content, problem = None, f"{UNREADABLE}{type(e).__name__}: {e}"
+                yield p, partition.root, content, problem
+            if not todo:
+                return
+            files, directories = _entries(todo.pop())
+            paths, todo = iter([p for p, _ in files]), todo + directories[::-1]
 
 
 class PyTree(DataSource):
-    """spark.read.format("pytree").load(directory): path, root, content. A single file may be given too."""
+    """spark.read.format("pytree").load(directory): path, root, content, problem. A single file may be given too."""
 
     @classmethod
     def name(cls) -> str:
         return "pytree"
 
     def schema(self) -> str:
-        return "path string, root string, content binary"
+        return "path string, root string, content binary, problem string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return PyTreeReader(os.path.abspath(self.options["path"]))

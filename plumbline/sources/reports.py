@@ -48,6 +48,28 @@ def write_json(smells: DataFrame, path: str) -> None:
         f.write("]" if empty else "\n]")
 
 
+def console_line(row: Row) -> str:
+    """How a family shows a smell of its own on the console: code names and describes it, the others show all fields."""
+    if row["type"] == "Code":
+        return f"{row['name']}: {row['description']}"
+    return f"{row['type']}Smell(" + ", ".join(f"{c}={row[c]!r}" for c in SMELL_COLUMNS[1:]) + ")"
+
+
+def console(smells: DataFrame) -> Iterator[str]:
+    """Lines of the console report of one family or more."""
+    for row in _rows(smells):
+        yield console_line(row)
+
+
+def _lines(row: Row) -> Iterator[str]:
+    yield f"- {row['name']}: {row['description']}"
+    if row["type"] == "Structural":
+        yield f"  File: {row['file_path']}"
+        if row["line_number"]:
+            yield f"  Line: {row['line_number']}"
+        yield f"  Severity: {row['severity']}"
+
+
 def render(smells: DataFrame) -> Iterator[str]:
     """Lines of the text report: a section for each family, then totals."""
     totals = {r["type"]: r["n"] for r in smells.groupBy("type").agg(F.count("*").alias("n")).collect()}
@@ -58,12 +80,7 @@ def render(smells: DataFrame) -> Iterator[str]:
         if not totals.get(kind):
             yield f"No {kind.lower()} smells detected."
         while row is not None and row["type"] == kind:
-            yield f"- {row['name']}: {row['description']}"
-            if kind == "Structural":
-                yield f"  File: {row['file_path']}"
-                if row["line_number"]:
-                    yield f"  Line: {row['line_number']}"
-                yield f"  Severity: {row['severity']}"
+            yield from _lines(row)
             row = next(rows, None)
         yield ""
     for kind in _ORDER:

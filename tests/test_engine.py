@@ -1,11 +1,15 @@
 """Small source trees and what must be found in them."""
 
 import csv
+import itertools
 import json
+import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.functions.extract import extract
+from plumbline.functions.extract import FACTS, extract
 from plumbline.plans.config import EXTENDED, PACKAGED, check, load
 from plumbline.plans.engine import AnalysisError, analyze, analyze_code
 from plumbline.sources.pytree import read_tree
@@ -161,6 +165,132 @@ def test_scan_sees_every_file(spark, tmp_path):
     assert [r["path"] for r in read_tree(spark, f"{path}/_d/z.py").collect()] == [f"{path}/_d/z.py"]
 
 
+def test_scan_of_many_directories(spark, tmp_path, monkeypatch):
+    """Beyond the directories that the driver lists, tasks do."""
+    from plumbline.sources import pytree
+
+    monkeypatch.setattr(pytree, "DRIVER_DIRECTORIES", 2)
+    path = tree(tmp_path, **{f"{a}__slash__{b}__slash__m": f"x = '{a}{b}'\n" for a in "ab" for b in "cde"}, top="y = 1\n")
+    parts = pytree.PyTreeReader(path).partitions()
+    assert sum(p.below is not None for p in parts) > 1
+    got = sorted(r[0][len(path) :] for p in parts for r in pytree.PyTreeReader(path).read(p))
+    assert got == sorted(f"/{a}/{b}/m.py" for a in "ab" for b in "cde") + ["/top.py"]
+
+
+def test_unreadable_files_are_errors(spark, tmp_path):
+    path = tree(tmp_path / "src", ok="def f(" + ", ".join(f"p{i}" for i in range(7)) + "): pass\n", shut="x = 1\n", broken="def (:\n")
+    (tmp_path / "src" / "gone.py").symlink_to(tmp_path / "nowhere.py")
+    (tmp_path / "src" / "shut.py").chmod(0)
+    a = analyze(spark, path, PACKAGED, ("code", "structural"))
+    assert [r["name"] for r in a.smells.collect()] == ["Long Parameter List"]
+    unreadable = {"gone.py"} | ({"shut.py"} if not os.access(f"{path}/shut.py", os.R_OK) else set())
+    got = {(r["type"], r["file_path"].rsplit("/", 1)[1], r["error_type"]) for r in a.errors.collect()}
+    assert got == {(t, n, "read error") for t in ("Code", "Structural") for n in unreadable} | {(t, "broken.py", "parse error") for t in ("Code", "Structural")}
+    a.release()
+
+
+def test_functions_of_very_many_parameters(spark, tmp_path):
+    one, seven = ", ".join(f"p{i}" for i in range(60)), ", ".join(f"p{i}" for i in range(7))
+    text = f"def wide({one}): pass\ndef other({seven}, q): pass\ndef third(a, b, c, d, e, f, g, h): pass\n"
+    got = [r["description"] for r in analyze(spark, tree(tmp_path, m=text), PACKAGED, ("code",)).smells.where("name = 'Data Clumps'").collect()]
+    sets = [list(x) for n in (6, 7) for x in itertools.combinations([f"p{i}" for i in range(7)], n)]
+    assert sorted(got) == sorted(f"Parameters {', '.join(x)} appear together in functions: wide, other in {tmp_path}/m.py" for x in sets)
+
+
+def test_data_clumps_against_all_subsets(spark):
+    from plumbline.operators.code import data_clumps
+
+    rng = random.Random(3)
+    fns = {f"f{i}": sorted(rng.sample("abcdefghij", rng.randint(3, 8))) for i in range(9)}
+    row = extract("/p/m.py", "/p", "".join(f"def {n}({', '.join(p)}): pass\n" for n, p in fns.items()).encode())
+    facts = spark.createDataFrame([row], FACTS)
+    t = load({"code_smells": {"DATA_CLUMPS_THRESHOLD": 3}})["code_smells"]
+    want: dict = {}
+    for n, p in fns.items():
+        for size in range(3, len(p) + 1):
+            for x in itertools.combinations(p, size):
+                want.setdefault(x, []).append(n)
+    got = {r["description"] for r in data_clumps(facts, t).collect()}
+    assert got == {f"Parameters {', '.join(x)} appear together in functions: {', '.join(f)} in /p/m.py" for x, f in want.items() if len(f) > 1}
+
+
+def test_line_rules(spark):
+    """Classes of lines and what is counted of them, against a walk line by line."""
+    from plumbline.operators.base import line_codes
+    from plumbline.operators.code import comment_blocks
+    from plumbline.operators.structural import line_counts
+
+    rng = random.Random(4)
+    kinds = ["# c", "", "import os", "from a import b", '"""doc', "'''", "code", 'x = """no turn', "imports"]
+    texts = [[rng.choice(kinds) for _ in range(rng.randrange(1, 60))] for _ in range(40)]
+    for lines in texts:
+        row = extract("/p/m.py", "/p", "\n".join(f"  {x} " for x in lines).encode())
+        inside, n = False, dict.fromkeys(("total", "blank", "doc", "imports", "code"), 0)
+        for x in lines:
+            n["total"] += 1
+            turn = x.startswith(('"""', "'''"))
+            if not x:
+                n["blank"] += 1
+            elif turn or inside:
+                n["doc"] += 1
+            elif x.startswith(("import ", "from ")):
+                n["imports"] += 1
+            elif not x.startswith("#"):
+                n["code"] += 1
+            inside ^= turn
+        runs = [(k, len(list(g))) for k, g in itertools.groupby(x.startswith("#") for x in lines)]
+        runs = [size for i, (k, size) in enumerate(runs) if k and i]
+        want = n | {"code_lines": sum(bool(x) and not x.startswith(("#", '"""')) for x in lines), "comment_lines": sum(runs), "large_blocks": sum(r > 5 for r in runs)}
+        df = spark.createDataFrame([(row["lines"], lines)], "codes string, lines array<string>")
+        got = df.select(*[x.alias(k) for k, x in (line_counts(F.col("codes")) | comment_blocks(F.col("codes"))).items()], (line_codes(F.col("lines")) == F.col("codes")).alias("same")).first().asDict()
+        assert got == want | {"same": True}
+
+
+def test_deep_chains(spark, tmp_path):
+    """Hierarchies and calls of any depth."""
+    text = "class C0:\n    pass\n" + "".join(f"class C{i}(m.C{i - 1}):\n    pass\n" for i in range(1, 130))
+    a = analyze(spark, tree(tmp_path / "a", m=text), PACKAGED, ("structural",)).smells.where("name = 'Deep Inheritance Tree (DIT)'")
+    assert a.count() == 127 and a.where("description like '%C129'' has DIT of 130%'").count() == 1
+    calls = "class A:\n" + "".join(f"    def m{i}(self):\n        self.m{i + 1}()\n" for i in range(70)) + "    def m70(self):\n        return self.x\n"
+    assert not [r for r in analyze(spark, tree(tmp_path / "b", m=calls), PACKAGED, ("structural",)).smells.collect() if "Cohesion" in r["name"]]
+
+
+def test_graphs_against_brute_force(spark):
+    from plumbline.operators.graph import depths, strong_components
+
+    rng = random.Random(5)
+    for n, m in ((6, 9), (30, 36), (40, 90), (5, 0)):
+        edges = sorted({(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)})
+        ways = {}
+        for i in range(n):
+            start, front = f"n{i}", {f"n{i}": [f"n{i}"]}
+            seen = dict(front)
+            while front:
+                step: dict = {}
+                for s, path in front.items():
+                    for a, b in edges:
+                        if a == s and b not in seen:
+                            step[b] = min(step.get(b, [*path, b]), [*path, b])
+                seen |= step
+                front = step
+            ways[start] = seen
+        df = spark.createDataFrame(edges, "src string, dst string")
+        want = {a: min(b for b in ways if b in ways[a] and a in ways[b]) for a in ways if any(a in ways[b] and b in ways[a] and b != a for b in ways)}
+        assert {r["id"]: r["part"] for r in strong_components(df).collect()} == want
+        assert {r["id"]: r["path"] for r in depths(df, "n0").collect()} == ways["n0"]
+
+
+def test_structural_reports_of_its_own(spark, tmp_path):
+    from plumbline.plans.engine import analyze_structure
+    from plumbline.sources.reports import console
+
+    path = tree(tmp_path / "src", m="x = 1\n" * 300)
+    smells = analyze_structure(spark, path, output=str(tmp_path / "own"))
+    assert [r["name"] for r in json.loads((tmp_path / "own.json").read_text())] == ["High Lines of Code (LOC)", "Long File"]
+    assert len(list(csv.reader((tmp_path / "own.csv").open()))) == 3
+    assert [x.split("(")[0] for x in console(smells)] == ["StructuralSmell", "StructuralSmell"]
+
+
 def test_empty_project(spark, tmp_path):
     with pytest.raises(AnalysisError):
         analyze(spark, str(tmp_path))
@@ -202,14 +332,29 @@ def test_stream_of_changes(spark, tmp_path):
     assert [r["name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["Long Parameter List"]
 
 
+def test_stream_and_batch_agree(spark, tmp_path):
+    """A strict run ends a file's smells in both."""
+    from plumbline.streaming.changes import code_smells
+
+    text = b"@dataclass(frozen=True)\nclass D:\n    x: int\nclass Small:\n    pass\n"
+    src = tmp_path / "in"
+    spark.createDataFrame([("/p/m.py", "/p", bytearray(text))], "path string, root string, content binary").write.parquet(str(src))
+    stream = spark.readStream.schema("path string, root string, content binary").parquet(str(src))
+    for strict, want in ((True, []), (False, ["Lazy Class", "Lazy Class"])):
+        q = code_smells(stream, str(tmp_path / f"out{strict}"), str(tmp_path / f"cp{strict}"), EXTENDED, strict)
+        q.processAllAvailable()
+        q.stop()
+        assert [r["name"] for r in spark.read.parquet(str(tmp_path / f"out{strict}")).collect()] == want
+
+
 def test_command_line(spark, tmp_path, capsys):
     from plumbline.__main__ import main
 
     path = tree(tmp_path / "src", f="def f(" + ", ".join(f"param{i}" for i in range(7)) + "): pass\n")
-    assert main([path, "--type", "code", "--output", str(tmp_path / "r")]) == 0
+    assert main([path, "--type", "code", "--output", str(tmp_path / "r"), "--log", str(tmp_path / "log")]) == 0
     out = capsys.readouterr().out
     assert "Long Parameter List" in out and "Code: 1 files analyzed, 0 errors, success rate 100.0%" in out
-    assert {p.suffix for p in tmp_path.glob("r.*")} == {".txt", ".csv", ".json"}
+    assert {p.suffix for p in tmp_path.glob("r.*")} == {".txt", ".csv", ".json"} and (tmp_path / "log").exists()
 
 
 def test_package_exports():
