@@ -1,6 +1,7 @@
 """The corpus pipeline: quality classifier, line dedup, near duplicates, benchmark decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as Parquet to the shared folder and reads it again as the next one's docs. All stages but the last return the columns of documents."""
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as Parquet to the shared folder and reads it again as
+the next one's docs. All stages but the last return the columns of documents."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard_join, line_dedup, packing, quality_model
-from plumbline.llm.core import BROADCAST_ROWS, materialize
+from plumbline.llm.core import BROADCAST_ROWS, drop_scratch, materialize, scratch_made, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,12 +32,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines are cut out; documents with nothing else go, those with a word left stay. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).where(~F.col("emptied") | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    out = line_dedup.dedup_lines(docs).where(~F.col("emptied"))
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked by a Jaccard similarity of 0.8 or more over five-word shingles, one stays: that with the least doc_id, null last. A row is told by its doc_id and text, so of rows that repeat both one stays, and rows that repeat an id with other texts have their own fates. Texts without words stay."""
+    """Of rows linked by a Jaccard similarity of 0.8 or more over five-word shingles, one stays: that with the least doc_id, null last.
+
+    A row is told by its doc_id and text, so of rows that repeat both one stays, and rows that repeat an id with other texts have their own fates.
+    Texts without words stay."""
     d = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     groups = jaccard_join.similar_groups(d.select("row", "text"), "row")
     own = materialize(groups.where("n_shingles > 0").groupBy("row").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times")), "rows")
@@ -80,7 +84,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote to the shared folder besides its result goes as soon as that is written, and its result when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
+        before = set(scratch_made())
         docs = materialize(stage(spark, docs, sf_dir), f"stage{i}")
+        made = [x for x in scratch_made() if x not in before]
+        drop_scratch([x for x in made[:-1] if x != shared_dir(spark)])
+        if i:
+            drop_scratch([last])
+        last = made[-1]
     return docs

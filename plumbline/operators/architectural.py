@@ -15,7 +15,8 @@ c = F.col
 
 
 class Project:
-    """Relations of the architectural family. They may be given from anywhere: nodes (id), edges (src, dst; each once), functions (module, fn; each once), calls (module, attr, ord), paths (module, path)."""
+    """Relations of the architectural family. They may be given from anywhere: nodes (id), edges (src, dst; each once), functions (module, fn; each
+    once), calls (module, attr, ord), paths (module, path)."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, functions: DataFrame, calls: DataFrame, paths: DataFrame):
         self.nodes, self.edges, self.functions, self.calls, self.paths = nodes, edges, functions, calls, paths
@@ -97,7 +98,8 @@ def orphan_module(p: Project, t: Thresholds) -> DataFrame:
 
 
 def cyclic_dependency(p: Project, t: Thresholds) -> DataFrame:
-    """Of each set of modules on a cycle the strongest cycle, of equally strong ones the greatest list. Its strength is the number of simple paths along each of its edges, added up."""
+    """Of each set of modules on a cycle the strongest cycle, of equally strong ones the greatest list. Its strength is the number of simple paths
+    along each of its edges, added up."""
     inner = inner_edges(p.edges)
     good = lambda x: ~any_of([F.contains(F.lower(c(x)), F.lit(name)) for name in t.get("CYCLE_EXCLUDED_MODULES")])
     loops = p.edges.where("src = dst").select("src", "dst")

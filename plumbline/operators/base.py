@@ -46,7 +46,8 @@ def count_of(codes: Column, classes: str) -> Column:
 
 
 def halves(codes: Column) -> tuple[Column, Column]:
-    """The classes of lines outside and inside of documentation. A line that starts with three quotes turns it on or off, whatever else it holds; such lines are in neither."""
+    """The classes of lines outside and inside of documentation. A line that starts with three quotes turns it on or off, whatever else it holds; such
+    lines are in neither."""
     parts = F.split(codes, "[DS]", -1)
     every = lambda odd: F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
     return every(0), every(1)

@@ -1,4 +1,5 @@
-"""Code smells: what is wrong within one file. Every detector takes the facts and the thresholds of its section; where the rule concerns one function or class only, it is a filter over that row, without an exchange."""
+"""Code smells: what is wrong within one file. Every detector takes the facts and the thresholds of its section; where the rule concerns one function
+or class only, it is a filter over that row, without an exchange."""
 
 from __future__ import annotations
 
@@ -59,7 +60,9 @@ def long_parameter_list(facts: DataFrame, t: Thresholds) -> DataFrame:
 
 
 def data_clumps(facts: DataFrame, t: Thresholds) -> DataFrame:
-    """Sets of parameters that more than one function has. Functions of a file meet on parameters that they share; every set that two of them have lies in what the two share, so only subsets of that are counted off, as bit masks, from the size at which they are reported on. A function may have any number of parameters; what is reported of two that share n is 2**n sets by the rule itself."""
+    """Sets of parameters that more than one function has. Functions of a file meet on parameters that they share; every set that two of them have
+    lies in what the two share, so only subsets of that are counted off, as bit masks, from the size at which they are reported on. A function may
+    have any number of parameters; what is reported of two that share n is 2**n sets by the rule itself."""
     least = max(t["DATA_CLUMPS_THRESHOLD"], t.get("DATA_CLUMP_MIN_COMBO_SIZE"))
     f = rows_of(facts, "functions").where((c("name") != "__init__") & ~_property(c("decorators"), ["name"]))
     f = f.select("path", "name", "ord", F.array_sort(F.array_distinct(F.filter("args", lambda a: a != "self"))).alias("params")).where(F.size("params") >= t["DATA_CLUMPS_THRESHOLD"])
@@ -101,7 +104,9 @@ def alternative_classes(facts: DataFrame, t: Thresholds) -> DataFrame:
     based = k.groupBy("path", "name").agg(F.bool_or(F.size("bases") > 0).alias("based"))
     k = k.where(~decorated(c("decorators"), ["dataclass", "abstractmethod"], _THREE) & ~_exception(c("bases"), "ABC"))
     k = k.withColumn("methods", F.array_sort(F.filter(F.transform("methods", lambda m: m["name"]), lambda m: ~m.startswith("_")))).where(F.size("methods") >= 2)
-    g = k.join(based, ["path", "name"]).groupBy("path", "methods").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("x"), F.bool_or("based").alias("based")).where((F.size("x") >= t["ALTERNATIVE_CLASSES_THRESHOLD"]) & ~c("based"))
+    g = k.join(based, ["path", "name"]).groupBy("path", "methods").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("x"), F.bool_or("based").alias("based")).where(
+        (F.size("x") >= t["ALTERNATIVE_CLASSES_THRESHOLD"]) & ~c("based"),
+    )
     g = g.withColumn("all", commas(F.transform("x", lambda x: x["name"])))
     return smells(g, KIND, "Alternative Classes with Different Interfaces", text("Classes ", c("all"), " share similar methods ", commas(c("methods")), " in ", c("path")), owner=c("all"), step=8, seq=F.get("x", F.lit(0))["ord"])
 
@@ -115,7 +120,8 @@ def divergent_change(facts: DataFrame, t: Thresholds) -> DataFrame:
 
 
 def parallel_inheritance(facts: DataFrame, t: Thresholds) -> DataFrame:
-    """Pairs of hierarchies (classes with one base) whose first classes have similar public methods. The heads' names agree by construction, so the name test always holds. One row a file names all pairs."""
+    """Pairs of hierarchies (classes with one base) whose first classes have similar public methods. The heads' names agree by construction, so the
+    name test always holds. One row a file names all pairs."""
     k = rows_of(facts, "code_classes").where(~_exception(c("bases")) & ~c("name").endswith("Mixin"))
     k = k.withColumn("public", F.array_distinct(F.filter(F.transform("methods", lambda m: m["name"]), lambda m: ~m.startswith("_"))))
     last = k.where(F.size("bases") > 0).groupBy("path", "name").agg(F.max_by("public", "ord").alias("head_methods"))
@@ -136,7 +142,17 @@ def shotgun_surgery(facts: DataFrame, t: Thresholds) -> DataFrame:
     k = rows_of(facts, "name_calls").where(~F.lower("name").isin(*t.get("SHOTGUN_SURGERY_EXCLUDE_NAMES")))
     g = k.groupBy("path", "name").agg(F.count("*").alias("n"), F.count_distinct(F.struct(c("context").isNull(), "context")).alias("contexts"), F.min_by("lineno", "ord").alias("line"), F.min("ord").alias("ord"))
     g = g.where((c("n") > t["SHOTGUN_SURGERY_CALLS"]) & (c("contexts") > t["SHOTGUN_SURGERY_CONTEXTS"]))
-    return smells(g, KIND, "Potential Shotgun Surgery", text("Method '", c("name"), "' called in ", c("contexts"), " different contexts across ", c("n"), " locations in ", c("path")), owner=c("name"), line=c("line"), severity="high", step=11, seq=c("ord"))
+    return smells(
+        g,
+        KIND,
+        "Potential Shotgun Surgery",
+        text("Method '", c("name"), "' called in ", c("contexts"), " different contexts across ", c("n"), " locations in ", c("path")),
+        owner=c("name"),
+        line=c("line"),
+        severity="high",
+        step=11,
+        seq=c("ord"),
+    )
 
 
 def comment_blocks(codes: Column) -> dict[str, Column]:
@@ -226,7 +242,14 @@ def feature_envy(facts: DataFrame, t: Thresholds) -> DataFrame:
 def inappropriate_intimacy(facts: DataFrame, t: Thresholds) -> DataFrame:
     """Pairs of a file's classes, neither based on the other, where one's methods are named like the other's fields: a join on the shared name, not on all pairs."""
     k = rows_of(facts, "code_classes").where(~_data(c("decorators")) & ~ends(c("name"), "Utils", "Helper", "Factory"))
-    k = k.select("path", "name", "ord", "bases", F.array_distinct(F.filter(F.transform("methods", lambda m: m["name"]), lambda m: ~m.startswith("__"))).alias("methods"), F.filter("instance_attrs", lambda a: ~a.startswith("_")).alias("fields"))
+    k = k.select(
+        "path",
+        "name",
+        "ord",
+        "bases",
+        F.array_distinct(F.filter(F.transform("methods", lambda m: m["name"]), lambda m: ~m.startswith("__"))).alias("methods"),
+        F.filter("instance_attrs", lambda a: ~a.startswith("_")).alias("fields"),
+    )
     last = Window.partitionBy("path", "name").orderBy(F.desc("ord"))
     all_bases = k.groupBy("path", "name").agg(F.flatten(F.collect_list("bases")).alias("bases"), F.min("ord").alias("at"))
     k = k.withColumn("r", F.row_number().over(last)).where("r = 1").drop("r", "bases", "ord").join(all_bases, ["path", "name"])
@@ -265,7 +288,9 @@ def middle_man(facts: DataFrame, t: Thresholds) -> DataFrame:
 
 
 def aborts(facts: DataFrame, t: Thresholds) -> DataFrame:
-    """Rows (file_path, step, seq): where a strict run of the detectors over a file breaks off. Class decorators that are no names break the accessor rule (and the rule for lazy classes); so does a required threshold that is missing, and a class that delegates to functions only breaks the last rule."""
+    """Rows (file_path, step, seq): where a strict run of the detectors over a file breaks off. Class decorators that are no names break the accessor
+    rule (and the rule for lazy classes); so does a required threshold that is missing, and a class that delegates to functions only breaks the last
+    rule."""
     k = rows_of(facts, "code_classes")
     at = F.array_position(F.transform("decorators", lambda d: d["form"] != "name"), True)
     ok = F.array_position(F.transform("decorators", lambda d: (d["form"] == "name") & (d["name"] == "dataclass")), True)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df with its lineage cut at a checkpoint in the shared folder that spark.checkpoint.dir names. Where none is set a temporary one does in local mode; on a cluster it is an error."""
+    """df with its lineage cut at a checkpoint in the shared folder that spark.checkpoint.dir names. Where none is set a temporary one does in local
+    mode; on a cluster it is an error."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -70,7 +71,8 @@ def inner_edges(edges: DataFrame) -> DataFrame:
 def path_counts(inner: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows (src, dst, n): how many simple paths lead from src to dst, for the edges wanted. inner: the edges on cycles, by component (see inner_edges).
 
-    A path from src to dst, closed by the way back, never leaves their strongly connected component; so each component is counted on its own, as a group. The number of paths may be exponential in the component's size: that is the measure's definition."""
+    A path from src to dst, closed by the way back, never leaves their strongly connected component; so each component is counted on its own, as a
+    group. The number of paths may be exponential in the component's size: that is the measure's definition."""
     asked = wanted.distinct().join(inner, ["src", "dst"]).select("part", "src", "dst", F.lit(True).alias("asked"))
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +99,8 @@ def _trimmed(e: DataFrame) -> DataFrame:
 
 
 def _colours(edges: DataFrame) -> DataFrame:
-    """Rows (id, ahead, behind): the least hash of a node that reaches a node, and the least of one that it reaches (itself included). Colours pass along the edges, and by way of the node that a colour names, so far ones take few rounds."""
+    """Rows (id, ahead, behind): the least hash of a node that reaches a node, and the least of one that it reaches (itself included). Colours pass
+    along the edges, and by way of the node that a colour names, so far ones take few rounds."""
     hashed = lambda x: F.xxhash64(x)
     links = edges.select(hashed("src").alias("u"), hashed("dst").alias("v"))
     nodes = links.select(F.col("u").alias("n")).unionByName(links.select(F.col("v").alias("n"))).distinct()
@@ -119,7 +122,8 @@ def _colours(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """Rows (id, part) of nodes on cycles; part is the least node of the strongly connected component.
 
-    Forward and backward colours: a node whose first ancestor by hash is also the first node that it reaches is in that node's component. Nodes of a component have both colours in common, so the others go on with the edges between nodes of the same colours, until there are none."""
+    Forward and backward colours: a node whose first ancestor by hash is also the first node that it reaches is in that node's component. Nodes of a
+    component have both colours in common, so the others go on with the edges between nodes of the same colours, until there are none."""
     e, found = _trimmed(edges.where("src <> dst").select("src", "dst").distinct()), None
     while not e.isEmpty():
         colour = _colours(e)
@@ -137,7 +141,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def depths(edges: DataFrame, root: str) -> DataFrame:
     """Rows (id, depth, path): the shortest way from root, the first in order among equals; nodes out of reach are left out.
 
-    Ways from an ancestor double in length each round (so a hierarchy of depth d takes log d rounds), until none is new or shorter; of the ways between two nodes one is kept."""
+    Ways from an ancestor double in length each round (so a hierarchy of depth d takes log d rounds), until none is new or shorter; of the ways
+    between two nodes one is kept."""
     e = edges.where("src <> dst").select("src", "dst").distinct()
     ways = settle(e.select("src", "dst", F.struct(F.lit(1).alias("depth"), F.array("src", "dst").alias("path")).alias("way")))
     before = None

@@ -61,7 +61,13 @@ def wmpc(s: Structure, t: Thresholds) -> DataFrame:
     one, two = t["WMPC1_THRESHOLD"], t["WMPC2_THRESHOLD"]
     k = s.classes().withColumn("own", F.filter("methods", lambda m: ~dunder(m["name"]) & m["branching"]))
     k = k.withColumn("n1", F.aggregate("own", F.lit(0), lambda a, m: a + m["complexity"])).withColumn("n2", F.aggregate("own", F.lit(0), lambda a, m: a + m["n_args"] - 1)).where((c("n1") > one) | (c("n2") > two))
-    return _smells(k, "High Weighted Methods per Class (WMPC)", text("Class '", c("name"), "' has complex methods (WMPC1: ", c("n1"), ", WMPC2: ", c("n2"), ")"), 2, F.when((c("n1") > one * 1.5) | (c("n2") > two * 1.5), "High").otherwise("Medium"))
+    return _smells(
+        k,
+        "High Weighted Methods per Class (WMPC)",
+        text("Class '", c("name"), "' has complex methods (WMPC1: ", c("n1"), ", WMPC2: ", c("n2"), ")"),
+        2,
+        F.when((c("n1") > one * 1.5) | (c("n2") > two * 1.5), "High").otherwise("Medium"),
+    )
 
 
 def size2(s: Structure, t: Thresholds) -> DataFrame:
@@ -80,7 +86,8 @@ def wac(s: Structure, t: Thresholds) -> DataFrame:
 
 
 def close_usage(usage: DataFrame, calls: DataFrame) -> DataFrame:
-    """usage (owner, method, field) with the fields of all methods that a method reaches by calls (owner, method, callee). Ways of calls double in length each round, until none is new."""
+    """usage (owner, method, field) with the fields of all methods that a method reaches by calls (owner, method, callee). Ways of calls double in
+    length each round, until none is new."""
     reached = calls.select("owner", "method", "callee").distinct()
     hop = reached.join(reached.select("owner", c("method").alias("callee")).distinct(), ["owner", "callee"], "left_semi")
     if not hop.isEmpty():  # some callee calls on
@@ -100,7 +107,11 @@ def lcom(s: Structure, t: Thresholds) -> DataFrame:
     k = s.classes().withColumn("own", _regular()).where(F.size("own") >= 2)
     m = k.select(c("name").alias("owner"), F.inline("own"))
     usage = m.select("owner", c("name").alias("method"), F.explode(F.array_distinct("self_attrs")).alias("field"))
-    calls = k.select(c("name").alias("owner"), _names("own").alias("own"), F.explode(_calls_by_name()).alias("x")).where(F.array_contains("own", c("x.attr")) & F.array_contains("own", c("x.method"))).select("owner", c("x.method").alias("method"), c("x.attr").alias("callee"))
+    calls = k.select(c("name").alias("owner"), _names("own").alias("own"), F.explode(_calls_by_name()).alias("x")).where(F.array_contains("own", c("x.attr")) & F.array_contains("own", c("x.method"))).select(
+        "owner",
+        c("x.method").alias("method"),
+        c("x.attr").alias("callee"),
+    )
     full = close_usage(usage, calls).groupBy("owner", "method").agg(F.collect_set("field").alias("fields"))
     m = m.select("owner", c("name").alias("method"), "ord").join(full, ["owner", "method"], "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
     g = m.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("ord", "method", "fields"))).alias("x"))  # the methods of one class
@@ -129,7 +140,8 @@ def nocc(s: Structure, t: Thresholds) -> DataFrame:
 
 
 def inheritance_depth(classes: DataFrame, t: Thresholds) -> DataFrame:
-    """classes (name, bases) to rows (id, depth, path): the shortest way from object to each class or base; depth is null out of its reach. Framework bases, mixins, interfaces and abstract bases are no edges."""
+    """classes (name, bases) to rows (id, depth, path): the shortest way from object to each class or base; depth is null out of its reach. Framework
+    bases, mixins, interfaces and abstract bases are no edges."""
     framework = t.get("FRAMEWORK_BASES")
     edges = classes.select(F.explode("bases").alias("src"), c("name").alias("dst"))
     last = F.substring_index("src", ".", -1)
@@ -186,14 +198,29 @@ def noc(s: Structure, t: Thresholds) -> DataFrame:
     n = n.crossJoin(size).withColumn("n", c("regular") + c("abstract") * 0.5 + c("utility") * 0.3)
     large, middle = c("loc") > t.get("NOC_LOC_BREAKPOINT_HIGH"), c("loc") > t.get("NOC_LOC_BREAKPOINT_MEDIUM")
     n = n.withColumn("most", F.when(large, base * high).when(middle, base * mid).otherwise(float(base))).withColumn("shown", F.when(large, str(base * high)).when(middle, str(base * mid)).otherwise(str(base))).where(c("n") > c("most"))
-    said = text("Project has ", py_format(c("n"), ".1f"), " weighted classes:\n- Regular classes: ", c("regular"), "\n- Abstract/Interface classes: ", c("abstract"), "\n- Utility classes: ", c("utility"), "\n- Test classes: ", c("test"), " (not counted in weighted total)\nAdjusted threshold: ", c("shown"))
+    said = text(
+        "Project has ",
+        py_format(c("n"), ".1f"),
+        " weighted classes:\n- Regular classes: ",
+        c("regular"),
+        "\n- Abstract/Interface classes: ",
+        c("abstract"),
+        "\n- Utility classes: ",
+        c("utility"),
+        "\n- Test classes: ",
+        c("test"),
+        " (not counted in weighted total)\nAdjusted threshold: ",
+        c("shown"),
+    )
     return smells(n, KIND, "High Number of Classes (NOC)", said, path="root", owner=F.lit("Project"), severity=_level(c("n"), c("most")), step=10)
 
 
 def mpc(s: Structure, t: Thresholds) -> DataFrame:
     used = F.filter(_calls_by_name(), lambda x: ~begins(x["attr"], "get_", "set_", "is_", "has_", "__"))
     k = s.classes().withColumn("own", _names("methods")).withColumn("used", used).withColumn("ext", F.transform(F.filter("used", lambda x: ~F.array_contains("own", x["attr"])), lambda x: x["attr"]))
-    k = k.withColumn("n_ext", F.size("ext")).withColumn("n_int", F.size(F.array_intersect(F.transform("used", lambda x: x["attr"]), "own"))).withColumn("n", c("n_ext") * F.lit(float(t.get("MPC_EXTERNAL_WEIGHT"))) + c("n_int")).where(c("n") > t["MPC_THRESHOLD"])
+    k = k.withColumn("n_ext", F.size("ext")).withColumn("n_int", F.size(F.array_intersect(F.transform("used", lambda x: x["attr"]), "own"))).withColumn("n", c("n_ext") * F.lit(float(t.get("MPC_EXTERNAL_WEIGHT"))) + c("n_int")).where(
+        c("n") > t["MPC_THRESHOLD"],
+    )
     counts = F.array_sort(F.transform(F.array_distinct("ext"), lambda a: F.struct((-F.size(F.filter("ext", lambda x: x == a))).alias("n"), a.alias("attr"))))
     top = F.array_join(F.transform(F.slice(counts, 1, 3), lambda x: F.concat(F.lit("'"), x["attr"], F.lit("': "), (-x["n"]).cast("string"))), ", ")
     said = text("Class '", c("name"), "' has weighted MPC of ", py_format(c("n"), ".1f"), "\n(External calls: ", c("n_ext"), ", Internal calls: ", c("n_int"), ")\nMost frequent external calls: {", top, "}")
@@ -202,7 +229,9 @@ def mpc(s: Structure, t: Thresholds) -> DataFrame:
 
 def _coupled(names: Column) -> Column:
     low = lambda x: F.lower(x)
-    return F.array_distinct(F.filter(names, lambda x: ~begins(x, "os", "sys", "datetime", "collections", "json", "logging", "re", "math") & ~holds(low(x), "test_", "mock_", "stub_", "fake_", "utils", "helper") & ~x.isin("object", "Exception", "dict", "list", "set")))
+    return F.array_distinct(
+        F.filter(names, lambda x: ~begins(x, "os", "sys", "datetime", "collections", "json", "logging", "re", "math") & ~holds(low(x), "test_", "mock_", "stub_", "fake_", "utils", "helper") & ~x.isin("object", "Exception", "dict", "list", "set")),
+    )
 
 
 def cbo(s: Structure, t: Thresholds) -> DataFrame:
@@ -216,7 +245,16 @@ def cbo(s: Structure, t: Thresholds) -> DataFrame:
 
 def cyclomatic_complexity(s: Structure, t: Thresholds) -> DataFrame:
     m = s.methods().where(~dunder(c("name")) & (c("complexity") > t.get("CYCLOMATIC_COMPLEXITY_THRESHOLD")))
-    return _smells(m, "High Cyclomatic Complexity", text("Method '", c("name"), "' has cyclomatic complexity of ", c("complexity")), 13, _level(c("complexity"), t.get("CYCLOMATIC_COMPLEXITY_THRESHOLD")), owner="class_name", line=c("lineno"), seq=c("class_ord") * 10_000 + c("ord"))
+    return _smells(
+        m,
+        "High Cyclomatic Complexity",
+        text("Method '", c("name"), "' has cyclomatic complexity of ", c("complexity")),
+        13,
+        _level(c("complexity"), t.get("CYCLOMATIC_COMPLEXITY_THRESHOLD")),
+        owner="class_name",
+        line=c("lineno"),
+        seq=c("class_ord") * 10_000 + c("ord"),
+    )
 
 
 def _graph(s: Structure, rows: DataFrame, name: str, said: Column, step: int, most: float) -> DataFrame:
@@ -244,7 +282,16 @@ def long_file(s: Structure, t: Thresholds) -> DataFrame:
 def too_many_branches(s: Structure, t: Thresholds) -> DataFrame:
     skip = F.exists("decorators", lambda d: d.isin(*t.get("BRANCH_EXCLUDE_DECORATORS"))) | begins(c("name"), *t.get("BRANCH_EXCLUDE_METHOD_PREFIXES"))
     m = s.methods().where(~skip & ((c("branches") > t.get("MAX_BRANCHES")) | (c("nesting") > t.get("MAX_NESTING_DEPTH"))))
-    return _smells(m, "Too Many Branches", text("Method '", c("name"), "' has ", c("branches"), " branches with max nesting of ", c("nesting")), 17, _level(c("branches"), t.get("MAX_BRANCHES")), owner="class_name", line=c("lineno"), seq=c("class_ord") * 10_000 + c("ord"))
+    return _smells(
+        m,
+        "Too Many Branches",
+        text("Method '", c("name"), "' has ", c("branches"), " branches with max nesting of ", c("nesting")),
+        17,
+        _level(c("branches"), t.get("MAX_BRANCHES")),
+        owner="class_name",
+        line=c("lineno"),
+        seq=c("class_ord") * 10_000 + c("ord"),
+    )
 
 
 DETECTORS = {

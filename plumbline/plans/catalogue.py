@@ -1,6 +1,7 @@
 """The registered queries of the smell detectors, and closed-form SQL for each.
 
-Python sources are rendered from the tables by templates whose sizes are key arithmetic; the engine parses and analyzes them; the SQL says from the keys alone what must be found. Graph detectors run on relations taken from the tables instead."""
+Python sources are rendered from the tables by templates whose sizes are key arithmetic; the engine parses and analyzes them; the SQL says from the
+keys alone what must be found. Graph detectors run on relations taken from the tables instead."""
 
 from __future__ import annotations
 
@@ -48,7 +49,8 @@ def _select(smells: DataFrame) -> DataFrame:
 
 
 def render_query(key: str, source: str, oracle: str, detector: str | None = None, config: dict | None = None, rows: str = "supplier", root: str = "/proj") -> None:
-    """Registers key: its detector over sources rendered from the keys of suppliers (or rows). oracle: SQL over s (k), with the columns of a smell. config: architectural thresholds other than the usual ones."""
+    """Registers key: its detector over sources rendered from the keys of suppliers (or rows). oracle: SQL over s (k), with the columns of a smell.
+    config: architectural thresholds other than the usual ones."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         sources = rendered(spark, sf_dir, source, rows=rows).withColumn("root", F.lit(root))
@@ -75,37 +77,151 @@ def lines(n: str, text: str) -> str:
 
 # --- code ----------------------------------------------------------------------------------------------
 
-render_query("c01_long_method", "'def f' || k || '():\\n' || " + lines("1 + k * 7 % 60", "'    x = ' || i || '\\n'") + " || 'class A:\\n    def g(self):\\n' || " + lines("60", "'        y = 1\\n'"), _smell("Long Method", f"'''f' || k || ''' has ' || (2 + k * 7 % 60) || ' lines in ' || {_PATH} || ' at line 1'", "2 + k * 7 % 60 > 45", "'f' || k", "cast(1 as bigint)"))
-render_query("c02_large_class", "'class A' || k || ':\\n' || " + lines("1 + k * 7 % 25", "'    def m' || i || '(self):\\n        x = 1\\n        return x\\n'") + " || '    def __len__(self):\\n        x = 1\\n        return x\\n    def t(self):\\n        return 1\\n'", _smell("Large Class", f"'''A' || k || ''' has ' || (1 + k * 7 % 25) || ' non-trivial methods in ' || {_PATH}", "1 + k * 7 % 25 > 15", "'A' || k", "cast(1 as bigint)"))
-render_query("c03_primitive_obsession", "'def f(' || array_join(transform(sequence(1, cast(1 + k % 9 as int)), i -> 'p' || i || ': int'), ', ') || case when k % 2 = 0 then ', q, r, s, t' else '' end || '):\\n    pass\\n'", _smell("Primitive Obsession", f"'''f'' has ' || (1 + k % 9) || ' primitive parameters in ' || {_PATH}", "1 + k % 9 > 4 and (1 + k % 9) / (1.0 + k % 9 + case when k % 2 = 0 then 4 else 0 end) > 0.7", "'f'", "cast(1 as bigint)"))
-render_query("c04_long_parameter_list", "'def f(self, ' || array_join(transform(sequence(1, cast(1 + k % 12 as int)), i -> 'p' || i), ', ') || case when k % 2 = 0 then ', **kw' else '' end || '):\\n    pass\\n'", _smell("Long Parameter List", f"'''f'' has ' || (1 + k % 12) || ' parameters in ' || {_PATH}", "1 + k % 12 > 5 + case when k % 2 = 0 then 2 else 0 end", "'f'", "cast(1 as bigint)"))
+render_query(
+    "c01_long_method",
+    "'def f' || k || '():\\n' || " + lines("1 + k * 7 % 60", "'    x = ' || i || '\\n'") + " || 'class A:\\n    def g(self):\\n' || " + lines("60", "'        y = 1\\n'"),
+    _smell("Long Method", f"'''f' || k || ''' has ' || (2 + k * 7 % 60) || ' lines in ' || {_PATH} || ' at line 1'", "2 + k * 7 % 60 > 45", "'f' || k", "cast(1 as bigint)"),
+)
+render_query(
+    "c02_large_class",
+    "'class A' || k || ':\\n' || "
+    + lines("1 + k * 7 % 25", "'    def m' || i || '(self):\\n        x = 1\\n        return x\\n'")
+    + " || '    def __len__(self):\\n        x = 1\\n        return x\\n    def t(self):\\n        return 1\\n'",
+    _smell("Large Class", f"'''A' || k || ''' has ' || (1 + k * 7 % 25) || ' non-trivial methods in ' || {_PATH}", "1 + k * 7 % 25 > 15", "'A' || k", "cast(1 as bigint)"),
+)
+render_query(
+    "c03_primitive_obsession",
+    "'def f(' || array_join(transform(sequence(1, cast(1 + k % 9 as int)), i -> 'p' || i || ': int'), ', ') || case when k % 2 = 0 then ', q, r, s, t' else '' end || '):\\n    pass\\n'",
+    _smell("Primitive Obsession", f"'''f'' has ' || (1 + k % 9) || ' primitive parameters in ' || {_PATH}", "1 + k % 9 > 4 and (1 + k % 9) / (1.0 + k % 9 + case when k % 2 = 0 then 4 else 0 end) > 0.7", "'f'", "cast(1 as bigint)"),
+)
+render_query(
+    "c04_long_parameter_list",
+    "'def f(self, ' || array_join(transform(sequence(1, cast(1 + k % 12 as int)), i -> 'p' || i), ', ') || case when k % 2 = 0 then ', **kw' else '' end || '):\\n    pass\\n'",
+    _smell("Long Parameter List", f"'''f'' has ' || (1 + k % 12) || ' parameters in ' || {_PATH}", "1 + k % 12 > 5 + case when k % 2 = 0 then 2 else 0 end", "'f'", "cast(1 as bigint)"),
+)
 _CLUMP = ", ".join(f"p{i}" for i in range(1, 7))
-render_query("c05_data_clumps", f"'def f({_CLUMP}):\\n    pass\\ndef g({_CLUMP}' || case when k % 3 = 0 then ', z' else '' end || '):\\n    pass\\n' || case when k % 2 = 0 then 'def h({_CLUMP}):\\n    pass\\n' else 'def h(p1, p2):\\n    pass\\n' end", _smell("Data Clumps", f"'Parameters {_CLUMP} appear together in functions: f, g' || case when k % 2 = 0 then ', h' else '' end || ' in ' || {_PATH}", "true", "'f, g' || case when k % 2 = 0 then ', h' else '' end"))
-render_query("c06_switch_statements", "'def f(x):\\n    if x:\\n        a = 1\\n        b = 2\\n        c = 3\\n    else:\\n' || " + lines("1 + k % 6", "'        if y' || i || ':\\n            d = 1\\n'"), _smell("Switch Statements", f"'Complex conditional with ' || (2 + k % 6) || ' branches at line 2 in ' || {_PATH}", "2 + k % 6 > 3", "cast(null as varchar)", "cast(2 as bigint)"))
-render_query("c07_temporary_field", "'class A:\\n    def __init__(self' || array_join(transform(sequence(1, cast(1 + k % 5 as int)), i -> ', p' || i), '') || '):\\n        pass\\n    def g(self):\\n        return self.p1\\n'", _smell("Temporary Field", f"'Potentially unused fields ' || (select string_agg('p' || i, ', ' order by i) from range(2, 2 + k % 5) r(i)) || ', self in class ''A'' at line 1 in ' || {_PATH}", "1 + k % 5 >= 3", "'A'", "cast(1 as bigint)", "'low'"))
-render_query("c08_alternative_classes", lines("1 + k % 6", "'class A' || i || case when k % 5 = 4 and i = 1 then '(Base)' else '' end || ':\\n    def run(self):\\n        pass\\n    def stop(self):\\n        pass\\n    def _p' || i || '(self):\\n        pass\\n'"), _smell("Alternative Classes with Different Interfaces", f"'Classes ' || (select string_agg('A' || i, ', ' order by i) from range(1, 2 + k % 6) r(i)) || ' share similar methods run, stop in ' || {_PATH}", "1 + k % 6 >= 3 and k % 5 <> 4", "(select string_agg('A' || i, ', ' order by i) from range(1, 2 + k % 6) r(i))"))
-render_query("c09_divergent_change", "'class A:\\n' || " + lines("1 + k % 9", "'    def w' || i || '_x(self):\\n        pass\\n'") + " || '    def get_x(self):\\n        pass\\n    def _y(self):\\n        pass\\n'", _smell("Potential Divergent Change", f"'Class ''A'' has ' || (1 + k % 9) || ' different method prefixes: ' || (select string_agg('w' || i, ', ' order by i) from range(1, 2 + k % 9) r(i)) || ' in ' || {_PATH}", "1 + k % 9 > 5", "'A'", "cast(1 as bigint)"))
-render_query("c10_parallel_inheritance", "'class A1(P):\\n    def run(self):\\n        pass\\n' || case when k % 2 = 0 then '    def stop(self):\\n        pass\\n' else '' end || 'class A2(P):\\n    pass\\nclass B1(Q):\\n    def run(self):\\n        pass\\n' || " + lines("k % 4", "'    def z' || i || '(self):\\n        pass\\n'") + " || 'class B2(Q):\\n    pass\\n'", _smell("Parallel Inheritance Hierarchies", f"'Parallel hierarchies detected: A1 -> A2 and B1 -> B2 in ' || {_PATH}", "1.0 / (1 + case when k % 2 = 0 then 1 else 0 end + k % 4) > 0.3", "cast(null as varchar)", severity="'high'"))
-render_query("c11_shotgun_surgery", lines("1 + k % 10", "'def f' || i || '():\\n    common()\\n    print(1)\\n'"), _smell("Potential Shotgun Surgery", f"'Method ''common'' called in ' || (1 + k % 10) || ' different contexts across ' || (1 + k % 10) || ' locations in ' || {_PATH}", "1 + k % 10 > 5", "'common'", "cast(2 as bigint)", "'high'"))
-render_query("c12_excessive_comments", "'x = 1\\n' || " + lines("1 + k % 9", "repeat('# c\\n', cast(4 + k % 4 as int)) || 'y = ' || i || '\\n'"), _smell("Excessive Comments", f"'File has ' || printf('%.1f', 100.0 * ((1 + k % 9) * (4 + k % 4)) / (2 + k % 9)) || '% comment ratio with ' || (1 + k % 9) || ' large comment blocks in ' || {_PATH}", "1 + k % 9 > 5 and 4 + k % 4 > 5", "cast(null as varchar)", severity="'low'"))
+render_query(
+    "c05_data_clumps",
+    f"'def f({_CLUMP}):\\n    pass\\ndef g({_CLUMP}' || case when k % 3 = 0 then ', z' else '' end || '):\\n    pass\\n' || case when k % 2 = 0 then 'def h({_CLUMP}):\\n    pass\\n' else 'def h(p1, p2):\\n    pass\\n' end",
+    _smell("Data Clumps", f"'Parameters {_CLUMP} appear together in functions: f, g' || case when k % 2 = 0 then ', h' else '' end || ' in ' || {_PATH}", "true", "'f, g' || case when k % 2 = 0 then ', h' else '' end"),
+)
+render_query(
+    "c06_switch_statements",
+    "'def f(x):\\n    if x:\\n        a = 1\\n        b = 2\\n        c = 3\\n    else:\\n' || " + lines("1 + k % 6", "'        if y' || i || ':\\n            d = 1\\n'"),
+    _smell("Switch Statements", f"'Complex conditional with ' || (2 + k % 6) || ' branches at line 2 in ' || {_PATH}", "2 + k % 6 > 3", "cast(null as varchar)", "cast(2 as bigint)"),
+)
+render_query(
+    "c07_temporary_field",
+    "'class A:\\n    def __init__(self' || array_join(transform(sequence(1, cast(1 + k % 5 as int)), i -> ', p' || i), '') || '):\\n        pass\\n    def g(self):\\n        return self.p1\\n'",
+    _smell("Temporary Field", f"'Potentially unused fields ' || (select string_agg('p' || i, ', ' order by i) from range(2, 2 + k % 5) r(i)) || ', self in class ''A'' at line 1 in ' || {_PATH}", "1 + k % 5 >= 3", "'A'", "cast(1 as bigint)", "'low'"),
+)
+render_query(
+    "c08_alternative_classes",
+    lines("1 + k % 6", "'class A' || i || case when k % 5 = 4 and i = 1 then '(Base)' else '' end || ':\\n    def run(self):\\n        pass\\n    def stop(self):\\n        pass\\n    def _p' || i || '(self):\\n        pass\\n'"),
+    _smell("Alternative Classes with Different Interfaces", f"'Classes ' || (select string_agg('A' || i, ', ' order by i) from range(1, 2 + k % 6) r(i)) || ' share similar methods run, stop in ' || {_PATH}", "1 + k % 6 >= 3 and k % 5 <> 4", "(select string_agg('A' || i, ', ' order by i) from range(1, 2 + k % 6) r(i))"),
+)
+render_query(
+    "c09_divergent_change",
+    "'class A:\\n' || " + lines("1 + k % 9", "'    def w' || i || '_x(self):\\n        pass\\n'") + " || '    def get_x(self):\\n        pass\\n    def _y(self):\\n        pass\\n'",
+    _smell("Potential Divergent Change", f"'Class ''A'' has ' || (1 + k % 9) || ' different method prefixes: ' || (select string_agg('w' || i, ', ' order by i) from range(1, 2 + k % 9) r(i)) || ' in ' || {_PATH}", "1 + k % 9 > 5", "'A'", "cast(1 as bigint)"),
+)
+render_query(
+    "c10_parallel_inheritance",
+    "'class A1(P):\\n    def run(self):\\n        pass\\n' || case when k % 2 = 0 then '    def stop(self):\\n        pass\\n' else '' end || 'class A2(P):\\n    pass\\nclass B1(Q):\\n    def run(self):\\n        pass\\n' || "
+    + lines("k % 4", "'    def z' || i || '(self):\\n        pass\\n'")
+    + " || 'class B2(Q):\\n    pass\\n'",
+    _smell("Parallel Inheritance Hierarchies", f"'Parallel hierarchies detected: A1 -> A2 and B1 -> B2 in ' || {_PATH}", "1.0 / (1 + case when k % 2 = 0 then 1 else 0 end + k % 4) > 0.3", "cast(null as varchar)", severity="'high'"),
+)
+render_query(
+    "c11_shotgun_surgery",
+    lines("1 + k % 10", "'def f' || i || '():\\n    common()\\n    print(1)\\n'"),
+    _smell("Potential Shotgun Surgery", f"'Method ''common'' called in ' || (1 + k % 10) || ' different contexts across ' || (1 + k % 10) || ' locations in ' || {_PATH}", "1 + k % 10 > 5", "'common'", "cast(2 as bigint)", "'high'"),
+)
+render_query(
+    "c12_excessive_comments",
+    "'x = 1\\n' || " + lines("1 + k % 9", "repeat('# c\\n', cast(4 + k % 4 as int)) || 'y = ' || i || '\\n'"),
+    _smell("Excessive Comments", f"'File has ' || printf('%.1f', 100.0 * ((1 + k % 9) * (4 + k % 4)) / (2 + k % 9)) || '% comment ratio with ' || (1 + k % 9) || ' large comment blocks in ' || {_PATH}", "1 + k % 9 > 5 and 4 + k % 4 > 5", "cast(null as varchar)", severity="'low'"),
+)
 _BODY = "'    a = 1\\n    b = a + 2\\n    c = b * a\\n    d = c - 1\\n    return d\\n'"
-render_query("c13_duplicate_code", lines("1 + k * 7 % 20", f"'def f' || i || '(x):\\n' || {_BODY}") + f" || 'def other(x):\\n    if x:\\n        return 2\\n' || {_BODY}", _smell("Duplicate Code", f"'Similar code found in functions: ' || (select string_agg('f' || i, ', ' order by i) from range(1, 2 + k * 7 % 20) r(i)) || ' (' || (5 * (1 + k * 7 % 20)) || ' total lines) in ' || {_PATH}", "1 + k * 7 % 20 >= 15", "(select string_agg('f' || i, ', ' order by i) from range(1, 2 + k * 7 % 20) r(i))", severity="'high'"))
-render_query("c14_data_class", "'class A' || case when k % 4 = 3 then 'DTO' else '' end || ':\\n' || " + lines("1 + k % 4", "'    def get_' || i || '(self):\\n        return 1\\n'") + " || " + lines("k % 3", "'    def set_' || i || '(self, v):\\n        self.v = v\\n'") + " || case when k % 7 = 0 then '    def run(self):\\n        pass\\n' else '' end", _smell("Data Class", f"'Class ''A'' has ' || (1 + k % 4) || ' getters and ' || (k % 3) || ' setters with no other methods in ' || {_PATH}", "1 + k % 4 + k % 3 >= 4 and k % 7 <> 0 and k % 4 <> 3", "'A'", "cast(1 as bigint)"))
-render_query("c15_dead_code", lines("1 + k % 6", "'def _f' || i || '():\\n    pass\\n'") + " || 'def g():\\n    _f1()\\n'", f"select 'Dead Code' as name, 'Potentially unused function ''_f' || i || ''' in ' || {_PATH} as description, {_PATH} as file_path, '_f' || i as module_class, cast(null as bigint) as line_number, 'low' as severity from s, range(2, 8) r(i) where i <= 1 + k % 6 and k % 6 >= 3")
-render_query("c16_lazy_class", "'class A:\\n' || " + lines("1 + k % 7", "'    def m' || i || '(self):\\n' || repeat('        x = 1\\n', cast(2 + k % 20 as int))"), _smell("Lazy Class", f"'Class ''A'' has only ' || (1 + k % 7) || ' non-trivial methods with ' || ((1 + k % 7) * (2 + k % 20)) || ' total lines in ' || {_PATH}", "1 + k % 7 <= 4 and (1 + k % 7) * (2 + k % 20) <= 50", "'A'", "cast(1 as bigint)", "'low'"))
-render_query("c17_speculative_generality", "'class A:\\n' || " + lines("1 + k % 8", "'    def m' || i || '(self):\\n        pass\\n'"), _smell("Speculative Generality", f"'Class ''A'' has ' || (1 + k % 8) || ' empty methods: ' || (select string_agg('m' || i, ', ' order by i) from range(1, 2 + k % 8) r(i)) || ' in ' || {_PATH}", "1 + k % 8 >= 4", "'A'", "cast(1 as bigint)"))
-render_query("c18_feature_envy", "'def f(self, o, p):\\n    x = 1\\n' || " + lines("1 + k % 8", "'    o.a' || i || '()\\n'") + " || " + lines("k % 3", "'    self.b' || i || '()\\n'") + " || '    p.z()\\n    logger.info(1)\\n'", _smell("Feature Envy", f"'Method ''f'' makes ' || (1 + k % 8) || ' calls to ''o'' but only ' || (k % 3) || ' local calls in ' || {_PATH}", "1 + k % 8 > 3 and 1 + k % 8 > 2.0 * (k % 3)", "'f'", "cast(1 as bigint)"))
-render_query("c19_inappropriate_intimacy", "'class A:\\n' || " + lines("1 + k % 8", "'    def x' || i || '(self):\\n        pass\\n'") + " || 'class B' || case when k % 5 = 0 then '(A)' else '' end || ':\\n    def __init__(self):\\n        self.q = 1\\n' || " + lines("1 + k % 6", "'        self.x' || i || ' = 1\\n'"), _smell("Inappropriate Intimacy", f"'Class ''A'' might be too intimate with ''B'' (' || least(1 + k % 8, 1 + k % 6) || ' shared members, ' || printf('%.1f', 100.0 * least(1 + k % 8, 1 + k % 6) / (1 + k % 8)) || '% of methods) in ' || {_PATH}", "least(1 + k % 8, 1 + k % 6) > 3 and k % 5 <> 0", "'A'"))
-render_query("c20_message_chains", "'def f(o):\\n    return o' || " + lines("1 + k % 7", "'.a' || i") + " || '\\n'", f"select 'Message Chains' as name, 'Long chain (' || n || ' calls: ' || (select string_agg('a' || i, ' -> ' order by i) from range(1, n + 1) r(i)) || ') in f at line 2 in ' || {_PATH} as description, {_PATH} as file_path, 'f' as module_class, cast(2 as bigint) as line_number, 'medium' as severity from s, range(4, 8) q(n) where n <= 1 + k % 7")
-render_query("c21_middle_man", "'class A:\\n    x = 1\\n    y = 2\\n' || " + lines("1 + k % 5", "'    def m' || i || '(self):\\n        return self.o.run()\\n'") + " || " + lines("1 + k % 4", "'    def n' || i || '(self):\\n        z = 1\\n        return z\\n'"), _smell("Middle Man", f"'Class ''A'' delegates ' || (1 + k % 5) || '/' || (2 + k % 5 + k % 4) || ' methods (' || printf('%.1f', 100.0 * (1 + k % 5) / (2 + k % 5 + k % 4)) || '%), mainly to self.o in ' || {_PATH}", "(1 + k % 5) / (2.0 + k % 5 + k % 4) > 0.5", "'A'", "cast(1 as bigint)"))
+render_query(
+    "c13_duplicate_code",
+    lines("1 + k * 7 % 20", f"'def f' || i || '(x):\\n' || {_BODY}") + f" || 'def other(x):\\n    if x:\\n        return 2\\n' || {_BODY}",
+    _smell("Duplicate Code", f"'Similar code found in functions: ' || (select string_agg('f' || i, ', ' order by i) from range(1, 2 + k * 7 % 20) r(i)) || ' (' || (5 * (1 + k * 7 % 20)) || ' total lines) in ' || {_PATH}", "1 + k * 7 % 20 >= 15", "(select string_agg('f' || i, ', ' order by i) from range(1, 2 + k * 7 % 20) r(i))", severity="'high'"),
+)
+render_query(
+    "c14_data_class",
+    "'class A' || case when k % 4 = 3 then 'DTO' else '' end || ':\\n' || "
+    + lines("1 + k % 4", "'    def get_' || i || '(self):\\n        return 1\\n'")
+    + " || "
+    + lines("k % 3", "'    def set_' || i || '(self, v):\\n        self.v = v\\n'")
+    + " || case when k % 7 = 0 then '    def run(self):\\n        pass\\n' else '' end",
+    _smell("Data Class", f"'Class ''A'' has ' || (1 + k % 4) || ' getters and ' || (k % 3) || ' setters with no other methods in ' || {_PATH}", "1 + k % 4 + k % 3 >= 4 and k % 7 <> 0 and k % 4 <> 3", "'A'", "cast(1 as bigint)"),
+)
+render_query(
+    "c15_dead_code",
+    lines("1 + k % 6", "'def _f' || i || '():\\n    pass\\n'") + " || 'def g():\\n    _f1()\\n'",
+    f"select 'Dead Code' as name, 'Potentially unused function ''_f' || i || ''' in ' || {_PATH} as description, {_PATH} as file_path, '_f' || i as module_class, cast(null as bigint) as line_number, 'low' as severity from s, range(2, 8) r(i) where i <= 1 + k % 6 and k % 6 >= 3",
+)
+render_query(
+    "c16_lazy_class",
+    "'class A:\\n' || " + lines("1 + k % 7", "'    def m' || i || '(self):\\n' || repeat('        x = 1\\n', cast(2 + k % 20 as int))"),
+    _smell("Lazy Class", f"'Class ''A'' has only ' || (1 + k % 7) || ' non-trivial methods with ' || ((1 + k % 7) * (2 + k % 20)) || ' total lines in ' || {_PATH}", "1 + k % 7 <= 4 and (1 + k % 7) * (2 + k % 20) <= 50", "'A'", "cast(1 as bigint)", "'low'"),
+)
+render_query(
+    "c17_speculative_generality",
+    "'class A:\\n' || " + lines("1 + k % 8", "'    def m' || i || '(self):\\n        pass\\n'"),
+    _smell("Speculative Generality", f"'Class ''A'' has ' || (1 + k % 8) || ' empty methods: ' || (select string_agg('m' || i, ', ' order by i) from range(1, 2 + k % 8) r(i)) || ' in ' || {_PATH}", "1 + k % 8 >= 4", "'A'", "cast(1 as bigint)"),
+)
+render_query(
+    "c18_feature_envy",
+    "'def f(self, o, p):\\n    x = 1\\n' || " + lines("1 + k % 8", "'    o.a' || i || '()\\n'") + " || " + lines("k % 3", "'    self.b' || i || '()\\n'") + " || '    p.z()\\n    logger.info(1)\\n'",
+    _smell("Feature Envy", f"'Method ''f'' makes ' || (1 + k % 8) || ' calls to ''o'' but only ' || (k % 3) || ' local calls in ' || {_PATH}", "1 + k % 8 > 3 and 1 + k % 8 > 2.0 * (k % 3)", "'f'", "cast(1 as bigint)"),
+)
+render_query(
+    "c19_inappropriate_intimacy",
+    "'class A:\\n' || "
+    + lines("1 + k % 8", "'    def x' || i || '(self):\\n        pass\\n'")
+    + " || 'class B' || case when k % 5 = 0 then '(A)' else '' end || ':\\n    def __init__(self):\\n        self.q = 1\\n' || "
+    + lines("1 + k % 6", "'        self.x' || i || ' = 1\\n'"),
+    _smell("Inappropriate Intimacy", f"'Class ''A'' might be too intimate with ''B'' (' || least(1 + k % 8, 1 + k % 6) || ' shared members, ' || printf('%.1f', 100.0 * least(1 + k % 8, 1 + k % 6) / (1 + k % 8)) || '% of methods) in ' || {_PATH}", "least(1 + k % 8, 1 + k % 6) > 3 and k % 5 <> 0", "'A'"),
+)
+render_query(
+    "c20_message_chains",
+    "'def f(o):\\n    return o' || " + lines("1 + k % 7", "'.a' || i") + " || '\\n'",
+    f"select 'Message Chains' as name, 'Long chain (' || n || ' calls: ' || (select string_agg('a' || i, ' -> ' order by i) from range(1, n + 1) r(i)) || ') in f at line 2 in ' || {_PATH} as description, {_PATH} as file_path, 'f' as module_class, cast(2 as bigint) as line_number, 'medium' as severity from s, range(4, 8) q(n) where n <= 1 + k % 7",
+)
+render_query(
+    "c21_middle_man",
+    "'class A:\\n    x = 1\\n    y = 2\\n' || "
+    + lines("1 + k % 5", "'    def m' || i || '(self):\\n        return self.o.run()\\n'")
+    + " || "
+    + lines("1 + k % 4", "'    def n' || i || '(self):\\n        z = 1\\n        return z\\n'"),
+    _smell("Middle Man", f"'Class ''A'' delegates ' || (1 + k % 5) || '/' || (2 + k % 5 + k % 4) || ' methods (' || printf('%.1f', 100.0 * (1 + k % 5) / (2 + k % 5 + k % 4)) || '%), mainly to self.o in ' || {_PATH}", "(1 + k % 5) / (2.0 + k % 5 + k % 4) > 0.5", "'A'", "cast(1 as bigint)"),
+)
 
 # --- architectural ---------------------------------------------------------------------------------------
 
-render_query("a04_god_object", lines("1 + k * 7 % 40", "'def fn' || i || '():\\n    pass\\n'") + " || 'def _p():\\n    pass\\ndef test_x():\\n    pass\\n'", _smell("God Object", "'Module ''pkg.m' || k || ''' has too many public functions (' || (1 + k * 7 % 40) || ')'", "1 + k * 7 % 40 > 20", "'pkg.m' || k"))
-render_query("a05_improper_api_usage", "'def f(api):\\n' || " + lines("1 + k % 15", "'    api.send()\\n'") + " || " + lines("k % 11", "'    api.u' || i || '()\\n'"), _smell("Potential Improper API Usage", "'Module ''pkg.m' || k || ''' has repetitive API calls: send(' || (1 + k % 15) || 'x)'", "1 + k % 15 + k % 11 >= 10 and 1 + k % 15 >= 3 and (1 + k % 15) / (1.0 + k % 15 + k % 11) > 0.4", "'pkg.m' || k"))
+render_query(
+    "a04_god_object",
+    lines("1 + k * 7 % 40", "'def fn' || i || '():\\n    pass\\n'") + " || 'def _p():\\n    pass\\ndef test_x():\\n    pass\\n'",
+    _smell("God Object", "'Module ''pkg.m' || k || ''' has too many public functions (' || (1 + k * 7 % 40) || ')'", "1 + k * 7 % 40 > 20", "'pkg.m' || k"),
+)
+render_query(
+    "a05_improper_api_usage",
+    "'def f(api):\\n' || " + lines("1 + k % 15", "'    api.send()\\n'") + " || " + lines("k % 11", "'    api.u' || i || '()\\n'"),
+    _smell("Potential Improper API Usage", "'Module ''pkg.m' || k || ''' has repetitive API calls: send(' || (1 + k % 15) || 'x)'", "1 + k % 15 + k % 11 >= 10 and 1 + k % 15 >= 3 and (1 + k % 15) / (1.0 + k % 15 + k % 11) > 0.4", "'pkg.m' || k"),
+)
 _IN_ONE_OF = "'/proj/pkg/m' || first || '.py'"
-render_query("a02_scattered_functionality", "'def shared' || (k % 3) || '():\\n    pass\\ndef own' || k || '():\\n    pass\\n'", "select 'Scattered Functionality' as name, 'Function ''shared' || g || ''' appears in ' || n || ' modules: ' || mods as description, '/proj/' || replace(split_part(mods, ', ', 1), '.', '/') || '.py' as file_path, split_part(mods, ', ', 1) as module_class, cast(null as bigint) as line_number, 'medium' as severity from (select k % 3 as g, count(*) as n, string_agg('pkg.m' || k, ', ' order by 'pkg.m' || k) as mods from s group by 1) where n >= 3")
-render_query("a03_redundant_abstractions", lines("5", "'def work' || i || '_' || cast(floor(k / 4) as bigint) || '():\\n    pass\\n'") + " || case when k % 2 = 0 then 'def _private():\\n    pass\\n' else '' end", "select 'Potential Redundant Abstractions' as name, 'Modules pkg.m' || a || ' and pkg.m' || b || ' have ' || case when (a + b) % 2 = 1 then '83.3' else '100.0' end || '% similar functionalities' as description, '/proj/pkg/m' || a || '.py' as file_path, 'pkg.m' || a as module_class, cast(null as bigint) as line_number, 'medium' as severity from (select x.k as a, y.k as b from s x join s y on x.k // 4 = y.k // 4 and ('pkg.m' || x.k) < ('pkg.m' || y.k))")
+render_query(
+    "a02_scattered_functionality",
+    "'def shared' || (k % 3) || '():\\n    pass\\ndef own' || k || '():\\n    pass\\n'",
+    "select 'Scattered Functionality' as name, 'Function ''shared' || g || ''' appears in ' || n || ' modules: ' || mods as description, '/proj/' || replace(split_part(mods, ', ', 1), '.', '/') || '.py' as file_path, split_part(mods, ', ', 1) as module_class, cast(null as bigint) as line_number, 'medium' as severity from (select k % 3 as g, count(*) as n, string_agg('pkg.m' || k, ', ' order by 'pkg.m' || k) as mods from s group by 1) where n >= 3",
+)
+render_query(
+    "a03_redundant_abstractions",
+    lines("5", "'def work' || i || '_' || cast(floor(k / 4) as bigint) || '():\\n    pass\\n'") + " || case when k % 2 = 0 then 'def _private():\\n    pass\\n' else '' end",
+    "select 'Potential Redundant Abstractions' as name, 'Modules pkg.m' || a || ' and pkg.m' || b || ' have ' || case when (a + b) % 2 = 1 then '83.3' else '100.0' end || '% similar functionalities' as description, '/proj/pkg/m' || a || '.py' as file_path, 'pkg.m' || a as module_class, cast(null as bigint) as line_number, 'medium' as severity from (select x.k as a, y.k as b from s x join s y on x.k // 4 = y.k // 4 and ('pkg.m' || x.k) < ('pkg.m' || y.k))",
+)
 
 #: Modules of eight import in a ring, backward here and there, and some libraries; every second eight imports nothing. All imports are extracted from sources.
 _RING = "case when k % 8 < 7 then k + 1 else k - 7 end"
@@ -192,20 +308,78 @@ def class_query(key: str, name: str, source: str, said: str, where: str, severit
     render_query(key, source, _smell(name, said, where, owner, line, severity))
 
 
-class_query("s01_nom", "High Number of Methods (NOM)", "'class A:\\n' || " + lines("1 + k * 7 % 25", "'    def m' || i || '(self):\\n        pass\\n'") + " || '    def __len__(self):\\n        pass\\n    @property\\n    def p(self):\\n        pass\\n'", _SAID + "has ' || (1 + k * 7 % 25) || ' methods (excluding special methods and properties)'", "1 + k * 7 % 25 > 10", _LEVEL("1 + k * 7 % 25", 10))
-class_query("s02_wmpc", "High Weighted Methods per Class (WMPC)", "'class A:\\n    def m(self' || array_join(transform(sequence(1, cast(1 + k % 35 as int)), i -> ', p' || i), '') || '):\\n' || " + lines("1 + k % 30", "'        if a and b:\\n            x = ' || i || '\\n'") + " || '    def n(self, q):\\n        return 1\\n'", _SAID + "has complex methods (WMPC1: ' || (1 + 2 * (1 + k % 30)) || ', WMPC2: ' || (1 + k % 35) || ')'", "1 + 2 * (1 + k % 30) > 20 or 1 + k % 35 > 20", "case when 1 + 2 * (1 + k % 30) > 30 or 1 + k % 35 > 30 then 'High' else 'Medium' end")
-class_query("s03_size2", "Large Class (SIZE2)", "'class A:\\n' || " + lines("k % 12", "'    f' || i || ' = 1\\n'") + " || '    _g = 1\\n    _h = 1\\n' || " + lines("1 + k % 17", "'    def m' || i || '(self):\\n        self._g = self._q()\\n'") + " || '    def _q(self):\\n        pass\\n    def _r(self):\\n        pass\\n'", _SAID + "has ' || (2 + k % 17 + k % 12 + 1) || ' significant members (methods: ' || (2 + k % 17) || ', fields: ' || (k % 12 + 1) || ')'", "3 + k % 17 + k % 12 > 15", _LEVEL("3 + k % 17 + k % 12", 15))
-class_query("s04_wac", "High Weight of a Class (WAC)", "'class A:\\n    CONST = 1\\n    ФОРМА = 1\\n    名 = 1\\n    Фа = 1\\n    _one = 1\\n    _two = 1\\n' || " + lines("1 + k % 20", "'    f' || i || ' = 1\\n'") + " || '    def m(self):\\n        self._two = self._two + self._one\\n'", _SAID + "has ' || (4 + k % 20) || ' significant attributes (excluding constants and unused private fields)'", "4 + k % 20 > 10", _LEVEL("4 + k % 20", 10))
+class_query(
+    "s01_nom",
+    "High Number of Methods (NOM)",
+    "'class A:\\n' || " + lines("1 + k * 7 % 25", "'    def m' || i || '(self):\\n        pass\\n'") + " || '    def __len__(self):\\n        pass\\n    @property\\n    def p(self):\\n        pass\\n'",
+    _SAID + "has ' || (1 + k * 7 % 25) || ' methods (excluding special methods and properties)'",
+    "1 + k * 7 % 25 > 10",
+    _LEVEL("1 + k * 7 % 25", 10),
+)
+class_query(
+    "s02_wmpc",
+    "High Weighted Methods per Class (WMPC)",
+    "'class A:\\n    def m(self' || array_join(transform(sequence(1, cast(1 + k % 35 as int)), i -> ', p' || i), '') || '):\\n' || "
+    + lines("1 + k % 30", "'        if a and b:\\n            x = ' || i || '\\n'")
+    + " || '    def n(self, q):\\n        return 1\\n'",
+    _SAID + "has complex methods (WMPC1: ' || (1 + 2 * (1 + k % 30)) || ', WMPC2: ' || (1 + k % 35) || ')'",
+    "1 + 2 * (1 + k % 30) > 20 or 1 + k % 35 > 20",
+    "case when 1 + 2 * (1 + k % 30) > 30 or 1 + k % 35 > 30 then 'High' else 'Medium' end",
+)
+class_query(
+    "s03_size2",
+    "Large Class (SIZE2)",
+    "'class A:\\n' || "
+    + lines("k % 12", "'    f' || i || ' = 1\\n'")
+    + " || '    _g = 1\\n    _h = 1\\n' || "
+    + lines("1 + k % 17", "'    def m' || i || '(self):\\n        self._g = self._q()\\n'")
+    + " || '    def _q(self):\\n        pass\\n    def _r(self):\\n        pass\\n'",
+    _SAID + "has ' || (2 + k % 17 + k % 12 + 1) || ' significant members (methods: ' || (2 + k % 17) || ', fields: ' || (k % 12 + 1) || ')'",
+    "3 + k % 17 + k % 12 > 15",
+    _LEVEL("3 + k % 17 + k % 12", 15),
+)
+class_query(
+    "s04_wac",
+    "High Weight of a Class (WAC)",
+    "'class A:\\n    CONST = 1\\n    ФОРМА = 1\\n    名 = 1\\n    Фа = 1\\n    _one = 1\\n    _two = 1\\n' || "
+    + lines("1 + k % 20", "'    f' || i || ' = 1\\n'")
+    + " || '    def m(self):\\n        self._two = self._two + self._one\\n'",
+    _SAID + "has ' || (4 + k % 20) || ' significant attributes (excluding constants and unused private fields)'",
+    "4 + k % 20 > 10",
+    _LEVEL("4 + k % 20", 10),
+)
 _APART = "((2 + k % 8) * (1 + k % 8) / 2)"
-render_query("s05_lcom", "'class A:\\n' || " + lines("2 + k % 8", "'    def m' || i || '(self):\\n        return self.f' || i || '\\n'") + " || " + lines("k % 3", "'    def h' || i || '(self):\\n        return self.m1()\\n'"), "select 'High Lack of Cohesion of Methods (LCOM)' as name, 'Class ''' || 'pkg.m' || k || '.A' || ''' has LCOM of ' || (total - 2 * close) || ' (non-cohesive: ' || (total - close) || ', cohesive: ' || close || ')' as description, '/proj/pkg/m' || k || '.py' as file_path, 'pkg.m' || k || '.A' as module_class, cast(null as bigint) as line_number, case when total - 2 * close > 15 then 'High' else 'Medium' end as severity from (select k, ((2 + k % 8 + k % 3) * (1 + k % 8 + k % 3)) // 2 as total, ((1 + k % 3) * (k % 3)) // 2 as close from s) where total - 2 * close > 10")
-class_query("s06_rfc", "High Response for a Class (RFC)", "'class A:\\n' || " + lines("1 + k % 15", "'    def m' || i || '(self):\\n        self.m1()\\n'") + " || '    def n(self, o):\\n' || " + lines("1 + k % 20", "'        o.c' || i || '()\\n'") + " || '    def _p(self):\\n        pass\\n'", _SAID + "has RFC of ' || (3 + k % 15 + k % 20) || ' (methods: ' || (2 + k % 15) || ', external calls: ' || (1 + k % 20) || ')'", "3 + k % 15 + k % 20 > 20", _LEVEL("3 + k % 15 + k % 20", 20))
-render_query("s07_nocc", lines("1 + k * 7 % 30", "'class C' || i || ':\\n    def m(self):\\n        pass\\n'") + " || 'class E(MyException):\\n    pass\\nclass TestC:\\n    pass\\n'", _smell("High Number of Classes (NOCC)", "'Module ''pkg.m' || k || ''' has ' || (1 + k * 7 % 30) || ' significant classes (avg complexity: 0.7)'", "1 + k * 7 % 30 > 15", "'pkg.m' || k", severity=_LEVEL("1 + k * 7 % 30", 15)))
+render_query(
+    "s05_lcom",
+    "'class A:\\n' || " + lines("2 + k % 8", "'    def m' || i || '(self):\\n        return self.f' || i || '\\n'") + " || " + lines("k % 3", "'    def h' || i || '(self):\\n        return self.m1()\\n'"),
+    "select 'High Lack of Cohesion of Methods (LCOM)' as name, 'Class ''' || 'pkg.m' || k || '.A' || ''' has LCOM of ' || (total - 2 * close) || ' (non-cohesive: ' || (total - close) || ', cohesive: ' || close || ')' as description, '/proj/pkg/m' || k || '.py' as file_path, 'pkg.m' || k || '.A' as module_class, cast(null as bigint) as line_number, case when total - 2 * close > 15 then 'High' else 'Medium' end as severity from (select k, ((2 + k % 8 + k % 3) * (1 + k % 8 + k % 3)) // 2 as total, ((1 + k % 3) * (k % 3)) // 2 as close from s) where total - 2 * close > 10",
+)
+class_query(
+    "s06_rfc",
+    "High Response for a Class (RFC)",
+    "'class A:\\n' || "
+    + lines("1 + k % 15", "'    def m' || i || '(self):\\n        self.m1()\\n'")
+    + " || '    def n(self, o):\\n' || "
+    + lines("1 + k % 20", "'        o.c' || i || '()\\n'")
+    + " || '    def _p(self):\\n        pass\\n'",
+    _SAID + "has RFC of ' || (3 + k % 15 + k % 20) || ' (methods: ' || (2 + k % 15) || ', external calls: ' || (1 + k % 20) || ')'",
+    "3 + k % 15 + k % 20 > 20",
+    _LEVEL("3 + k % 15 + k % 20", 20),
+)
+render_query(
+    "s07_nocc",
+    lines("1 + k * 7 % 30", "'class C' || i || ':\\n    def m(self):\\n        pass\\n'") + " || 'class E(MyException):\\n    pass\\nclass TestC:\\n    pass\\n'",
+    _smell("High Number of Classes (NOCC)", "'Module ''pkg.m' || k || ''' has ' || (1 + k * 7 % 30) || ' significant classes (avg complexity: 0.7)'", "1 + k * 7 % 30 > 15", "'pkg.m' || k", severity=_LEVEL("1 + k * 7 % 30", 15)),
+)
 
 
 def inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depths below object of a forest over customers: the base of customer c is customer c // 3 where both are in one nation block."""
     t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    classes = t.select(F.concat(F.lit("c"), "k").alias("name"), F.when((F.col("k") % 4 != 0) & (F.col("k") >= 3), F.array(F.concat(F.lit("c"), F.floor(F.col("k") / 3).cast("string")))).otherwise(F.array().cast("array<string>")).alias("bases"))
+    classes = t.select(
+        F.concat(F.lit("c"), "k").alias("name"),
+        F.when((F.col("k") % 4 != 0) & (F.col("k") >= 3), F.array(F.concat(F.lit("c"), F.floor(F.col("k") / 3).cast("string")))).otherwise(F.array().cast("array<string>")).alias("bases"),
+    )
     d = structural.inheritance_depth(classes, load(EXTENDED)["structural_smells"])
     return d.select("id", F.col("depth").cast("long").alias("depth"))
 
@@ -213,7 +387,12 @@ def inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["s08_inheritance_depth"] = inheritance
 ORACLES["s08_inheritance_depth"] = "with recursive d as (select c_custkey as k, 1 as depth from customer where c_custkey % 4 = 0 or c_custkey < 3 union all select c.c_custkey, d.depth + 1 from customer c join d on c.c_custkey // 3 = d.k where c.c_custkey % 4 <> 0 and c.c_custkey >= 3) select 'c' || k as id, cast(depth as bigint) as depth from d"
 _CHAIN = "'class C0:\\n    pass\\n' || " + lines("1 + k % 6", "'class C' || i || '(m' || k || '.C' || (i - 1) || '):\\n    pass\\n'")
-render_query("s08_dit", _CHAIN, "select 'Deep Inheritance Tree (DIT)' as name, 'Class ''m' || k || '.C' || i || ''' has DIT of ' || (i + 1) || chr(10) || 'Inheritance path: object->' || (select string_agg('m' || k || '.C' || j, '->' order by j) from range(0, i + 1) q(j)) as description, '/proj/pkg/m' || k || '.py' as file_path, 'm' || k || '.C' || i as module_class, cast(null as bigint) as line_number, case when i + 1 > 4.5 then 'High' else 'Medium' end as severity from s, range(3, 7) r(i) where i <= 1 + k % 6", root="/proj/pkg")
+render_query(
+    "s08_dit",
+    _CHAIN,
+    "select 'Deep Inheritance Tree (DIT)' as name, 'Class ''m' || k || '.C' || i || ''' has DIT of ' || (i + 1) || chr(10) || 'Inheritance path: object->' || (select string_agg('m' || k || '.C' || j, '->' order by j) from range(0, i + 1) q(j)) as description, '/proj/pkg/m' || k || '.py' as file_path, 'm' || k || '.C' || i as module_class, cast(null as bigint) as line_number, case when i + 1 > 4.5 then 'High' else 'Medium' end as severity from s, range(3, 7) r(i) where i <= 1 + k % 6",
+    root="/proj/pkg",
+)
 _LOOP = "'class A(m' || k || '.B):\\n    pass\\nclass B(m' || k || '.A):\\n    pass\\nclass C(Base' || (k % 3) || '):\\n    pass\\n'"
 _ALONE = "'Class ''m' || k || '.' || c || ''' is isolated from the main inheritance hierarchy'"
 render_query("s08_isolated", _LOOP, _smell("Isolated Class in Inheritance Tree", _ALONE, "true", "'m' || k || '.' || c", severity="'Low'", frm="s, (values ('A'), ('B')) v(c)"), "s08_dit", root="/proj/pkg")
@@ -232,15 +411,73 @@ ORACLES["s09_line_classes"] = """with l as (select doc_id as id, unnest(string_s
   m as (select id, i, case when i % 11 = 4 then 'turn' when i % 5 = 1 then 'imports' when i % 7 = 2 then 'comment' when trim(t) = '' then 'blank' else 'code' end as kind from l),
   p as (select *, coalesce(sum(case when kind = 'turn' then 1 else 0 end) over (partition by id order by i rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as inside from m)
   select id, count(*) as total, count(*) filter (kind = 'blank') as blank, count(*) filter (kind = 'turn' or inside and kind <> 'blank') as doc, count(*) filter (kind = 'imports' and not inside) as imports, count(*) filter (kind = 'code' and not inside) as code from p group by id"""
-render_query("s09_loc", "'\"\"\"one line\"\"\"\\n\"\"\"off again\"\"\"\\nimport os\\n# note\\n\\n' || " + lines("1 + k * 37 % 400", "'x = ' || i || '\\n'"), _smell("High Lines of Code (LOC)", "'Module ''pkg.m' || k || ''' has ' || (1 + k * 37 % 400) || ' effective code lines' || chr(10) || '(Total: ' || (6 + k * 37 % 400) || ', Code: ' || (1 + k * 37 % 400) || ', Doc: 2, Import: 1, Blank: 1)'", "1 + k * 37 % 400 > 150", "'pkg.m' || k", severity=_LEVEL("1 + k * 37 % 400", 150)))
-render_query("s10_noc", "'class C' || k || case when k % 9 = 0 then 'Helper' when k % 9 = 1 then 'Abstract' when k % 9 = 2 then 'Mock' else '' end || ':\\n    pass\\nclass D' || k || ':\\n    pass\\n'", "select 'High Number of Classes (NOC)' as name, 'Project has ' || printf('%.1f', r + 0.5 * a + 0.3 * u) || ' weighted classes:' || chr(10) || '- Regular classes: ' || r || chr(10) || '- Abstract/Interface classes: ' || a || chr(10) || '- Utility classes: ' || u || chr(10) || '- Test classes: ' || t || ' (not counted in weighted total)' || chr(10) || 'Adjusted threshold: 7' as description, '/proj' as file_path, 'Project' as module_class, cast(null as bigint) as line_number, case when r + 0.5 * a + 0.3 * u > 10.5 then 'High' else 'Medium' end as severity from (select count(*) filter (k % 9 > 2) + count(*) as r, count(*) filter (k % 9 = 1) as a, count(*) filter (k % 9 = 0) as u, count(*) filter (k % 9 = 2) as t from s) where r + 0.5 * a + 0.3 * u > 7")
-class_query("s11_mpc", "High Message Passing Coupling (MPC)", "'class A:\\n    def m(self, o):\\n        self.n()\\n        o.get_x()\\n' || " + lines("1 + k * 7 % 40", "'        o.c' || i || '()\\n'") + " || '    def n(self, o):\\n        o.c1()\\n'", _SAID + "has weighted MPC of ' || printf('%.1f', 1.5 * (2 + k * 7 % 40) + 1) || chr(10) || '(External calls: ' || (2 + k * 7 % 40) || ', Internal calls: 1)' || chr(10) || 'Most frequent external calls: {''c1'': 2, ''c10'': 1, ''c11'': 1}'", "1.5 * (2 + k * 7 % 40) + 1 > 25", _LEVEL("1.5 * (2 + k * 7 % 40) + 1", 25))
-class_query("s12_cbo", "High Coupling Between Object Classes (CBO)", "'class A(Thing):\\n    def m(self):\\n        self.x = self.y()\\n' || " + lines("1 + k % 8", "'        o' || i || '.run()\\n'") + " || '        result.run()\\n'", _SAID + "has weighted CBO of ' || printf('%.1f', 1.5 * (3 + k % 8) + 0.5 * (2 + k % 8)) || chr(10) || 'Direct coupling: ' || (3 + k % 8) || ' classes' || chr(10) || 'Indirect coupling: ' || (2 + k % 8) || ' classes' || chr(10) || 'Most significant dependencies: [''Thing'', ''o1'', ' || case when k % 8 = 0 then '''self''' else '''o2''' end || ']'", "1.5 * (3 + k % 8) + 0.5 * (2 + k % 8) > 5", "case when 1.5 * (3 + k % 8) + 0.5 * (2 + k % 8) > 10 then 'High' when 1.5 * (3 + k % 8) + 0.5 * (2 + k % 8) > 7.5 then 'Medium' else 'Low' end")
-class_query("s13_cyclomatic_complexity", "High Cyclomatic Complexity", "'class A:\\n    def m(self, x):\\n        if x:\\n            y = 1\\n' || " + lines("k % 20", "'        elif x == ' || i || ':\\n            y = 2\\n'"), "'Method ''m'' has cyclomatic complexity of ' || (2 + 2 * (k % 20))", "2 + 2 * (k % 20) > 10", _LEVEL("2 + 2 * (k % 20)", 10), _CLS, "cast(2 as bigint)")
-render_query("s14_fan_out", "'import os\\nimport json\\n' || " + lines("1 + k * 7 % 40", "'import lib' || i || '\\n'"), _smell("High Fan-out", "'Module ''pkg.m' || k || ''' has ' || (1 + k * 7 % 40) || ' significant outgoing dependencies'", "1 + k * 7 % 40 > 15", "'pkg.m' || k", severity=_LEVEL("1 + k * 7 % 40", 15)))
-render_query("s15_fan_in", lines("1 + k % 40", "'import lib' || i || '\\n'") + " || 'import util\\n'", "select 'High Fan-in' as name, 'Module ''lib' || i || ''' has ' || n || ' incoming dependencies' as description, 'Unknown' as file_path, 'lib' || i as module_class, cast(null as bigint) as line_number, case when n > 22.5 then 'High' else 'Medium' end as severity from (select i, count(*) as n from s, range(1, 41) r(i) where i <= 1 + k % 40 group by i) where n > 15", rows="customer")
-render_query("s16_long_file", "'\"\"\"doc\\n# inside\\n\"\"\"\\nimport os\\n# note\\n\\n' || " + lines("1 + k * 37 % 500", "'x = ' || i || '\\n'"), _smell("Long File", "'File ''pkg.m' || k || ''' has ' || (2 + k * 37 % 500) || ' meaningful lines of code'", "2 + k * 37 % 500 > 250", "'pkg.m' || k", severity=_LEVEL("2 + k * 37 % 500", 250)))
-class_query("s17_too_many_branches", "Too Many Branches", "'class A:\\n    def m(self, x):\\n' || " + lines("1 + k % 20", "'        if x:\\n            y = ' || i || '\\n'") + " || '    def get_m(self, x):\\n' || " + lines("20", "'        if x:\\n            y = 1\\n'"), "'Method ''m'' has ' || (1 + k % 20) || ' branches with max nesting of ' || (1 + k % 20)", "1 + k % 20 > 4", _LEVEL("1 + k % 20", 10), _CLS, "cast(2 as bigint)")
+render_query(
+    "s09_loc",
+    "'\"\"\"one line\"\"\"\\n\"\"\"off again\"\"\"\\nimport os\\n# note\\n\\n' || " + lines("1 + k * 37 % 400", "'x = ' || i || '\\n'"),
+    _smell("High Lines of Code (LOC)", "'Module ''pkg.m' || k || ''' has ' || (1 + k * 37 % 400) || ' effective code lines' || chr(10) || '(Total: ' || (6 + k * 37 % 400) || ', Code: ' || (1 + k * 37 % 400) || ', Doc: 2, Import: 1, Blank: 1)'", "1 + k * 37 % 400 > 150", "'pkg.m' || k", severity=_LEVEL("1 + k * 37 % 400", 150)),
+)
+render_query(
+    "s10_noc",
+    "'class C' || k || case when k % 9 = 0 then 'Helper' when k % 9 = 1 then 'Abstract' when k % 9 = 2 then 'Mock' else '' end || ':\\n    pass\\nclass D' || k || ':\\n    pass\\n'",
+    "select 'High Number of Classes (NOC)' as name, 'Project has ' || printf('%.1f', r + 0.5 * a + 0.3 * u) || ' weighted classes:' || chr(10) || '- Regular classes: ' || r || chr(10) || '- Abstract/Interface classes: ' || a || chr(10) || '- Utility classes: ' || u || chr(10) || '- Test classes: ' || t || ' (not counted in weighted total)' || chr(10) || 'Adjusted threshold: 7' as description, '/proj' as file_path, 'Project' as module_class, cast(null as bigint) as line_number, case when r + 0.5 * a + 0.3 * u > 10.5 then 'High' else 'Medium' end as severity from (select count(*) filter (k % 9 > 2) + count(*) as r, count(*) filter (k % 9 = 1) as a, count(*) filter (k % 9 = 0) as u, count(*) filter (k % 9 = 2) as t from s) where r + 0.5 * a + 0.3 * u > 7",
+)
+class_query(
+    "s11_mpc",
+    "High Message Passing Coupling (MPC)",
+    "'class A:\\n    def m(self, o):\\n        self.n()\\n        o.get_x()\\n' || " + lines("1 + k * 7 % 40", "'        o.c' || i || '()\\n'") + " || '    def n(self, o):\\n        o.c1()\\n'",
+    _SAID
+    + "has weighted MPC of ' || printf('%.1f', 1.5 * (2 + k * 7 % 40) + 1) || chr(10) || '(External calls: ' || (2 + k * 7 % 40) || ', Internal calls: 1)' || chr(10) || 'Most frequent external calls: {''c1'': 2, ''c10'': 1, ''c11'': 1}'",
+    "1.5 * (2 + k * 7 % 40) + 1 > 25",
+    _LEVEL("1.5 * (2 + k * 7 % 40) + 1", 25),
+)
+class_query(
+    "s12_cbo",
+    "High Coupling Between Object Classes (CBO)",
+    "'class A(Thing):\\n    def m(self):\\n        self.x = self.y()\\n' || " + lines("1 + k % 8", "'        o' || i || '.run()\\n'") + " || '        result.run()\\n'",
+    _SAID
+    + "has weighted CBO of ' || printf('%.1f', 1.5 * (3 + k % 8) + 0.5 * (2 + k % 8)) || chr(10) || 'Direct coupling: ' || (3 + k % 8) || ' classes' || chr(10) || 'Indirect coupling: ' || (2 + k % 8) || ' classes' || chr(10) || 'Most significant dependencies: [''Thing'', ''o1'', ' || case when k % 8 = 0 then '''self''' else '''o2''' end || ']'",
+    "1.5 * (3 + k % 8) + 0.5 * (2 + k % 8) > 5",
+    "case when 1.5 * (3 + k % 8) + 0.5 * (2 + k % 8) > 10 then 'High' when 1.5 * (3 + k % 8) + 0.5 * (2 + k % 8) > 7.5 then 'Medium' else 'Low' end",
+)
+class_query(
+    "s13_cyclomatic_complexity",
+    "High Cyclomatic Complexity",
+    "'class A:\\n    def m(self, x):\\n        if x:\\n            y = 1\\n' || " + lines("k % 20", "'        elif x == ' || i || ':\\n            y = 2\\n'"),
+    "'Method ''m'' has cyclomatic complexity of ' || (2 + 2 * (k % 20))",
+    "2 + 2 * (k % 20) > 10",
+    _LEVEL("2 + 2 * (k % 20)", 10),
+    _CLS,
+    "cast(2 as bigint)",
+)
+render_query(
+    "s14_fan_out",
+    "'import os\\nimport json\\n' || " + lines("1 + k * 7 % 40", "'import lib' || i || '\\n'"),
+    _smell("High Fan-out", "'Module ''pkg.m' || k || ''' has ' || (1 + k * 7 % 40) || ' significant outgoing dependencies'", "1 + k * 7 % 40 > 15", "'pkg.m' || k", severity=_LEVEL("1 + k * 7 % 40", 15)),
+)
+render_query(
+    "s15_fan_in",
+    lines("1 + k % 40", "'import lib' || i || '\\n'") + " || 'import util\\n'",
+    "select 'High Fan-in' as name, 'Module ''lib' || i || ''' has ' || n || ' incoming dependencies' as description, 'Unknown' as file_path, 'lib' || i as module_class, cast(null as bigint) as line_number, case when n > 22.5 then 'High' else 'Medium' end as severity from (select i, count(*) as n from s, range(1, 41) r(i) where i <= 1 + k % 40 group by i) where n > 15",
+    rows="customer",
+)
+render_query(
+    "s16_long_file",
+    "'\"\"\"doc\\n# inside\\n\"\"\"\\nimport os\\n# note\\n\\n' || " + lines("1 + k * 37 % 500", "'x = ' || i || '\\n'"),
+    _smell("Long File", "'File ''pkg.m' || k || ''' has ' || (2 + k * 37 % 500) || ' meaningful lines of code'", "2 + k * 37 % 500 > 250", "'pkg.m' || k", severity=_LEVEL("2 + k * 37 % 500", 250)),
+)
+class_query(
+    "s17_too_many_branches",
+    "Too Many Branches",
+    "'class A:\\n    def m(self, x):\\n' || "
+    + lines("1 + k % 20", "'        if x:\\n            y = ' || i || '\\n'")
+    + " || '    def get_m(self, x):\\n' || "
+    + lines("20", "'        if x:\\n            y = 1\\n'"),
+    "'Method ''m'' has ' || (1 + k % 20) || ' branches with max nesting of ' || (1 + k % 20)",
+    "1 + k % 20 > 4",
+    _LEVEL("1 + k % 20", 10),
+    _CLS,
+    "cast(2 as bigint)",
+)
 
 # --- the engine as a whole -----------------------------------------------------------------------------------------
 
@@ -248,7 +485,8 @@ _MIXED = "'def f(' || array_join(transform(sequence(1, cast(1 + k % 9 as int)),
 
 
 def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smells by family and name over a run of five of the 46 detectors, at least one of each family. The SQL has four of their smells, data clumps have none here; k04_tree_report runs all detectors."""
+    """Smells by family and name over a run of five of the 46 detectors, at least one of each family. The SQL has four of their smells, data clumps
+    have none here; k04_tree_report runs all detectors."""
     keys = ["c04_long_parameter_list", "c02_large_class", "s01_nom", "a04_god_object", "c05_data_clumps"]
     a = analyze_sources(rendered(spark, sf_dir, _MIXED), EXTENDED, strict=False, keys=keys)
     return a.smells.groupBy("type", "name").agg(F.count("*").alias("n"))
@@ -301,7 +539,8 @@ def written_tree(spark: SparkSession, sources: DataFrame) -> str:
 
 
 def tree_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From end to end: a source tree on disk (with a link that leads nowhere) is scanned and analyzed by all 46 detectors, smells go to a table, and its totals and those of the errors are read back."""
+    """From end to end: a source tree on disk (with a link that leads nowhere) is scanned and analyzed by all 46 detectors, smells go to a table, and
+    its totals and those of the errors are read back."""
     top = written_tree(spark, rendered(spark, sf_dir, _MIXED))
     os.symlink("/nowhere/at/all.py", f"{top}/proj/pkg/gone.py")
     a = analyze(spark, f"{top}/proj", EXTENDED, strict=False)

@@ -39,7 +39,8 @@ def detect(facts: DataFrame, key: str, config: dict[str, Thresholds]) -> DataFra
 
 @dataclass
 class Analysis:
-    """Results of a run. smells: the public columns, family by family, each file's in the order of its detectors. errors: files that could not be read or parsed, by family. The facts are kept until release()."""
+    """Results of a run. smells: the public columns, family by family, each file's in the order of its detectors. errors: files that could not be read
+    or parsed, by family. The facts are kept until release()."""
 
     facts: DataFrame
     smells: DataFrame
@@ -52,7 +53,12 @@ class Analysis:
 
     def summary(self) -> DataFrame:
         """Rows (type, files, errors, smells, success_rate): files are those that were analyzed."""
-        n = self.facts.agg(F.count_if(F.col("code_error").isNull()).alias("code_ok"), F.count_if(F.col("code_error").isNotNull()).alias("code_bad"), F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad"))
+        n = self.facts.agg(
+            F.count_if(F.col("code_error").isNull()).alias("code_ok"),
+            F.count_if(F.col("code_error").isNotNull()).alias("code_bad"),
+            F.count_if(F.col("error").isNull()).alias("ok"),
+            F.count_if(F.col("error").isNotNull()).alias("bad"),
+        )
         rows = [n.select(F.lit(f.capitalize()).alias("type"), F.col("code_ok" if f == "code" else "ok").alias("files"), F.col("code_bad" if f == "code" else "bad").alias("errors")) for f in self.families]
         found = self.smells.groupBy("type").agg(F.count("*").alias("smells"))
         out = reduce(DataFrame.unionByName, rows).join(found, "type", "left")
@@ -62,7 +68,8 @@ class Analysis:
 def analyze_sources(sources: DataFrame, config: str | dict | None = None, families: tuple[str, ...] = FAMILIES, strict: bool = True, keys: list[str] | None = None) -> Analysis:
     """Analyzes sources (path, root, content). Facts are extracted once and kept; only the plans of the families asked for are built.
 
-    strict: in the code family a file's smells end where a run of the detectors, one after another, would break off (see operators.code.aborts); otherwise every detector reports all it finds. keys picks single detectors."""
+    strict: in the code family a file's smells end where a run of the detectors, one after another, would break off (see operators.code.aborts);
+    otherwise every detector reports all it finds. keys picks single detectors."""
     thresholds = load(config)
     facts = extract_facts(sources).persist()
     plans: list[DataFrame] = []

@@ -14,7 +14,9 @@ from plumbline.plans.config import load
 
 
 def code_smells(changes: DataFrame, output: str, checkpoint: str, config: str | dict | None = None, strict: bool = True) -> StreamingQuery:
-    """changes: a stream of (path, root, content). Each batch's files are analyzed by the code family, whose rules need one file only, and written to output/batch=N as Parquet; a batch that is run again overwrites its own folder. strict as in the batch engine: the same files have the same smells."""
+    """changes: a stream of (path, root, content). Each batch's files are analyzed by the code family, whose rules need one file only, and written to
+    output/batch=N as Parquet; a batch that is run again overwrites its own folder. strict as in the batch engine: the same files have the same
+    smells."""
     thresholds = load(config)["code_smells"]
 
     def one(batch: DataFrame, number: int) -> None:
