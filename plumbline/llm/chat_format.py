@@ -61,7 +61,8 @@ def _turns(rows: DataFrame, id_col: str, turn_col: str, role_col: str, text_col:
 
 
 def _blocks(t: DataFrame, room: int, history_turns: int) -> DataFrame:
-    """Rows (id, lead, head, room, body, before): turns of a conversation that follow one another, of a bounded number of tokens (but for the last turn). lead: turns of the conversation's head (its system turn); before: up to history_turns turns before them."""
+    """Rows (id, lead, head, room, body, before): turns of a conversation that follow one another, of a bounded number of tokens (but for the last
+    turn). lead: turns of the conversation's head (its system turn); before: up to history_turns turns before them."""
     keys = ["id0", "none", "chunk"]
     first = F.struct("turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text"), "cost")
     conversation = Window.partitionBy("id0", "none")
@@ -104,9 +105,16 @@ def format_conversations(
 ) -> DataFrame:
     """Windows of conversations: (id, window, formatted, loss, n_repeated, n_turns).
 
-    A turn's tokens are those in tokens_col, or are estimated from its code points. The running sum of them cuts a conversation into spans of whole turns, as long as the budget allows beside the system turn (the first, if its role is system) and the history; a longer turn has a span of its own and is never cut. Spans also end at every CHUNK_TURNS turn numbers and where BLOCK_ROOMS rooms are full, so no task holds more of a conversation than a chunk, and no row more than a block. Every window has the system turn, then of the turns before its span up to history_turns whose sum is within history (at a chunk's start: of those of the chunk before), then its span; n_repeated turns at its head were in an earlier window. window is the place in the conversation of the span's first turn. loss has (start, length) in code points of the assistant texts of the span in formatted, escaped as they stand there: each assistant text once over all windows.
+    A turn's tokens are those in tokens_col, or are estimated from its code points. The running sum of them cuts a conversation into spans of whole
+    turns, as long as the budget allows beside the system turn (the first, if its role is system) and the history; a longer turn has a span of its own
+    and is never cut. Spans also end at every CHUNK_TURNS turn numbers and where BLOCK_ROOMS rooms are full, so no task holds more of a conversation
+    than a chunk, and no row more than a block. Every window has the system turn, then of the turns before its span up to history_turns whose sum is
+    within history (at a chunk's start: of those of the chunk before), then its span; n_repeated turns at its head were in an earlier window. window
+    is the place in the conversation of the span's first turn. loss has (start, length) in code points of the assistant texts of the span in
+    formatted, escaped as they stand there: each assistant text once over all windows.
 
-    Turns are ordered by turn, then role, then text (nulls first); repeated rows are turns of their own. A null text is empty, a null role is an empty role; null ids are one conversation. Extra columns are left out, whatever their names; an empty table gives no rows."""
+    Turns are ordered by turn, then role, then text (nulls first); repeated rows are turns of their own. A null text is empty, a null role is an empty
+    role; null ids are one conversation. Extra columns are left out, whatever their names; an empty table gives no rows."""
     b = _blocks(_turns(rows, id_col, turn_col, role_col, text_col, tokens_col), budget - history, history_turns)
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
@@ -154,6 +162,7 @@ def read_windows(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 
 def read_back(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Conversations from formatted windows: (id, turns array of (role, text), targets array of the texts under the loss mask, formatted_chars). A conversation is one row here."""
+    """Conversations from formatted windows: (id, turns array of (role, text), targets array of the texts under the loss mask, formatted_chars). A
+    conversation is one row here."""
     g = read_windows(windows, id_col).groupBy(F.col(f"`{id_col}`")).agg(F.array_sort(F.collect_list(F.struct("window", "turns", "targets"))).alias("w"), F.sum("chars").alias("formatted_chars"))
     return g.select(F.col(f"`{id_col}`"), F.flatten(F.transform("w", lambda x: x["turns"])).alias("turns"), F.flatten(F.transform("w", lambda x: x["targets"])).alias("targets"), "formatted_chars")

@@ -30,7 +30,8 @@ _own: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one does in local mode; on a cluster it is an error, as executors would not see each other's files."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one does in local mode; on a cluster it is an
+    error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.split("[")[0] == "local":
@@ -78,7 +79,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def finer_partitions(spark: SparkSession, times: int = 4) -> Iterator[None]:
-    """Shuffles of what is run within have so many times the usual number of partitions, and small ones are not put together: for exchanges of many short rows, whose hash tables take far more memory than their compressed bytes tell."""
+    """Shuffles of what is run within have so many times the usual number of partitions, and small ones are not put together: for exchanges of many
+    short rows, whose hash tables take far more memory than their compressed bytes tell."""
     keys = {"spark.sql.shuffle.partitions": str(times * int(spark.conf.get("spark.sql.shuffle.partitions"))), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in keys}
     try:
@@ -131,7 +133,8 @@ def _put(system: fs.FileSystem, aside: str, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as texts may be long. The setting is read when a plan runs, long after it was made, so it stays; one that is smaller already is left alone."""
+    """Arrow batches of few rows, as texts may be long. The setting is read when a plan runs, long after it was made, so it stays; one that is smaller
+    already is left alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -196,7 +199,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span (in order, apart): the sum of table[byte] * BASE**(place in the span), from running sums over pieces that end between spans."""
+    """A 64-bit hash of the bytes of each span (in order, apart): the sum of table[byte] * BASE**(place in the span), from running sums over pieces
+    that end between spans."""
     out = np.empty(len(starts), _U)
     i, n = 0, len(starts)
     with np.errstate(over="ignore"):
@@ -214,7 +218,8 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of a batch of texts: starts and ends (byte positions), a 64-bit hash each, and by document the index of its first word (bounds, one more than documents)."""
+    """The words `[^\\x20\\x09-\\x0D]+` of a batch of texts: starts and ends (byte positions), a 64-bit hash each, and by document the index of its
+    first word (bounds, one more than documents)."""
 
     def __init__(self, texts: pa.Array, lower: bool = False, separators: bytes = b" \t\n\x0b\x0c\r", hashed: bool = True):
         self.data, self.offsets = text_bytes(texts)
@@ -261,7 +266,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-word windows of each document, in order, and the bounds by document. A document of fewer words gives its whole sequence as one; without words, none."""
+    """Hashes of the k-word windows of each document, in order, and the bounds by document. A document of fewer words gives its whole sequence as one;
+    without words, none."""
     counts, n = np.diff(bounds), len(hashes)
     odd = mix64(np.arange(1, k + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
     with np.errstate(over="ignore"):
@@ -303,7 +309,8 @@ def list_array(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v: long): rows (node, component), component the least node reachable.
 
-    Large-star and small-star steps alternate until nothing changes (each links every node to the least of its neighbours, so they end); each round is a table in the shared folder. No edges give no rows; self-loops and nulls are ignored."""
+    Large-star and small-star steps alternate until nothing changes (each links every node to the least of its neighbours, so they end); each round is
+    a table in the shared folder. No edges give no rows; self-loops and nulls are ignored."""
     spark = edges.sparkSession
     e = materialize(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None

@@ -33,7 +33,8 @@ def _words(texts: pa.Array) -> Words:
 
 @dataclass
 class Block:
-    """Items of a benchmark: ids, words (hashes) by item, the numbers of words that seeds have, and seeds: sorted gram hashes with the items and places where each stands. An item of fewer than GRAM words is one seed."""
+    """Items of a benchmark: ids, words (hashes) by item, the numbers of words that seeds have, and seeds: sorted gram hashes with the items and
+    places where each stands. An item of fewer than GRAM words is one seed."""
 
     ids: list
     words: list[np.ndarray]
@@ -169,9 +170,14 @@ def _scan(docs: DataFrame, block: Block, keep: list[str], text: str, rows: Calla
 
 
 def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document row and item of which it holds a copy, exact, edited or paraphrased: (id, item, score, similarity, from_word, to_word; the passage lies between).
-
-    Each seed of an item in a document marks where the item would lie there; stretches around the marks are aligned, unless a bound says that no copy can be there. Every seed counts, however many documents have it. Documents never leave their task and the benchmark is held in blocks of bounded size. Null or empty texts match nothing; repeated rows match each; repeated items count once (by id and text, so an id may have several texts, and is then found once for each); an item of fewer than GRAM words is found wherever its words stand in a row, so one of a single word is in every document that has the word; ids are of any type, null included; empty tables give no rows."""
+    """One row for each document row and item of which it holds a copy, exact, edited or paraphrased: (id, item, score, similarity, from_word,
+    to_word; the passage lies between).
+
+    Each seed of an item in a document marks where the item would lie there; stretches around the marks are aligned, unless a bound says that no copy
+    can be there. Every seed counts, however many documents have it. Documents never leave their task and the benchmark is held in blocks of bounded
+    size. Null or empty texts match nothing; repeated rows match each; repeated items count once (by id and text, so an id may have several texts, and
+    is then found once for each); an item of fewer than GRAM words is found wherever its words stand in a row, so one of a single word is in every
+    document that has the word; ids are of any type, null included; empty tables give no rows."""
     spark = docs.sparkSession
     kinds = f"id {docs.schema[id_col].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, score long, similarity double, from_word long, to_word long"
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))

@@ -53,7 +53,12 @@ def _band(n: np.ndarray) -> np.ndarray:
 def block_keys(g: np.ndarray, b: np.ndarray, common: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of each set, their bounds, and whether a set has too few filled blocks to be sure.
 
-    Sets are compared within size bands [2**u, 2**(u+1)); a set takes part in its own and, if a partner may be there, in the next. A band's sketch is a fixed number of blocks; each shingle falls into one block by hash, and a block holds the XOR of its shingles' hashes, so shingles that two sets share cancel in the difference, and no more blocks differ than the symmetric difference has elements. With J >= percent/100 a set of n has at most d = n * (100 - percent) / percent elements of difference to any partner. Blocks of rare shingles come first, those of common ones (a passage in many documents) after them, for all sets alike. Both sets give their first d + 1 filled blocks: at most d of them differ, so one that both give is equal (pigeonhole)."""
+    Sets are compared within size bands [2**u, 2**(u+1)); a set takes part in its own and, if a partner may be there, in the next. A band's sketch is
+    a fixed number of blocks; each shingle falls into one block by hash, and a block holds the XOR of its shingles' hashes, so shingles that two sets
+    share cancel in the difference, and no more blocks differ than the symmetric difference has elements. With J >= percent/100 a set of n has at most
+    d = n * (100 - percent) / percent elements of difference to any partner. Blocks of rare shingles come first, those of common ones (a passage in
+    many documents) after them, for all sets alike. Both sets give their first d + 1 filled blocks: at most d of them differ, so one that both give is
+    equal (pigeonhole)."""
     n = np.diff(b)
     d = n * (100 - percent) // percent
     band = _band(np.maximum(n, 1))
@@ -88,7 +93,8 @@ def block_keys(g: np.ndarray, b: np.ndarray, common: np.ndarray, percent: int, s
 
 
 def parity_bits(g: np.ndarray) -> np.ndarray:
-    """A sketch of 4 to 8 bits a shingle (a power of two, 64 at least): each shingle flips one bit. The Hamming distance of two sketches is at most the symmetric difference; half of a sketch XORed on the other half is the sketch of half the size."""
+    """A sketch of 4 to 8 bits a shingle (a power of two, 64 at least): each shingle flips one bit. The Hamming distance of two sketches is at most
+    the symmetric difference; half of a sketch XORed on the other half is the sketch of half the size."""
     bits = max(64, int(8 << int(_band(np.array([max(len(g), 1)]))[0])))
     flips = np.bincount((mix64(g ^ _U(0x51E7C4)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
@@ -194,7 +200,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(d: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (u, v) of nodes with similarity at or above percent: enough of them that every link of the whole graph lies within one component.
 
-    Documents that share a key first meet one of them, which is the same for most keys of a group: as many pairs as documents. Where the links found put all of a key's nodes into one component nothing is left to test. What remains, nodes of different components with a common key, is compared in full, within a join whose condition is the Hamming distance."""
+    Documents that share a key first meet one of them, which is the same for most keys of a group: as many pairs as documents. Where the links found
+    put all of a key's nodes into one component nothing is left to test. What remains, nodes of different components with a common key, is compared in
+    full, within a join whose condition is the Hamming distance."""
     keys = sig.select("node", F.explode("keys").alias("key"))
     many = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     with finer_partitions(d.sparkSession):
@@ -233,7 +241,8 @@ def links(d: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def star_pairs(open_: DataFrame, again: bool) -> DataFrame:
-    """Of each key the pairs of its heaviest node with all nodes of other parts. again: of the heaviest node outside that node's part, as the first met its others before."""
+    """Of each key the pairs of its heaviest node with all nodes of other parts. again: of the heaviest node outside that node's part, as the first
+    met its others before."""
 
     def heaviest(x: DataFrame) -> DataFrame:
         """A table of its own, so that the join with it may be dealt anew where one key has many nodes."""
@@ -246,7 +255,8 @@ def star_pairs(open_: DataFrame, again: bool) -> DataFrame:
 
 
 def rest_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of different parts with a common key whose sizes and flat parity sketches let them be similar. The Hamming distance is part of the join's condition, so what shares a key but no more is never a row."""
+    """All pairs of nodes of different parts with a common key whose sizes and flat parity sketches let them be similar. The Hamming distance is part
+    of the join's condition, so what shares a key but no more is never a row."""
     flat = [f"f{i}" for i in range(FLAT_BITS // 64)]
     known = open_.select("key", "node", "part").join(sets.select("node", "n", *[F.get("flat", i).alias(f) for i, f in enumerate(flat)]), "node")
     a, b = (known.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "n", *flat)]) for x in "uv")
@@ -256,9 +266,12 @@ def rest_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: (id, n_shingles, component_id). Documents link if the Jaccard similarity of their sets of k-word shingles is at least percent/100; component_id is the least id reachable by links.
+    """One row per row of docs: (id, n_shingles, component_id). Documents link if the Jaccard similarity of their sets of k-word shingles is at least
+    percent/100; component_id is the least id reachable by links.
 
-    Words are `[^\\x20\\x09-\\x0D]+` after A-Z were lower-cased; a text of fewer than k words is one shingle; empty and null texts have none and link with nothing. Equal sets are one node throughout. Rows that repeat an id link through it only if their sets do; a null id gives the component of its set's other documents, or null. Ids are integers. Extra columns are left out; an empty table gives no rows."""
+    Words are `[^\\x20\\x09-\\x0D]+` after A-Z were lower-cased; a text of fewer than k words is one shingle; empty and null texts have none and link
+    with nothing. Equal sets are one node throughout. Rows that repeat an id link through it only if their sets do; a null id gives the component of
+    its set's other documents, or null. Ids are integers. Extra columns are left out; an empty table gives no rows."""
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("component ids are the least of integer ids")
     if not 60 <= percent < 100:

@@ -79,7 +79,9 @@ class Lines:
     def stretch_keys(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First level: (line, from word, to word, key) for each stretch of each line: the key hashes what is before and behind.
 
-        Cuts are counted from the line's start before the stretch and from its end behind it, and are the same for all lines of a length class (the first of least words), so two lines that are one word apart, in the stretch, have equal keys. A line one word shorter than a class takes part in it also."""
+        Cuts are counted from the line's start before the stretch and from its end behind it, and are the same for all lines of a length class (the
+        first of least words), so two lines that are one word apart, in the stretch, have equal keys. A line one word shorter than a class takes part
+        in it also."""
         starts = _class_starts(least, int(self.n.max()) if len(self.n) else least)
         lines = np.flatnonzero(self.n >= least - 1)
         own = np.searchsorted(starts, self.n[lines], "right") - 1
@@ -95,7 +97,9 @@ class Lines:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def word_keys(self, line: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Second level: (line, role, key) of all variants of a line with one word of a..b deleted. Role 0: the place is part of the key (equal: one word differs, or none). Role 1: it is not; role 2: the line itself, nothing deleted (1 and 2 equal: one word is inserted). Lines of fewer than least words are only the shorter of two, so they have none with a word deleted."""
+        """Second level: (line, role, key) of all variants of a line with one word of a..b deleted. Role 0: the place is part of the key (equal: one
+        word differs, or none). Role 1: it is not; role 2: the line itself, nothing deleted (1 and 2 equal: one word is inserted). Lines of fewer than
+        least words are only the shorter of two, so they have none with a word deleted."""
         size = np.where(self.n[line] >= least, b - a, 0)
         of = np.repeat(np.arange(len(line)), size)
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
@@ -185,7 +189,8 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def verified(later: DataFrame, asked: DataFrame, d: DataFrame) -> DataFrame:
-    """The h of those candidates later (h, o, earlier: the order of the line that has an equal variant) that are truly within the edit bound: told from their words, not from hashes. asked: (id, tie, line) of all lines that emitted variants."""
+    """The h of those candidates later (h, o, earlier: the order of the line that has an equal variant) that are truly within the edit bound: told
+    from their words, not from hashes. asked: (id, tie, line) of all lines that emitted variants."""
     every = later.select("o").unionByName(later.select(F.col("earlier").alias("o"))).distinct()
     places = materialize(asked.select("id", "tie", "line").distinct().withColumn("o", _order(F.col("line"))).join(every, "o", "left_semi"), "places")
     words = materialize(line_words(d, places, places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS), "words")
@@ -194,9 +199,14 @@ def verified(later: DataFrame, asked: DataFrame, d: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """Rows (id, tie, line) of the lines that go. A line is a run of words, one at least; it goes if an equal line, or one within the edit bound (EDITS words inserted, deleted or others, at most share of the longer line's words), stands earlier, by id, then by a hash of the text, then in the text. Whether that earlier line goes itself does not matter.
-
-    First, equal lines are counted by hash. Then each different line has STRETCHES keys of what it has outside a stretch; only lines that meet another line there emit the variants of that stretch with one word deleted. Equal variants are the join, least orders of each variant are the candidates: no pairs are made, and partial aggregates go before each exchange, so one line in a third of all rows costs no more than any other. Last, each candidate's words are compared with those of the earliest line that shares the variant."""
+    """Rows (id, tie, line) of the lines that go. A line is a run of words, one at least; it goes if an equal line, or one within the edit bound
+    (EDITS words inserted, deleted or others, at most share of the longer line's words), stands earlier, by id, then by a hash of the text, then in
+    the text. Whether that earlier line goes itself does not matter.
+
+    First, equal lines are counted by hash. Then each different line has STRETCHES keys of what it has outside a stretch; only lines that meet another
+    line there emit the variants of that stretch with one word deleted. Equal variants are the join, least orders of each variant are the candidates:
+    no pairs are made, and partial aggregates go before each exchange, so one line in a third of all rows costs no more than any other. Last, each
+    candidate's words are compared with those of the earliest line that shares the variant."""
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("lines are ordered by an integer id")
     least = least_words(share)
@@ -226,7 +236,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """docs with repeated lines cut out of the text, and n_lines, n_removed, removed (line numbers from 0), emptied.
 
-    emptied: lines were removed and none with a word is left. Lines without a word stay as they are; null texts stay null and have no lines; rows that repeat both id and text count as one document and share its fate; null ids are one id, before all others. An empty table gives no rows. All columns of docs stay (those called as the new ones are replaced)."""
+    emptied: lines were removed and none with a word is left. Lines without a word stay as they are; null texts stay null and have no lines; rows that
+    repeat both id and text count as one document and share its fate; null ids are one id, before all others. An empty table gives no rows. All
+    columns of docs stay (those called as the new ones are replaced)."""
     gone = repeated_lines(docs, id_col, text_col, share)
     lists = gone.distinct().groupBy("id", "tie").agg(F.array_sort(F.collect_list("line")).alias("removed_"))
     lists = lists.select(F.col("id").alias("id_"), F.col("tie").alias("tie_"), "removed_")

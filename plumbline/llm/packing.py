@@ -19,7 +19,9 @@ from plumbline.llm.tokens import ENCODE_BYTES, Encoder
 def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
     """Bins for counts[l] pieces of length l: (how many bins, the lengths in each), every piece used once.
 
-    Fill greedily: the longest piece left opens a bin, the longest that fits follows, until none fits. Best-two-fit: then the bin's smallest piece gives way to the two pieces left that fill its gap and place more tightly than it did. The same bin is made as many times as pieces last, so the work depends on the number of lengths and not on the number of pieces."""
+    Fill greedily: the longest piece left opens a bin, the longest that fits follows, until none fits. Best-two-fit: then the bin's smallest piece
+    gives way to the two pieces left that fill its gap and place more tightly than it did. The same bin is made as many times as pieces last, so the
+    work depends on the number of lengths and not on the number of pieces."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
     bins: list[tuple[int, list[int]]] = []
@@ -67,7 +69,9 @@ def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, part, place[, ids]): each document's ids and end_id, cut into pieces of capacity tokens only where it is longer; the first piece takes the remainder. part and place (the rank among the pieces of that length in that part) name a piece. Here ids take two bytes each where the vocabulary allows."""
+    """Rows (doc_id, piece, start, length, ids_crc32, part, place[, ids]): each document's ids and end_id, cut into pieces of capacity tokens only
+    where it is longer; the first piece takes the remainder. part and place (the rank among the pieces of that length in that part) name a piece. Here
+    ids take two bytes each where the vocabulary allows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
@@ -107,9 +111,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, do
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, doc_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Packs all documents into sequences of at most capacity tokens by best-two-fit.
 
-    A table of pieces is written once to the shared folder; their lengths are counted by part, the counts of the capacity many lengths make the plan on the driver (its size depends on the number of lengths, not of documents), and each piece finds its bin from its rank among the pieces of its length. The ranks before each part are a small file in the shared folder, which the tasks that read the part's pieces open; so neither texts nor ids move, and no piece meets another in a task.
+    A table of pieces is written once to the shared folder; their lengths are counted by part, the counts of the capacity many lengths make the plan
+    on the driver (its size depends on the number of lengths, not of documents), and each piece finds its bin from its rank among the pieces of its
+    length. The ranks before each part are a small file in the shared folder, which the tasks that read the part's pieces open; so neither texts nor
+    ids move, and no piece meets another in a task.
 
-    Null or empty texts give one piece with the end id. Repeated and null ids are kept as rows of their own; ties are dealt by place. Extra columns are left out. An empty table gives no rows. Result: (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids])."""
+    Null or empty texts give one piece with the end id. Repeated and null ids are kept as rows of their own; ties are dealt by place. Extra columns
+    are left out. An empty table gives no rows. Result: (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids])."""
     pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id, doc_col, text_col, with_ids), "pieces")
     path = scratch(docs.sparkSession, "ranks")
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))

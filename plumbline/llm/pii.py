@@ -58,7 +58,8 @@ def spans(text: Column, pattern: str, may: Column) -> Column:
 
 
 def apart(some: Column, others: Column) -> Column:
-    """Those of some spans that meet none of the others, in order: both sorted together, the furthest end of the others before a span and their next start behind it tell."""
+    """Those of some spans that meet none of the others, in order: both sorted together, the furthest end of the others before a span and their next
+    start behind it tell."""
     row = lambda x, flag: F.struct(x["start"].alias("start"), F.lit(flag).alias("flag"), x["end"].alias("end"), x["value"].alias("value"), x["pattern"].alias("pattern"))
     every = F.array_sort(F.concat(F.transform(others, lambda x: row(x, 0)), F.transform(some, lambda x: row(x, 1))))
 
@@ -66,7 +67,11 @@ def apart(some: Column, others: Column) -> Column:
         ends = running(F.transform(x, lambda y: F.when(y["flag"] == 0, y["end"]).otherwise(-1)), F.greatest, -1)
         starts = F.reverse(running(F.transform(F.reverse(x), lambda y: F.when(y["flag"] == 0, y["start"]).otherwise(_FAR)), F.least, _FAR))
         near = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("ended"), s.alias("next")))
-        told = F.zip_with(x, near, lambda y, n: F.when((y["flag"] == 1) & (n["ended"] <= y["start"]) & (n["next"] >= y["end"]), F.struct(y["start"].alias("start"), y["end"].alias("end"), y["value"].alias("value"), y["pattern"].alias("pattern"))))
+        told = F.zip_with(
+            x,
+            near,
+            lambda y, n: F.when((y["flag"] == 1) & (n["ended"] <= y["start"]) & (n["next"] >= y["end"]), F.struct(y["start"].alias("start"), y["end"].alias("end"), y["value"].alias("value"), y["pattern"].alias("pattern"))),
+        )
         return F.array_compact(told)
 
     return F.when((F.size(some) == 0) | (F.size(others) == 0), some).otherwise(let(every, free))
@@ -97,14 +102,16 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _pattern(gap: Column) -> Column:
-    """The lexical pattern of an entity behind a gap: the word before it, however long, and whether they touch. Empty at a text's start and behind another match. The gap is read from its end, so it costs its length once."""
+    """The lexical pattern of an entity behind a gap: the word before it, however long, and whether they touch. Empty at a text's start and behind
+    another match. The gap is read from its end, so it costs its length once."""
     back = F.reverse(gap)
     word = F.lower(F.reverse(F.regexp_extract(back, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]*+)", 1)))
     return F.concat(F.when(back.rlike(r"^[\x20\x09-\x0D]"), F.lit("_")).otherwise(F.lit("")), word)
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, tie, base array of (kind, start, end, value, pattern), others array of (start, end, value, pattern)): the fixed matches, and identifier-like strings that meet none."""
+    """Rows (id, tie, base array of (kind, start, end, value, pattern), others array of (start, end, value, pattern)): the fixed matches, and
+    identifier-like strings that meet none."""
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     found = base_spans(text)
@@ -122,7 +129,8 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (pattern, occurrences): how often the word of each pattern stands in the texts, whatever follows it (over all documents). A pattern that touches its entity is no word of its own and has no row."""
+    """Rows (pattern, occurrences): how often the word of each pattern stands in the texts, whatever follows it (over all documents). A pattern that
+    touches its entity is no word of its own and has no row."""
     spaced = materialize(patterns.where(F.startswith("pattern", F.lit("_"))).select("pattern"), "spaced")
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+")).alias("word")).select(F.concat(F.lit("_"), "word").alias("pattern"))
     if spaced.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -133,7 +141,14 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") ->
 def confident_patterns(found: DataFrame, docs: DataFrame, text_col: str = "text", rounds: int = 3, least_seeds: int = 3, confidence: float = 0.5, prior: float = 2.0) -> DataFrame:
     """Rows (pattern, score) of the patterns that are sure enough.
 
-    A bipartite graph joins each pattern to the instances (values) it was seen with. Instances that a fixed pattern found are sure (1), and others count as soon as patterns say so. In each round a pattern with at least least_seeds different instances of a score of at least confidence scores the sum of its instances' scores over the number of times that its word occurs at all (and prior more), so a frequent word that happens to precede an entity now and then has none; other patterns score 0, as yet. An instance's score is the chance that not all its patterns are wrong, less as it stands more than prior times elsewhere than behind patterns that score at least confidence, so a common number that stood behind a sure pattern once makes no others sure. So identifiers found in one round make new patterns sure in the next. Scores pass to and fro rounds times, each round a table in the shared folder. Patterns with fewer than least_seeds different instances of any kind can never score and are left out. Sums are partial before each exchange, so one pattern in a third of all rows is no burden."""
+    A bipartite graph joins each pattern to the instances (values) it was seen with. Instances that a fixed pattern found are sure (1), and others
+    count as soon as patterns say so. In each round a pattern with at least least_seeds different instances of a score of at least confidence scores
+    the sum of its instances' scores over the number of times that its word occurs at all (and prior more), so a frequent word that happens to precede
+    an entity now and then has none; other patterns score 0, as yet. An instance's score is the chance that not all its patterns are wrong, less as it
+    stands more than prior times elsewhere than behind patterns that score at least confidence, so a common number that stood behind a sure pattern
+    once makes no others sure. So identifiers found in one round make new patterns sure in the next. Scores pass to and fro rounds times, each round a
+    table in the shared folder. Patterns with fewer than least_seeds different instances of any kind can never score and are left out. Sums are
+    partial before each exchange, so one pattern in a third of all rows is no burden."""
     seeds = found.select(F.explode("base").alias("x")).select("x.pattern", "x.value", F.lit(1).alias("seed"))
     rest = found.select(F.explode("others").alias("x")).select("x.pattern", "x.value", F.lit(0).alias("seed"))
     every = materialize(seeds.unionByName(rest).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "every")
@@ -157,9 +172,11 @@ def confident_patterns(found: DataFrame, docs: DataFrame, text_col: str = "text"
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """One row per row of docs: id, n_email, n_ip, n_card, n_phone, n_context, n_spans (of all kinds), base_sha256, spans (kind:start:end by start, comma-joined, code points, end exclusive).
+    """One row per row of docs: id, n_email, n_ip, n_card, n_phone, n_context, n_spans (of all kinds), base_sha256, spans (kind:start:end by start,
+    comma-joined, code points, end exclusive).
 
-    context spans are identifier-like strings behind a confident pattern (see confident_patterns, to which options go). Null texts are empty and have no spans; rows that repeat id and text share their result; null ids are kept; extra columns are left out; an empty table gives no rows."""
+    context spans are identifier-like strings behind a confident pattern (see confident_patterns, to which options go). Null texts are empty and have
+    no spans; rows that repeat id and text share their result; null ids are kept; extra columns are left out; an empty table gives no rows."""
     found = materialize(extract(docs, id_col, text_col), "personal")
     sure = confident_patterns(found, docs, text_col, **options)
     seen = found.select("id", "tie", F.explode("others").alias("x")).select("id", "tie", "x.start", "x.end", "x.pattern")
@@ -170,4 +187,11 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint)").alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
-    return f.select(F.col("id").alias(id_col), *counts, F.size("new").cast("long").alias("n_context"), (F.size("base") + F.size("new")).cast("long").alias("n_spans"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.concat(base, F.col("new"))).alias("spans"))
+    return f.select(
+        F.col("id").alias(id_col),
+        *counts,
+        F.size("new").cast("long").alias("n_context"),
+        (F.size("base") + F.size("new")).cast("long").alias("n_spans"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.concat(base, F.col("new"))).alias("spans"),
+    )

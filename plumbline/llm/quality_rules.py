@@ -84,7 +84,10 @@ def base_failed() -> Column:
 def thresholds(measured: DataFrame, by: list[str], fence: float = 3.0, weight: float = 200.0, k: int = 400) -> DataFrame:
     """Rows (*by, low and high of each metric): quartiles less and plus fence times the spread between them.
 
-    Each group's documents that pass the base rules fill one KLL sketch a metric (partial sketches are made before the exchange, so that a source with a third of all rows is spread). Sketches of groups merge into those of the first key and of all. A group's quartile is the mean of its own, with the weight of its rows, and its first key's, with the fixed weight; that of the first key likewise with the one of all. So the less is known of a group, the nearer it is to what is known of more, without a step. Null keys are a group."""
+    Each group's documents that pass the base rules fill one KLL sketch a metric (partial sketches are made before the exchange, so that a source with
+    a third of all rows is spread). Sketches of groups merge into those of the first key and of all. A group's quartile is the mean of its own, with
+    the weight of its rows, and its first key's, with the fixed weight; that of the first key likewise with the one of all. So the less is known of a
+    group, the nearer it is to what is known of more, without a step. Null keys are a group."""
     good = measured.where(~base_failed())
     sketch = [F.expr(f"kll_sketch_agg_double(cast({e} as double), {k})").alias(m) for m, (e, _, _) in METRICS.items()]
     merged = [F.expr(f"kll_merge_agg_double({m}, {k})").alias(m) for m in METRICS]
@@ -115,7 +118,10 @@ def thresholds(measured: DataFrame, by: list[str], fence: float = 3.0, weight: f
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", by: tuple[str, str] = ("lang", "source"), text_col: str = "text", **options: float) -> DataFrame:
     """One row per row of docs: id, lang, source, the counts, base_failed, kept, and the metrics that broke a threshold.
 
-    The counts are written once to the shared folder; sketches and the filter read them there. A document that fails the base rules is not kept; the others are kept unless a metric lies beyond its group's threshold. Groups that have no document passing the base rules have no threshold. Null texts have no words (and fail); null languages and sources are groups of their own; repeated rows count each; extra columns are left out; an empty table gives no rows."""
+    The counts are written once to the shared folder; sketches and the filter read them there. A document that fails the base rules is not kept; the
+    others are kept unless a metric lies beyond its group's threshold. Groups that have no document passing the base rules have no threshold. Null
+    texts have no words (and fail); null languages and sources are groups of their own; repeated rows count each; extra columns are left out; an empty
+    table gives no rows."""
     keys = ["key_0", "key_1"]
     m = measure(docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(text_col).alias("words_of")), ["id", *keys], "words_of")
     m = materialize(m, "counts")
@@ -125,4 +131,11 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", by: tuple[str, str] = (
     broken = [F.expr(f"case when cast({e} as double) > {n}_high" + (f" or cast({e} as double) < {n}_low" if tails == "both" else "") + f" then '{n}' end") for n, (e, tails, _) in METRICS.items()]
     broken = F.when(base_failed(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*broken)))
     counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    return joined.withColumn("broken", broken).select(F.col("id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], *counts, base_failed().alias("base_failed"), (~base_failed() & (F.size("broken") == 0)).alias("kept"), "broken")
+    return joined.withColumn("broken", broken).select(
+        F.col("id").alias(id_col),
+        *[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)],
+        *counts,
+        base_failed().alias("base_failed"),
+        (~base_failed() & (F.size("broken") == 0)).alias("kept"),
+        "broken",
+    )

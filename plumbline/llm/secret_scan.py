@@ -43,7 +43,8 @@ def _normal_tail(z: float) -> float:
 
 
 def battery(s: str, least: float = 0.001) -> tuple[str, float]:
-    """The inferred encoding and the p-value of "ordinary text": small if characters are far closer to uniform than text would have them and neither the runs test nor the serial correlation test (each at least) speaks against chance. Strings of no encoding, or of digits alone, have 1."""
+    """The inferred encoding and the p-value of "ordinary text": small if characters are far closer to uniform than text would have them and neither
+    the runs test nor the serial correlation test (each at least) speaks against chance. Strings of no encoding, or of digits alone, have 1."""
     if s.isdigit():
         return "digits", 1.0
     for name, alphabet, departs in ENCODINGS:
@@ -93,7 +94,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, base array of (kind, start, end), candidates array of (start, end, class, bin)), spans in code points.
 
-    Only words of 16 bytes or more can hold access and hex matches and candidates; their places come from byte offsets. Assignments can only be where there is a colon or an equals sign."""
+    Only words of 16 bytes or more can hold access and hex matches and candidates; their places come from byte offsets. Assignments can only be where
+    there is a colon or an equals sign."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
@@ -128,7 +130,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def discovery_bins(scanned: DataFrame, rate: float = 0.01) -> dict[int, int]:
-    """By length class the least bin of p that counts as a discovery: Benjamini and Hochberg's step-up rule over all candidates of all documents, from the counts of a bounded number of bins."""
+    """By length class the least bin of p that counts as a discovery: Benjamini and Hochberg's step-up rule over all candidates of all documents, from
+    the counts of a bounded number of bins."""
     rows = scanned.select(F.explode("candidates").alias("c")).groupBy("c.class", "c.bin").agg(F.count("*").alias("n")).collect()
     out: dict[int, int] = {}
     for k in {r["class"] for r in rows}:
@@ -144,7 +147,8 @@ def discovery_bins(scanned: DataFrame, rate: float = 0.01) -> dict[int, int]:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01) -> DataFrame:
     """One row per row of docs: id, n_assign, n_access, n_hex, n_random, base_sha256, spans (kind:start:end, comma-joined).
 
-    rate: the share of false discoveries among random strings that is allowed in each length class. A random string that meets a base span is left out. Null texts are empty and have no spans; repeated rows are scanned each; extra columns are left out; an empty table gives no rows."""
+    rate: the share of false discoveries among random strings that is allowed in each length class. A random string that meets a base span is left
+    out. Null texts are empty and have no spans; repeated rows are scanned each; extra columns are left out; an empty table gives no rows."""
     found = materialize(scan(docs, id_col, text_col), "secrets")
     least = discovery_bins(found, rate)
     is_hit = " or ".join(f"(c.class = {k} and c.bin >= {b})" for k, b in least.items()) or "false"
@@ -154,4 +158,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_place = lambda c: f"transform(array_sort(transform({c}, s -> struct(s.start as start, s.kind as kind, s.end as end))), x -> {named})"
     f = found.withColumn("random", random)
     counts = [F.expr(f"cast(size(filter(base, b -> b.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
-    return f.select(F.col("id").alias(id_col), *counts, F.size("random").cast("long").alias("n_random"), F.sha2(F.expr(f"array_join({by_place('base')}, ',')").cast("binary"), 256).alias("base_sha256"), F.expr(f"array_join({by_place('concat(base, random)')}, ',')").alias("spans"))
+    return f.select(
+        F.col("id").alias(id_col),
+        *counts,
+        F.size("random").cast("long").alias("n_random"),
+        F.sha2(F.expr(f"array_join({by_place('base')}, ',')").cast("binary"), 256).alias("base_sha256"),
+        F.expr(f"array_join({by_place('concat(base, random)')}, ',')").alias("spans"),
+    )

@@ -41,7 +41,8 @@ def _slot(h: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
 
 
 def build_mphf(h: np.ndarray) -> np.ndarray:
-    """Seeds of a minimal perfect hash of distinct 64-bit values by hash and displace: buckets in falling size each try seeds until their keys fall on free slots. Slot of h: _slot(h, seeds[bucket], n)."""
+    """Seeds of a minimal perfect hash of distinct 64-bit values by hash and displace: buckets in falling size each try seeds until their keys fall on
+    free slots. Slot of h: _slot(h, seeds[bucket], n)."""
     n = len(h)
     m = n // BUCKET + 1
     bucket = (mix64(h + np.uint64(1)) % np.uint64(m)).astype(np.int64)
@@ -116,7 +117,9 @@ def _hashes(key: str) -> list:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
-    """Writes all documents' ids (null text: empty), each with end_id behind, in ascending order of the key (null first, repeated keys side by side by text) into path/shards, what is in each shard into path/manifest (Parquet, a file a shard), and the index into path/index. Tasks write all of these files themselves, each whole or not at all; a task that is run again writes the same.
+    """Writes all documents' ids (null text: empty), each with end_id behind, in ascending order of the key (null first, repeated keys side by side by
+    text) into path/shards, what is in each shard into path/manifest (Parquet, a file a shard), and the index into path/index. Tasks write all of
+    these files themselves, each whole or not at all; a task that is run again writes the same.
 
     Sorting is a range exchange on the key and a hash of the text, so that a key with a third of all rows is split over tasks; each task streams one shard."""
     spark = docs.sparkSession
@@ -210,7 +213,8 @@ def lookup(keys: DataFrame, path: str, key_col: str = "doc_id") -> DataFrame:
 
 
 def read_documents(places: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
-    """Of each place (key, shard, start, n_ids, documents) the documents' ids: a row (key, start, n_ids, ids_crc32[, ids]) for each, start counted over all shards. A key whose documents run on into the next shards is followed there."""
+    """Of each place (key, shard, start, n_ids, documents) the documents' ids: a row (key, start, n_ids, ids_crc32[, ids]) for each, start counted
+    over all shards. A key whose documents run on into the next shards is followed there."""
     kind = places.schema["key"].dataType.simpleString()
     sizes: dict[int, tuple[int, int]] = {}  # by shard: ids of all shards before it, its own
     base = 0

@@ -61,7 +61,10 @@ class UnitCache:
 class Encoder:
     """ids of texts for one tokenizer file. Strings of special tokens in a text are ordinary text.
 
-    A unit is white space and what follows up to the next, without a stop or comma at its end, which is a unit of its own behind a letter or digit. The split of a byte-level BPE never joins two units, so the ids of a text are the ids of its units, one after another; each different unit goes through the library once. Texts with white space other than spaces and line breaks, and all texts for other kinds of tokenizers, go through it whole."""
+    A unit is white space and what follows up to the next, without a stop or comma at its end, which is a unit of its own behind a letter or digit.
+    The split of a byte-level BPE never joins two units, so the ids of a text are the ids of its units, one after another; each different unit goes
+    through the library once. Texts with white space other than spaces and line breaks, and all texts for other kinds of tokenizers, go through it
+    whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
@@ -91,7 +94,8 @@ class Encoder:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _library(self, units: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """An order of the units, their ids in it, one unit after another, and how many each has. Units of one space and a word go as one text with a line break before each, which is a piece of its own there; the others go apart."""
+        """An order of the units, their ids in it, one unit after another, and how many each has. Units of one space and a word go as one text with a
+        line break before each, which is a piece of its own there; the others go apart."""
         spaced = [i for i, u in enumerate(units) if u[0] == " " and u[1:2] not in ("", " ", "\n")]
         alone = set(range(len(units))).difference(spaced)
         ids, sizes = [], []
