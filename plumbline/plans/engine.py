@@ -95,23 +95,19 @@ def analyze(spark: SparkSession, path: str, config: str | dict | None = None, fa
     return analyze_sources(sources, config, families, strict)
 
 
-def _family(spark: SparkSession, path: str, config: str | dict | None, family: str, strict: bool = True) -> DataFrame:
-    return ordered(analyze(spark, path, config, (family,), strict).smells)
-
-
 def analyze_code(spark: SparkSession, path: str, config: str | dict | None = None, strict: bool = True) -> DataFrame:
-    return _family(spark, path, config, "code", strict)
+    return ordered(analyze(spark, path, config, ("code",), strict).smells)
 
 
 def analyze_architecture(spark: SparkSession, path: str, config: str | dict | None = None) -> DataFrame:
-    return _family(spark, path, config, "architectural")
+    return ordered(analyze(spark, path, config, ("architectural",)).smells)
 
 
 def analyze_structure(spark: SparkSession, path: str, config: str | dict | None = None, output: str | None = None) -> DataFrame:
     """output: the stem of a CSV and a JSON report, which this family writes itself."""
-    smells = _family(spark, path, config, "structural")
+    smells = analyze(spark, path, config, ("structural",)).smells
     if output:
         smells = smells.persist()
         write_csv(smells, f"{output}.csv")
         write_json(smells, f"{output}.json")
-    return smells
+    return ordered(smells)
