@@ -85,6 +85,51 @@ def test_quality_on_awkward_tables(spark):
     assert {r["score"] for r in quality_model.score_ids(docs, quality_model.train(docs, both)).collect()} == {0.5}
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """More than 4,000 documents of a class, most of them alike but for those that come last: the fit is that of all pairs of all of them."""
+    rng = np.random.default_rng(23)
+    good = [f"{x}." if i % 3 else "the same page " * 9 for i, x in enumerate(prose(rng, 4_150, 60))]
+    bad = [x.replace(" ", " | ", int(rng.integers(0, 9))) + " #" * int(rng.integers(0, 4)) for x in prose(rng, 90, 60)]
+    texts = good + bad
+    y = np.arange(len(texts)) < len(good)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    # 30 labels have no document; they count for the share only
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)] + [(10**6 + i, 0) for i in range(30)], "doc_id long, quality int")
+    m = quality_model.train(docs, labels)
+    x = quality_model.features(pa.array(texts))
+    assert np.allclose(m.mean, x.mean(0), atol=1e-12) and np.allclose(m.spread, np.maximum(x.std(0), 1e-3), atol=1e-9)
+    z = np.clip((x - m.mean) / m.spread, -6, 6)
+    margin = (z[y] @ m.weights)[:, None] - z[~y] @ m.weights
+    p = 1 / (1 + np.exp(margin))
+    gradient = (z[y].T @ p.sum(1) - z[~y].T @ p.sum(0)) / p.size - 1e-2 * m.weights
+    assert np.abs(gradient).max() < 1e-9 and np.abs(m.weights).max() > 0.1
+    s = m.strength(x)
+    weight = np.where(y, len(good) / len(good), (len(bad) + 30) / len(bad)) / (len(texts) + 30)
+    order = np.argsort(s, kind="stable")
+    at = int(np.searchsorted(np.cumsum(weight[order]), (len(bad) + 30) / (len(texts) + 30) - 1e-9))
+    assert m.cut == (s[order[at]] + s[order[at + 1]]) / 2 and abs(m.scale - s.std()) < 1e-9
+    monkeypatch.setattr(quality_model, "BROADCAST_ROWS", 0)
+    far = quality_model.train(docs, labels)
+    assert np.abs(far.weights - m.weights).max() < 1e-9 and abs(far.cut - m.cut) < 1e-9
+
+
+def test_quality_cut_against_sorting():
+    """The cut found bit by bit is that of all strengths sorted: equal and negative ones, zeros of both signs, classes with labels but few documents."""
+    rng = np.random.default_rng(24)
+    for turn in range(60):
+        size = int(rng.integers(2, 40))
+        s = rng.choice([-2.5, -1e-300, -0.0, 0.0, 1e-9, 3.0], size) if turn % 2 else rng.normal(0, 3, size)
+        y = np.concatenate([[0, 1], rng.integers(0, 2, size - 2)])
+        n = np.bincount(y).tolist()
+        totals = {0: n[0] + turn % 5, 1: n[1] + turn % 3}
+        over = lambda f, add=np.add: quality_model._total((f(s[i : i + 7, None], y[i : i + 7]) for i in range(0, size, 7)), add)  # noqa: B023, E731
+        cut, scale = quality_model._cut(over, lambda x: x[:, 0], n, totals)
+        order = sorted(range(size), key=lambda i: (s[i], y[i]))  # noqa: B023
+        run = np.cumsum([[totals[0] * n[1], totals[1] * n[0]][y[i]] for i in order])
+        at = int(np.argmax(run >= totals[0] * n[0] * n[1]))
+        assert cut == (s[order[at]] + s[order[min(at + 1, size - 1)]]) / 2 and abs(scale - max(s.std(), 1e-6)) < 1e-9
+
+
 # --- 2 and 7 -------------------------------------------------------------------------------------------
 
 
