@@ -25,6 +25,8 @@ BATCH_ROWS = 400
 PIECE = 1 << 18
 #: Rows of (id) or (id, few longs) that may be broadcast: 1 M rows are some 30 MB. Larger sides are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Edges (two longs) of which the driver finds the components itself: 4 MB. More of them take rounds of joins.
+DRIVER_EDGES = 1 << 18
 
 _own: list[tuple[SparkSession, str]] = []
 
@@ -309,10 +311,15 @@ def list_array(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v: long): rows (node, component), component the least node reachable.
 
-    Large-star and small-star steps alternate until nothing changes (each links every node to the least of its neighbours, so they end); each round is
-    a table in the shared folder. No edges give no rows; self-loops and nulls are ignored."""
+    Up to DRIVER_EDGES edges go to the driver, since each round of joins costs it far more memory in plans than they take. Of more, large-star and
+    small-star steps alternate until nothing changes (each links every node to the least of its neighbours, so they end); each round is a table in the
+    shared folder. No edges give no rows; self-loops and nulls are ignored."""
     spark = edges.sparkSession
     e = materialize(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if e.count() <= DRIVER_EDGES:
+        t = e.toArrow()
+        node, component = least_reachable(t["u"].to_numpy(), t["v"].to_numpy())
+        return spark.createDataFrame(pa.table({"node": node, "component": component}), "node long, component long")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -326,3 +333,17 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v), sorted, and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    top = np.arange(len(nodes))
+    while True:
+        x, y = top[a], top[b]  # trees are flat here, so these are their tops
+        if np.array_equal(x, y):
+            return nodes, nodes[top]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(top, up := top[top]):
+            top = up

@@ -197,8 +197,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return p.where(F.expr(f"100 * both >= {percent} * (size(s_u) + size(s_v) - both)")).select("u", "v")
 
 
-def links(d: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (u, v) of nodes with similarity at or above percent: enough of them that every link of the whole graph lies within one component.
+def linked(d: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (node, component) of the nodes with a link to another (similarity at or above percent), component the least node reachable.
+
+    Links are sought until every link of the whole graph lies within one component; not all of them need be found for that.
 
     Documents that share a key first meet one of them, which is the same for most keys of a group: as many pairs as documents. Where the links found
     put all of a key's nodes into one component nothing is left to test. What remains, nodes of different components with a common key, is compared in
@@ -219,9 +221,10 @@ def links(d: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
     weight = shared.groupBy("node").agg((F.count("*") * F.lit(1 << 20) + F.col("node").bitwiseAND(F.lit((1 << 20) - 1))).alias("weight"))
     shared = materialize(shared.join(weight, "node"), "weighed")
     found = tested = parts = None
+    news = True
     open_ = shared.withColumn("part", F.col("node"))
     for r in range(STAR_ROUNDS + 1):
-        if parts is not None:
+        if parts is not None and news:
             now = shared.join(parts, shared["node"] == parts["node_"], "left").select("key", "node", "weight", F.coalesce("part_", "node").alias("part"))
             mixed = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
             open_ = materialize(now.join(materialize(mixed, "mixed"), "key", "left_semi"), "open")
@@ -236,8 +239,10 @@ def links(d: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
         good = materialize(verify(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = good if found is None else found.unionByName(good)
-        parts = materialize(components(found), "parts").select(F.col("node").alias("node_"), F.col("component").alias("part_"))
-    return found
+        news = parts is None or not good.isEmpty()  # else the parts stay, and with them what is open
+        if news:
+            parts = materialize(components(found), "parts").select(F.col("node").alias("node_"), F.col("component").alias("part_"))
+    return parts.select(F.col("node_").alias("node"), F.col("part_").alias("component"))
 
 
 def star_pairs(open_: DataFrame, again: bool) -> DataFrame:
@@ -284,9 +289,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
     else:
         raise RuntimeError("no seed fills enough blocks of every set")
-    found = links(d, sig, k, percent)
+    parts = linked(d, sig, k, percent)
     node = sig.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-    parts = materialize(components(found), "parts")
     own = node.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     group = own.groupBy("part").agg(F.min("least").alias("component_id"))
     known = own.join(group, "part").select("node", "component_id")

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from plumbline.llm import core
 from plumbline.llm.core import PIECE, Words, components, shingles
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -89,3 +90,21 @@ def test_random_components(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 1), (1, None)], [(i, i + 1) for i in range(12)], [(2**62, -(2**62)), (5, 2**62), (7, 8)], np.random.default_rng(4).integers(-60, 60, (50, 2)).tolist()])
+def test_rounds_of_joins_and_the_driver_agree(spark, monkeypatch, edges):
+    df = spark.createDataFrame(edges, "u long, v long")
+    own = sorted(map(tuple, components(df).collect()))
+    monkeypatch.setattr(core, "DRIVER_EDGES", -1)
+    assert sorted(map(tuple, components(df).collect())) == own
+
+
+def test_least_reachable_of_many_edges():
+    rng = np.random.default_rng(6)
+    order = rng.permutation(200_000)
+    u, v = order[:-1], order[1:]
+    cut = np.arange(len(u)) % 1000 != 999  # paths of 1000 nodes, dealt at random
+    node, least = core.least_reachable(u[cut], v[cut])
+    want = np.repeat(order.reshape(-1, 1000).min(axis=1), 1000)
+    assert np.array_equal(node, np.arange(200_000)) and np.array_equal(least[order], want)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, pii, quality_model, quality_rules, secret_scan, token_store
+from plumbline.llm import chat_format, core, decontaminate, jaccard_join, line_dedup, packing, pii, quality_model, quality_rules, secret_scan, token_store
 from plumbline.llm.core import scratch
 from plumbline.llm.tokens import Encoder, UnitCache
 
@@ -318,6 +318,24 @@ def test_jaccard_awkward(spark):
         jaccard_join.similar_groups(documents(spark), percent=20)
 
 
+def test_jaccard_plans_do_not_pile_up(spark, monkeypatch):
+    """Few links cost the driver one table of edges for each round that finds any, and no rounds of joins."""
+    made = []
+
+    def counted(df, name, materialize=core.materialize):
+        made.append(name)
+        return materialize(df, name)
+
+    monkeypatch.setattr(core, "materialize", counted)
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    rng = np.random.default_rng(8)
+    texts = [x for t in prose(rng, 30) for x in (t, t + " more")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_groups(docs).collect()}
+    assert got == groups(list(range(len(texts))), texts, 5, 80) and any(i != c for i, (_, c) in got.items())
+    assert "stars" not in made and made.count("edges") <= made.count("links")
+
+
 def test_blocks_suffice_at_every_threshold():
     """Random sets of any size fill enough blocks under one of the seeds, the lowest threshold included."""
     rng = np.random.default_rng(23)
