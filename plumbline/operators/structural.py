@@ -269,7 +269,10 @@ def fan_out(s: Structure, t: Thresholds) -> DataFrame:
 
 
 def fan_in(s: Structure, t: Thresholds) -> DataFrame:
-    d = nodes_of(s.edges, s.nodes).select("id", c("n_in").alias("n")).where(~holds(F.lower("id"), "util", "base", "common", "interface") & (c("n") > t.get("MAX_FANIN")))
+    most = t.get("MAX_FANIN")
+    # modules that nothing imports count only below a threshold of 0
+    d = s.edges.groupBy(c("dst").alias("id")).agg(F.count("*").alias("n")) if most >= 0 else nodes_of(s.edges, s.nodes).select("id", c("n_in").alias("n"))
+    d = d.where(~holds(F.lower("id"), "util", "base", "common", "interface") & (c("n") > most))
     return _graph(s, d, "High Fan-in", text("Module '", c("id"), "' has ", c("n"), " incoming dependencies"), 15, t.get("MAX_FANIN"))
 
 

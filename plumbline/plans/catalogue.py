@@ -21,7 +21,7 @@ from plumbline.operators import architectural, code, structural
 from plumbline.operators.base import line_codes
 from plumbline.operators.graph import cycles, inner_edges, path_counts
 from plumbline.plans.config import EXTENDED, PACKAGED, load
-from plumbline.plans.engine import analyze, analyze_sources, detect
+from plumbline.plans.engine import analyze, analyze_sources, detect, family_of
 from plumbline.sources.reports import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,8 @@ ORACLES: dict[str, str] = {}
 KEYS = {"supplier": "s_suppkey", "customer": "c_custkey"}
 #: Columns of a smell in a query's result.
 COLUMNS = ("name", "description", "file_path", "module_class", "line_number", "severity")
+#: Files that one task renders and parses, at most about; small tables are dealt over the cores, from FEW files a task on.
+FILES_PER_TASK, FEW = 1_000, 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rendered(spark: SparkSession, sf_dir: str, source: str, name: str = "'m' || k", rows: str = "supplier") -> DataFrame:
-    """One file for each row: source is SQL for its text over k (the key)."""
+    """One file for each row: source is SQL for its text over k (the key). A table of keys is small, and so one partition or few, however many files
+    it stands for; the keys are dealt over tasks by their number."""
     t = table(spark, sf_dir, rows).select(F.col(KEYS[rows]).cast("long").alias("k"))
+    n = t.count()
+    t = t.repartition(max(-(-n // FILES_PER_TASK), min(spark.sparkContext.defaultParallelism, -(-n // FEW)), 1))
     path = F.expr(f"'/proj/pkg/' || {name} || '.py'")
     return t.select(path.alias("path"), F.lit("/proj").alias("root"), F.expr(source).cast("binary").alias("content"))
 
@@ -54,9 +59,12 @@ def render_query(key: str, source: str, oracle: str, detector: str | None = None
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         sources = rendered(spark, sf_dir, source, rows=rows).withColumn("root", F.lit(root))
-        facts = extract_facts(sources).persist()  # parsed once, whatever the plan reads
+        facts = extract_facts(sources, (family_of(detector or key),)).persist()  # parsed once, whatever the plan reads
         thresholds = load(EXTENDED | {"architectural_smells": EXTENDED["architectural_smells"] | (config or {})})
-        return _select(detect(facts, detector or key, thresholds))
+        found = _select(detect(facts, detector or key, thresholds))
+        if found._jdf.queryExecution().analyzed().collectLeaves().size() == 1:  # read once: no need to keep them
+            facts.unpersist()
+        return found
 
     QUERIES[key] = query
     ORACLES[key] = f"with recursive s as (select cast({KEYS[rows]} as bigint) k from {rows}) {oracle}"
@@ -287,7 +295,7 @@ graph_query(
 
 def cycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycles of 2 to 5 modules, each with its strength."""
-    facts = extract_facts(rendered(spark, sf_dir, _IMPORTS)).persist()
+    facts = extract_facts(rendered(spark, sf_dir, _IMPORTS), ("architectural",)).persist()
     inner = inner_edges(architectural.Project.of(facts).edges)
     found = cycles(inner.select("src", "dst"), 2, 5)
     edge = found.select("nodes", F.posexplode("nodes").alias("i", "src")).select("nodes", "src", F.element_at("nodes", (F.col("i") + 1) % F.size("nodes") + 1).alias("dst"))

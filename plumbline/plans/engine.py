@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.extract import FAMILIES
 from plumbline.functions.extract import facts as extract_facts
 from plumbline.operators import architectural, code, structural
 from plumbline.operators.base import SMELL_COLUMNS
@@ -15,7 +16,6 @@ from plumbline.plans.config import Thresholds, load
 from plumbline.sources.pytree import UNREADABLE, read_tree
 from plumbline.sources.reports import ordered, write_csv, write_json
 
-FAMILIES = ("code", "architectural", "structural")
 #: All detectors by key; the key's letter is the family.
 DETECTORS = code.DETECTORS | architectural.DETECTORS | structural.DETECTORS
 
@@ -28,6 +28,11 @@ class AnalysisError(Exception):
         super().__init__(f"{message} (file {file_path}, line {line_number}, function {function_name})")
 
 
+def family_of(key: str) -> str:
+    """The family of a detector, whose facts it reads."""
+    return next(f for f in FAMILIES if f[0] == key[0])
+
+
 def detect(facts: DataFrame, key: str, config: dict[str, Thresholds]) -> DataFrame:
     """The smells of one detector."""
     if key in code.DETECTORS:
@@ -66,12 +71,12 @@ class Analysis:
 
 
 def analyze_sources(sources: DataFrame, config: str | dict | None = None, families: tuple[str, ...] = FAMILIES, strict: bool = True, keys: list[str] | None = None) -> Analysis:
-    """Analyzes sources (path, root, content). Facts are extracted once and kept; only the plans of the families asked for are built.
+    """Analyzes sources (path, root, content). Facts are extracted once and kept; only the facts and plans of the families asked for are made.
 
     strict: in the code family a file's smells end where a run of the detectors, one after another, would break off (see operators.code.aborts);
     otherwise every detector reports all it finds. keys picks single detectors."""
     thresholds = load(config)
-    facts = extract_facts(sources).persist()
+    facts = extract_facts(sources, families).persist()
     plans: list[DataFrame] = []
     for family in families:
         own = {"code": code.DETECTORS, "architectural": architectural.DETECTORS, "structural": structural.DETECTORS}[family]
