@@ -11,7 +11,7 @@ from plumbline.plans.config import load
 from plumbline.plans.engine import analyze_sources, detect
 
 #: Queries over rendered sources that one task parsed, however many there were.
-ONE_TASK = ["s16_long_file", "s15_fan_in"]
+ONE_TASK = ["s16_long_file", "s15_fan_in", "c01_long_method"]
 
 
 @pytest.fixture
