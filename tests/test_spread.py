@@ -11,7 +11,7 @@ from plumbline.plans.config import load
 from plumbline.plans.engine import analyze_sources, detect
 
 #: Queries over rendered sources that one task parsed, however many there were.
-ONE_TASK = ["s16_long_file", "s15_fan_in", "c01_long_method", "s09_loc", "s17_too_many_branches", "s07_nocc", "c02_large_class", "s06_rfc", "k01_report_totals", "s02_wmpc", "c13_duplicate_code", "s01_nom", "s11_mpc", "k02_strict_cut", "c16_lazy_class", "s13_cyclomatic_complexity", "c08_alternative_classes", "a04_god_object"]
+ONE_TASK = ["s16_long_file", "s15_fan_in", "c01_long_method", "s09_loc", "s17_too_many_branches", "s07_nocc", "c02_large_class", "s06_rfc", "k01_report_totals", "s02_wmpc", "c13_duplicate_code", "s01_nom", "s11_mpc", "k02_strict_cut", "c16_lazy_class", "s13_cyclomatic_complexity", "c08_alternative_classes", "a04_god_object", "s03_size2"]
 
 
 @pytest.fixture
