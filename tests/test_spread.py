@@ -39,7 +39,7 @@ def test_no_task_has_most_files(spark, tables, monkeypatch, key):
 
 def test_a_file_is_parsed_once(monkeypatch):
     parsed = []
-    monkeypatch.setattr(x.ast, "parse", lambda text, parse=ast.parse: parsed.append(text) or parse(text))
+    monkeypatch.setattr(x.ast, "parse", lambda *a, parse=ast.parse, **k: parsed.append(a[0]) or parse(*a, **k))
     source = b"import os\nclass A:\n    def f(self):\n        return os.a.b()\n"
     whole = x.extract("/p/q/m.py", "/p", source)
     assert len(parsed) == 1 and whole["functions"] == [] and whole["classes"] and whole["code_classes"]
